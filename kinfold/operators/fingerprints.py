@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -209,3 +210,9 @@ def mean_set_sizes(hits: DataFrame) -> DataFrame:
     """Mean number of distinct features over entities by hit class and model class."""
     per_id = hits.groupBy("id", "hit", "modl").agg(F.countDistinct("bit").alias("n"))
     return per_id.groupBy("hit", "modl").agg(F.avg("n").alias("mean_n"), F.count(F.lit(1)).alias("entities"))
+
+
+def stacked_bits(parts: dict[str, DataFrame]) -> DataFrame:
+    """Features of several fingerprints as one tall table (fp_id, id, bit)."""
+    stacked = [bits.select(F.lit(fp_id).alias("fp_id"), "id", "bit") for fp_id, bits in parts.items()]
+    return reduce(DataFrame.unionByName, stacked)

@@ -193,3 +193,13 @@ def graph_nodes(edges: DataFrame, entities: DataFrame) -> DataFrame:
         .join(entities.select("id", "name"), "id", "left")
         .select("target", "id", "name", "expanded", (F.col("id") == F.col("target")).alias("is_target"))
     )
+
+
+def neighbourhood_facts(members: DataFrame, fingerprints: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Members with each of their features that the metadata (feature, background) knows and does not call background.
+
+    Feature names meet whatever their case.
+    """
+    known = metadata.where(~F.col("background")).select(F.lower("feature").alias("_key")).distinct()
+    facts = members.join(fingerprints.select("id", F.explode("ds").alias("bit")), "id")
+    return facts.join(known, F.lower("bit") == F.col("_key")).drop("_key")

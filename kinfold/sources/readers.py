@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,13 +26,14 @@ def relational(spark: SparkSession, query: str, tables: dict[str, DataFrame] | N
     return spark.sql(query)
 
 
+def union_lists(lists: list[DataFrame], id_column: str) -> DataFrame:
+    """Union of lists by column name, rows without an id left out."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), lists).where(F.col(id_column).isNotNull())
+
+
 def id_list_files(spark: SparkSession, paths: list[str], id_column: str) -> DataFrame:
-    """Union of CSV lists with a header, rows without an id left out."""
-    lists = None
-    for path in paths:
-        one = spark.read.option("header", True).csv(path)
-        lists = one if lists is None else lists.unionByName(one, allowMissingColumns=True)
-    return lists.where(F.col(id_column).isNotNull())
+    """``union_lists`` of CSV files with a header."""
+    return union_lists([spark.read.option("header", True).csv(p) for p in paths], id_column)
 
 
 def api_records(spark: SparkSession, path: str, schema: T.StructType, names: dict[str, str]) -> DataFrame:

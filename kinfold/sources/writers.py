@@ -8,9 +8,14 @@ from pyspark.sql import functions as F
 from kinfold.operators.fingerprints import MATRIX_LIMIT
 
 
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Projection with new names; ``names`` maps each new name to its source."""
+    return df.select(*(F.col(old).alias(new) for new, old in names.items()))
+
+
 def project_and_write(df: DataFrame, names: dict[str, str], path: str) -> None:
     """Whole table with renamed columns, replacing the output."""
-    df.select(*(F.col(old).alias(new) for new, old in names.items())).write.mode("overwrite").parquet(path)
+    renamed(df, names).write.mode("overwrite").parquet(path)
 
 
 def replace_rows(base: DataFrame, new: DataFrame, key: str = "id", everything: bool = False) -> DataFrame:
@@ -28,37 +33,54 @@ def write_neighbors(table: DataFrame, path: str) -> None:
     )
 
 
+def json_lines(df: DataFrame, where: Column) -> DataFrame:
+    """(value): a table's filtered rows as JSON texts."""
+    return df.where(where).select(F.to_json(F.struct("*")).alias("value"))
+
+
 def export_tables(tables: dict[str, tuple[DataFrame, Column]], folder: str) -> None:
     """Each table's filtered rows as compressed JSON lines."""
     for name, (df, where) in tables.items():
-        df.where(where).write.mode("overwrite").option("compression", "gzip").json(f"{folder}/{name}")
+        json_lines(df, where).write.mode("overwrite").option("compression", "gzip").text(f"{folder}/{name}")
 
 
-def wide_grid(grid: DataFrame, members: DataFrame, columns: list[str], exports: dict[str, list[Column]], properties: DataFrame | None = None) -> DataFrame:
-    """(section, name, one column per member and export) of one target's grid.
+def wide_grid(
+    grid: DataFrame, members: DataFrame, size: int, exports: dict[str, list[Column]], properties: DataFrame | None = None
+) -> DataFrame:
+    """(target, section, name, one column per rank and export): the grid of each target.
 
-    The first non-null source of an export is shown. Header rows with role and
-    similarity come first, then properties (id, name, text), then endpoints.
-    ``columns`` are the members, at most a stored neighbourhood.
+    Columns are ``<rank>_<export>``, the first non-null source of an export is
+    shown. Header rows with role, id and similarity come first, then properties
+    (target, id, name, text), then endpoints. ``size`` is at most a stored
+    neighbourhood.
     """
-    first = {n: F.coalesce(*(s.cast("string") for s in sources)) for n, sources in exports.items()}
     role = F.when(F.col("id") == F.col("target"), "target").otherwise("analog")
     head = F.array(
         F.struct(F.lit("role").alias("name"), role.alias("text")),
         F.struct(F.lit("id").alias("name"), F.col("id").cast("string").alias("text")),
-        F.struct(F.lit("similarity").alias("name"), F.format_string("%.4f", F.col("similarity")).alias("text")),
+        F.struct(F.lit("similarity").alias("name"), F.format_string("%.4f", F.bround("similarity", 4)).alias("text")),
     )
     main = next(iter(exports))
-    rows = members.select("id", F.explode(head).alias("h")).select(
-        F.lit("1 header").alias("section"), F.col("h.name").alias("name"), "id", F.col("h.text").alias(main)
+    rank = members.select("target", "id", "rank")
+    rows = members.select("target", "rank", F.explode(head).alias("h")).select(
+        "target", "rank", F.lit("1 header").alias("section"), F.col("h.name").alias("name"), F.col("h.text").alias(main)
     )
     if properties is not None:
-        shown = properties.join(members.select("id"), "id").select(F.lit("2 property").alias("section"), "name", "id", F.col("text").alias(main))
-        rows = rows.unionByName(shown)
-    cells = grid.select(F.lit("3 endpoint").alias("section"), F.col("endpoint").alias("name"), "id", *(c.alias(n) for n, c in first.items()))
+        shown = properties.join(rank, ["target", "id"])
+        rows = rows.unionByName(
+            shown.select("target", "rank", F.lit("2 property").alias("section"), "name", F.col("text").alias(main)), allowMissingColumns=True
+        )
+    cells = grid.join(rank, ["target", "id"]).select(
+        "target", "rank", F.lit("3 endpoint").alias("section"), F.col("endpoint").alias("name"),
+        *(F.coalesce(*(s.cast("string") for s in sources)).alias(n) for n, sources in exports.items()),
+    )
     rows = rows.unionByName(cells, allowMissingColumns=True)
-    wide = rows.groupBy("section", "name").pivot("id", columns).agg(*(F.max(n).alias(n) for n in exports))
-    return wide.orderBy("section", "name")
+    # one row per rank of a neighbourhood
+    by_rank = F.map_from_entries(F.collect_list(F.struct("rank", F.struct(*exports))))
+    return rows.groupBy("target", "section", "name").agg(by_rank.alias("m")).select(
+        "target", "section", "name",
+        *(F.try_element_at("m", F.lit(r))[n].alias(f"{r}_{n}") for r in range(1, size + 1) for n in exports),
+    )
 
 
 def neighbour_bits(members: DataFrame, fingerprints: DataFrame, vocabulary: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Incremental upkeep of fingerprints from a stream of bits.
 
-The batch operators are the body of ``foreachBatch``; each micro-batch writes a
-new version of the table and moves a pointer, so a replayed batch is harmless.
+The batch operators are the body of ``foreachBatch``. Each micro-batch writes
+its own version of the table from the one before, so a replayed batch is
+harmless.
 """
 
 from __future__ import annotations
