@@ -17,10 +17,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinfold.session import cut_lineage
 
@@ -42,24 +45,21 @@ class Part:
 # ---- kernels on two blocks -------------------------------------------------
 
 
-def set_overlap(left: list, right: list) -> np.ndarray:
+def set_overlap(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
     """Size of the intersection of every left set with every right set."""
     shape = (len(left), len(right))
-    l_len, r_len = (np.fromiter((len(x) for x in side), dtype=np.int64, count=len(side)) for side in (left, right))
-    flat = [np.asarray(x) for x in (*left, *right) if len(x)]
-    if not flat:
-        return np.zeros(shape, dtype=np.float32)
-    codes, names = pd.factorize(np.concatenate(flat))
+    l_len, r_len = lengths(left), lengths(right)
+    total = np.zeros(shape, dtype=np.float32)
+    coded = pa.concat_arrays([left.flatten(), right.flatten()]).dictionary_encode()
+    codes, names = coded.indices.to_numpy(), len(coded.dictionary)
     l_code, r_code = codes[: l_len.sum()], codes[l_len.sum() :]
     l_row, r_row = np.repeat(np.arange(shape[0]), l_len), np.repeat(np.arange(shape[1]), r_len)
-    l_freq, r_freq = np.bincount(l_code, minlength=len(names)), np.bincount(r_code, minlength=len(names))
-    pairs = l_freq * r_freq
+    l_freq, r_freq = np.bincount(l_code, minlength=names), np.bincount(r_code, minlength=names)
     # frequent features by matrix product, rare ones by counting their pairs
-    dense = pairs > shape[0] * shape[1] / 300
-    total = np.zeros(shape, dtype=np.float32)
+    dense = l_freq * r_freq > shape[0] * shape[1] / 300
     frequent = np.flatnonzero(dense)
     for start in range(0, len(frequent), 2048):
-        place = np.full(len(names), -1)
+        place = np.full(names, -1)
         chosen = frequent[start : start + 2048]
         place[chosen] = np.arange(len(chosen))
         sides = []
@@ -87,13 +87,23 @@ def set_overlap(left: list, right: list) -> np.ndarray:
     return total
 
 
-def jaccard(left: list, right: list) -> np.ndarray:
+def lengths(sets: pa.ListArray) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(sets), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def jaccard(left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
     overlap = set_overlap(left, right).astype(np.float64)
-    size = lambda side: np.array([len(x) for x in side], dtype=np.float64)
-    union = size(left)[:, None] + size(right)[None, :] - overlap
+    union = lengths(left)[:, None] + lengths(right)[None, :] - overlap
     return np.divide(overlap, union, out=np.zeros_like(overlap), where=union > 0)
 
 
+def vectors(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
+    """(known, matrix): which rows have a vector, and those vectors."""
+    known = column.is_valid().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    return known, flat.reshape(known.sum(), -1) if known.any() else flat.reshape(0, 1)
+
+
 def distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     total = np.zeros((len(left), len(right)))
     for j in range(left.shape[1]):
@@ -101,59 +111,51 @@ def distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
-def part_similarity(metric: str, left: pd.Series, right: pd.Series) -> np.ndarray:
+def part_similarity(metric: str, left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
     """Similarity matrix; an entity without the feature has similarity 0."""
-    has_l, has_r = left.notna().to_numpy(), right.notna().to_numpy()
-    out = np.zeros((len(left), len(right)))
-    a, b = left[has_l].tolist(), right[has_r].tolist()
-    if not a or not b:
-        return out
     if metric == "jaccard":
-        s = jaccard(a, b)
-    else:
-        a, b = np.array(a, dtype=np.float64), np.array(b, dtype=np.float64)
+        return jaccard(left, right)
+    out = np.zeros((len(left), len(right)))
+    (has_l, a), (has_r, b) = vectors(left), vectors(right)
+    if len(a) and len(b):
         d = distance(a, b)
-        s = 1 - d / math.sqrt(a.shape[1]) if metric == "euclid" else 1 - d**2 / 2
-    out[np.ix_(has_l, has_r)] = s
+        out[np.ix_(has_l, has_r)] = 1 - d / math.sqrt(a.shape[1]) if metric == "euclid" else 1 - d**2 / 2
     return out
 
 
 def best_rows(scores: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the k best per row; earlier columns win ties."""
-    if scores.shape[1] > k:
-        floor = np.maximum(floor, -np.partition(-scores, k - 1, axis=1)[:, k - 1])
-    row, col = np.nonzero((scores >= floor[:, None]) & (scores > 0))
+    floor = floor.copy()
+    possible = (scores >= floor[:, None]) & (scores > 0)
+    many = np.flatnonzero(possible.sum(axis=1) > k)
+    if len(many):
+        floor[many] = -np.partition(-scores[many], k - 1, axis=1)[:, k - 1]
+        possible[many] = (scores[many] >= floor[many, None]) & (scores[many] > 0)
+    row, col = np.nonzero(possible)
     order = np.lexsort((col, -scores[row, col], row))
     row, col = row[order], col[order]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     return row[rank < k], col[rank < k]
 
 
-def block_kernel(parts: list[Part], order: list[str], k: int, floor: float):
+def block_kernel(parts: list[Part], order: list[str], k: int, floor: float, schema: T.StructType):
     """Function for a cogroup of targets and candidates."""
     weight = sum(p.weight for p in parts)
+    arrow_schema = to_arrow_schema(schema)
 
-    def score(targets: pd.DataFrame, candidates: pd.DataFrame) -> pd.DataFrame:
-        candidates = candidates.sort_values(order, kind="stable").reset_index(drop=True)
+    def score(targets: pa.Table, candidates: pa.Table) -> pa.Table:
+        candidates = candidates.sort_by([(c, "ascending") for c in order]).combine_chunks()
         found = []
-        for start in range(0, len(targets) if len(candidates) else 0, TILE):
-            tile = targets.iloc[start : start + TILE]
-            scores = sum(p.weight / weight * part_similarity(p.metric, tile[p.column], candidates[p.column]) for p in parts)
-            least = np.maximum(tile["bound"].to_numpy(dtype=np.float64), floor)
+        for start in range(0, targets.num_rows if candidates.num_rows else 0, TILE):
+            tile = targets.slice(start, TILE).combine_chunks()
+            pick = lambda table, p: table[p.column].combine_chunks()
+            scores = sum(p.weight / weight * part_similarity(p.metric, pick(tile, p), pick(candidates, p)) for p in parts)
+            least = np.maximum(tile["bound"].to_numpy(), floor)
             row, col = best_rows(scores, k, least)
-            hit = candidates.iloc[col]
-            found.append(
-                pd.DataFrame(
-                    {
-                        "t_sig": tile["sig"].to_numpy()[row],
-                        "c_sig": hit["sig"].to_numpy(),
-                        "similarity": scores[row, col],
-                        **{c: hit[c].to_numpy() for c in order},
-                    }
-                )
-            )
-        names = ["t_sig", "c_sig", "similarity", *order]
-        return pd.concat(found)[names] if found else pd.DataFrame(columns=names)
+            hit = candidates.select(order).take(pa.array(col))
+            columns = {"target": tile["target"].take(pa.array(row)), "similarity": pa.array(scores[row, col])}
+            found.append(pa.table({**columns, **{c: hit[c] for c in order}}).select(schema.names).cast(arrow_schema))
+        return pa.concat_tables(found) if found else arrow_schema.empty_table()
 
     return score
 
@@ -200,7 +202,7 @@ class SizeBlocks:
     def assign(self, df: DataFrame) -> DataFrame:
         rows = [(int(r.bucket), int(r.first), int(r.chunks)) for r in self.table.itertuples()]
         table = df.sparkSession.createDataFrame(rows, "bucket int, first int, chunks int")
-        place = (F.col("first") + F.pmod(F.xxhash64("sig"), F.col("chunks"))).cast("int")
+        place = (F.col("first") + F.pmod(F.hash("sig"), F.col("chunks"))).cast("int")
         return (
             df.withColumn("bucket", self.bucket())
             .join(F.broadcast(table), "bucket")
@@ -269,7 +271,7 @@ class TreeBlocks:
 
     def assign(self, df: DataFrame) -> DataFrame:
         first, chunks = (F.array(*(F.lit(int(v)) for v in a)) for a in (self.first, self.chunks))
-        spread = F.pmod(F.xxhash64("sig"), F.get(chunks, F.col("leaf")))
+        spread = F.pmod(F.hash("sig"), F.get(chunks, F.col("leaf")))
         return self._leaf(df).withColumn("block", (F.get(first, F.col("leaf")) + spread).cast("int")).drop("leaf")
 
     def best_possible(self, features: pd.Series) -> np.ndarray:
@@ -292,15 +294,14 @@ def block_size(rows: int, cores: int) -> int:
 # ---- the operator ----------------------------------------------------------
 
 
-def _representatives(df: DataFrame, parts: list[Part], order: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(members, representatives): one representative per distinct features."""
+def _representatives(df: DataFrame, parts: list[Part], order: list[str], name: str) -> tuple[DataFrame, DataFrame]:
+    """(members, representatives): the first entity in ``order`` of each distinct features, as ``name``."""
     columns = [p.column for p in parts]
     # SHA-256 of the features stands for them as a key
-    members = df.withColumn("sig", F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256)))
-    rep = members.groupBy("sig").agg(
-        *(F.first(c).alias(c) for c in columns), F.min(F.struct(*order)).alias("_best")
-    )
-    return members.drop(*columns), rep.select("sig", *columns, "_best.*")
+    keyed = df.withColumn("sig", F.unhex(F.sha2(F.to_json(F.struct(*columns)), 256)))
+    rep = keyed.groupBy("sig").agg(*(F.first(c).alias(c) for c in columns), F.min(F.struct(*order)).alias("_best"))
+    rep = rep.select("sig", *columns, "_best.*").withColumnRenamed(order[-1], name).persist()
+    return keyed.drop(*columns).join(rep.select("sig", name), "sig").drop("sig"), rep
 
 
 def top_matches(
@@ -324,11 +325,9 @@ def top_matches(
             unit = lambda c: F.transform(c, lambda x: F.try_divide(x, F.sqrt(F.aggregate(c, F.lit(0.0), lambda a, y: a + y * y))))
             targets = targets.withColumn(p.column, unit(F.col(p.column).cast("array<double>")))
             candidates = candidates.withColumn(p.column, unit(F.col(p.column).cast("array<double>")))
-    order = [*(order or []), "nn_id"]
-    candidates = candidates.withColumnRenamed("id", "nn_id")
-    t_members, t_rep = _representatives(targets.withColumn("nn_id", F.col("id")), parts, ["nn_id"])
-    c_members, c_rep = _representatives(candidates, parts, order)
-    t_rep, c_rep = t_rep.drop("nn_id").persist(), c_rep.persist()
+    t_members, t_rep = _representatives(targets.select("id", *(p.column for p in parts)), parts, ["id"], "target")
+    c_members, c_rep = _representatives(candidates, parts, [*(order or []), "id"], "analog")
+    keys = [*(order or []), "analog"]
 
     main = max(parts, key=lambda p: p.weight)
     cores = targets.sparkSession.sparkContext.defaultParallelism
@@ -341,21 +340,20 @@ def top_matches(
     tasks = lambda groups: int(max(1, min(20_000, groups)))
 
     t_block, c_block = blocks.assign(t_rep), blocks.assign(c_rep)
-    kernel = block_kernel(parts, order, k + 1, floor)
     fields = c_rep.schema
     schema = T.StructType(
-        [T.StructField("t_sig", T.BinaryType()), T.StructField("c_sig", T.BinaryType()),
-         T.StructField("similarity", T.DoubleType()), *(fields[c] for c in order)]
+        [T.StructField("target", t_rep.schema["target"].dataType), T.StructField("similarity", T.DoubleType()), *(fields[c] for c in keys)]
     )
+    kernel = block_kernel(parts, keys, k + 1, floor, schema)
     own = (
         t_block.withColumn("bound", F.lit(0.0)).repartition(tasks(blocks.count), "block").groupBy("block")
         .cogroup(c_block.repartition(tasks(blocks.count), "block").groupBy("block"))
-        .applyInPandas(lambda t, c: kernel(t, c), schema)
+        .applyInArrow(kernel, schema)
     )
     if blocks.count > 1:
         own = cut_lineage(own)
-        bound = own.groupBy("t_sig").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_least"))
-        bound = bound.where(F.col("_n") > k).select(F.col("t_sig").alias("sig"), F.col("_least").alias("bound"))
+        bound = own.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_least"))
+        bound = bound.where(F.col("_n") > k).select("target", F.col("_least").alias("bound"))
         share = main.weight / sum(p.weight for p in parts)
 
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -367,7 +365,7 @@ def top_matches(
                 yield pd.Series([np.flatnonzero(w) for w in wanted])
 
         trips = (
-            t_block.join(bound, "sig", "left").fillna(0.0, ["bound"]).withColumnRenamed("block", "home")
+            t_block.join(bound, "target", "left").fillna(0.0, ["bound"]).withColumnRenamed("block", "home")
             .withColumn("block", F.explode(visits(main.column, "home", "bound")))
         )
         pairs = trips.select(F.col("home").alias("visitor"), F.col("block").alias("place")).distinct()
@@ -376,23 +374,25 @@ def top_matches(
         other = (
             trips.repartition(groups, "home", "block").groupBy("home", "block")
             .cogroup(visited.repartition(groups, "visitor", "place").groupBy("visitor", "place"))
-            .applyInPandas(lambda t, c: kernel(t, c), schema)
+            .applyInArrow(kernel, schema)
         )
         own = own.unionByName(other)
 
-    by_rep = W.partitionBy("t_sig").orderBy(F.desc("similarity"), *order)
-    near = own.withColumn("_r", F.row_number().over(by_rep)).where(F.col("_r") <= k + 1).select("t_sig", "c_sig", "similarity")
-    by_copy = W.partitionBy("sig").orderBy(*order)
-    copies = c_members.withColumn("_r", F.row_number().over(by_copy)).where(F.col("_r") <= k + 1).drop("_r")
-    full = near.join(copies, near["c_sig"] == copies["sig"]).drop("sig")
+    best = W.partitionBy("target").orderBy(F.desc("similarity"), *keys)
+    near = own.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("target", "analog", "similarity")
+    first = W.partitionBy("analog").orderBy(*(order or []), "nn_id")
+    copies = c_members.withColumnRenamed("id", "nn_id").withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= k + 1)
+    best = W.partitionBy("target").orderBy(F.desc("similarity"), *(order or []), "nn_id")
     lists = (
-        full.withColumn("_r", F.row_number().over(by_rep)).where(F.col("_r") <= k + 1)
-        .groupBy("t_sig")  # at most k + 1 rows each
+        near.join(copies.drop("_r"), "analog")
+        .withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
+        .groupBy("target")  # at most k + 1 rows each
         .agg(F.sort_array(F.collect_list(F.struct("_r", "nn_id", "similarity"))).alias("near"))
     )
     mine = F.slice(F.filter("near", lambda x: x["nn_id"] != F.col("id")), 1, k)
-    return (
-        t_members.select("id", "sig").join(lists, F.col("sig") == F.col("t_sig"))
+    # kept, since callers read the neighbours several times and the kernel is dear
+    return cut_lineage(
+        t_members.join(lists, "target")
         .select("id", F.posexplode(mine).alias("rank", "hit"))
         .select("id", (F.col("rank") + 1).alias("rank"), F.col("hit.nn_id").alias("nn_id"), F.col("hit.similarity").alias("similarity"))
     )

@@ -88,7 +88,8 @@ def classified_effects(positive: DataFrame, unrelated: DataFrame, missing: DataF
 def first_match(rows: DataFrame, lookup: DataFrame, key: str, order: list[str]) -> DataFrame:
     """Left join to the first lookup row of each key; the row's own columns win."""
     added = [c for c in lookup.columns if c != key and c not in rows.columns]
-    first = lookup.groupBy(key).agg(F.min(F.struct(*order, *added)).alias("m"))
+    ranked = [*order, *(c for c in added if c not in order)]
+    first = lookup.groupBy(key).agg(F.min(F.struct(*ranked)).alias("m"))
     return rows.join(first.select(key, *(F.col(f"m.{c}").alias(c) for c in added)), key, "left")
 
 

@@ -176,14 +176,14 @@ def negative_rows(t: Tables):
 @query(
     "D10_blended_neighbour_lists",
     cte("baskets", "ranges", "returners", knn("baskets", 20, "returners", "b"), knn("ranges", 20, "returners", "r"))
-    + "SELECT id, nn_id, round(sum(w * similarity) / 4, 6) AS similarity FROM (SELECT id, nn_id, similarity, 3 AS w FROM b UNION ALL SELECT id, nn_id, similarity, 1 FROM r) GROUP BY id, nn_id",
+    + "SELECT id, nn_id, round(sum(w * similarity) / 4, 8) AS similarity FROM (SELECT id, nn_id, round(similarity, 10) AS similarity, 3 AS w FROM b UNION ALL SELECT id, nn_id, round(similarity, 10), 1 FROM r) GROUP BY id, nn_id",
 )
 def blended(t: Tables):
     lists = None
-    for name, bits in (("basket", t.baskets), ("range", t.ranges)):
-        one = neighbors.neighbor_table(fingerprints.set_fingerprints(bits), [Part("ds")], name, "returners", t.returners, k=20)
+    for name, bits in (("basket", t.basket_sets), ("range", t.range_sets)):
+        one = neighbors.neighbor_table(bits, [Part("ds")], name, "returners", t.returners, k=20)
         lists = one if lists is None else lists.unionByName(one)
-    return neighbors.blend_lists(lists, {"basket": 3, "range": 1}).select("id", "nn_id", r6("similarity", "similarity"))
+    return neighbors.blend_lists(lists, {"basket": 3, "range": 1}).select("id", "nn_id", F.round("similarity", 8).alias("similarity"))
 
 
 @query(

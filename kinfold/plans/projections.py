@@ -222,10 +222,10 @@ def unnamed(t: Tables):
 @query(
     "B15_property_text",
     "SELECT l_orderkey, l_linenumber, l_partkey, v, CASE WHEN v <> 0 AND abs(round_even(v, 2)) <= 0.1 THEN format('{:.3g}', v) ELSE format('{:.2f}', v) END AS txt "
-    "FROM (SELECT *, sqrt(l_tax * l_discount) / l_quantity + CASE WHEN l_linenumber > 4 THEN l_quantity / 7 ELSE 0 END AS v FROM lineitem)",
+    "FROM (SELECT *, sqrt(l_tax * l_discount + 0.0000123::DOUBLE * l_linenumber) / l_quantity + CASE WHEN l_linenumber > 4 THEN l_quantity / 7 ELSE 0 END AS v FROM lineitem)",
 )
 def shown(t: Tables):
-    v = F.sqrt(F.col("l_tax") * F.col("l_discount")) / F.col("l_quantity") + F.when(F.col("l_linenumber") > 4, F.col("l_quantity") / 7).otherwise(0.0)
+    v = F.sqrt(F.col("l_tax") * F.col("l_discount") + F.lit(0.0000123) * F.col("l_linenumber")) / F.col("l_quantity") + F.when(F.col("l_linenumber") > 4, F.col("l_quantity") / 7).otherwise(0.0)
     rows = t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", v.alias("v"))
     return rows.withColumn("txt", numbers.property_text(F.col("v"), 2))
 

@@ -7,7 +7,6 @@ from pyspark.sql import types as T
 
 from kinfold.operators import neighbors
 from kinfold.operators.block_search import Part
-from kinfold.operators.fingerprints import set_fingerprints
 from kinfold.operators.grid import read_across_grid
 from kinfold.plans.registry import big, query, r6, text
 from kinfold.plans.tables import Tables, cte, knn, members
@@ -151,7 +150,7 @@ def metadata(t: Tables):
 )
 def closed(t: Tables):
     tables = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "no_filter", k=3).unionByName(
-        neighbors.neighbor_table(set_fingerprints(t.ranges), BITS, "range", "no_filter", k=3)
+        neighbors.neighbor_table(t.range_sets, BITS, "range", "no_filter", k=3)
     )
     sample = writers.closed_sample(t.returners, tables)
     customers = t.customer.select(F.col("c_custkey").alias("id"))

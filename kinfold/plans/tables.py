@@ -115,23 +115,25 @@ class Tables:
             .join(self.part, F.col("p_partkey") == F.col("l_partkey"))
         )
 
-    @property
+    # Fingerprints are read several times by one search, so they are stored once.
+
+    @cached_property
     def word_lists(self) -> DataFrame:
         """(id, ds): distinct lower-case words of each document."""
         found = F.array_distinct(F.split(F.lower("text"), WORD_BREAK))
         return self.documents.select(F.col("doc_id").alias("id"), F.array_sort(F.array_remove(found, "")).alias("ds")).where(
             F.size("ds") > 0
-        )
+        ).persist()
 
     @property
     def words(self) -> DataFrame:
         return self.word_lists.select("id", F.explode("ds").alias("bit"))
 
-    @property
+    @cached_property
     def word_bits(self) -> DataFrame:
         """(id, ds): words hashed into 2,048 positions."""
         tokens = F.array_remove(F.split(F.lower("text"), WORD_BREAK), "")
-        return self.documents.select(F.col("doc_id").alias("id"), hashed_positions(tokens).alias("ds")).where(F.size("ds") > 0)
+        return self.documents.select(F.col("doc_id").alias("id"), hashed_positions(tokens).alias("ds")).where(F.size("ds") > 0).persist()
 
     @property
     def baskets(self) -> DataFrame:
@@ -141,9 +143,13 @@ class Tables:
     def ranges(self) -> DataFrame:
         return self.sales.selectExpr("o_custkey AS id", "p_brand || ':' || p_size AS bit").distinct()
 
-    @property
+    @cached_property
     def basket_sets(self) -> DataFrame:
-        return set_fingerprints(self.baskets)
+        return set_fingerprints(self.baskets).persist()
+
+    @cached_property
+    def range_sets(self) -> DataFrame:
+        return set_fingerprints(self.ranges).persist()
 
     @property
     def entities(self) -> DataFrame:

@@ -4,6 +4,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,7 +44,8 @@ def test_overlap_counts_rare_and_frequent_features():
     left = [rnd.choice(4000, size=rnd.integers(0, 30), replace=False).tolist() + [9999] for _ in range(70)]
     right = [rnd.choice(4000, size=rnd.integers(0, 30), replace=False).tolist() + [9999] for _ in range(50)]
     want = [[len(set(a) & set(b)) for b in right] for a in left]
-    assert set_overlap(left, right).tolist() == want
+    arrow = lambda sets: pa.array(sets, pa.list_(pa.int64()))
+    assert set_overlap(arrow(left), arrow(right)).tolist() == want
 
 
 @pytest.mark.parametrize("block_rows", [20, 1000])
