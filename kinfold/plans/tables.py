@@ -108,6 +108,11 @@ class Tables:
             raise AttributeError(name)
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
+    def spread(self, df: DataFrame) -> DataFrame:
+        """Rows over all cores where the files alone give fewer tasks, as one small file does."""
+        cores = self.spark.sparkContext.defaultParallelism
+        return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
     @cached_property
     def sales(self) -> DataFrame:
         return (
@@ -121,7 +126,7 @@ class Tables:
     def word_lists(self) -> DataFrame:
         """(id, ds): distinct lower-case words of each document."""
         found = F.array_distinct(F.split(F.lower("text"), WORD_BREAK))
-        return self.documents.select(F.col("doc_id").alias("id"), F.array_sort(F.array_remove(found, "")).alias("ds")).where(
+        return self.spread(self.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_sort(F.array_remove(found, "")).alias("ds")).where(
             F.size("ds") > 0
         ).persist()
 
@@ -133,7 +138,7 @@ class Tables:
     def word_bits(self) -> DataFrame:
         """(id, ds): words hashed into 2,048 positions."""
         tokens = F.array_remove(F.split(F.lower("text"), WORD_BREAK), "")
-        return self.documents.select(F.col("doc_id").alias("id"), hashed_positions(tokens).alias("ds")).where(F.size("ds") > 0).persist()
+        return self.spread(self.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), hashed_positions(tokens).alias("ds")).where(F.size("ds") > 0).persist()
 
     @property
     def baskets(self) -> DataFrame:
