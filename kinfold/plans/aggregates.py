@@ -90,12 +90,12 @@ def grouped(t: Tables):
 
 @query(
     "E07_median_top_features",
-    f"WITH m AS (SELECT o_custkey AS id, o_orderpriority AS cell_type, p_brand AS endpoint, abs(median(l_discount - 0.05)) AS top, median(l_quantity) AS bmd FROM {SALES} GROUP BY ALL), "
-    "c AS (SELECT unnest([10.0, 30.0]) AS cutoff), r AS (SELECT *, row_number() OVER (PARTITION BY id, cell_type, cutoff ORDER BY round(top, 9) DESC, endpoint) AS r FROM m, c WHERE bmd <= cutoff), "
+    f"WITH m AS (SELECT o_custkey AS id, o_orderpriority AS cell_type, p_brand AS endpoint, abs(median(round(l_discount * 100) - 5)) AS top, median(l_quantity) AS bmd FROM {SALES} GROUP BY ALL), "
+    "c AS (SELECT unnest([10.0, 30.0]) AS cutoff), r AS (SELECT *, row_number() OVER (PARTITION BY id, cell_type, cutoff ORDER BY top DESC, endpoint) AS r FROM m, c WHERE bmd <= cutoff), "
     "s AS (SELECT unnest([2, 4]) AS size) SELECT id, cell_type, size, cutoff::DOUBLE AS cutoff, string_agg(endpoint, ' ' ORDER BY r) AS ds, count(*) AS n FROM r, s WHERE r <= size GROUP BY ALL",
 )
 def medians(t: Tables):
-    hits = t.sales.selectExpr("o_custkey AS id", "o_orderpriority AS cell_type", "p_brand AS endpoint", "round(l_discount - 0.05, 9) AS top", "l_quantity AS bmd")
+    hits = t.sales.selectExpr("o_custkey AS id", "o_orderpriority AS cell_type", "p_brand AS endpoint", "round(l_discount * 100) - 5 AS top", "l_quantity AS bmd")
     out = fingerprints.top_features(hits, [2, 4], [10, 30])
     return out.select("id", "cell_type", "size", "cutoff", text("ds", "ds"), big("n", "n"))
 
