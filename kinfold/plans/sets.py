@@ -35,10 +35,10 @@ def id_diff(t: Tables):
 
 
 DIFF = (
-    "both AS (SELECT id, bit, bool_or(side = 1) AS o, bool_or(side = 2) AS n FROM (SELECT id, bit, 1 AS side FROM old UNION ALL SELECT id, bit, 2 FROM new) GROUP BY ALL), "
-    "has AS (SELECT id, bool_or(o) AS ho, bool_or(n) AS hn FROM both GROUP BY id), "
+    "merged AS (SELECT id, bit, bool_or(side = 1) AS o, bool_or(side = 2) AS n FROM (SELECT id, bit, 1 AS side FROM old UNION ALL SELECT id, bit, 2 FROM new) GROUP BY ALL), "
+    "has AS (SELECT id, bool_or(o) AS ho, bool_or(n) AS hn FROM merged GROUP BY id), "
     "diff AS (SELECT id, CASE WHEN NOT ho THEN 'old' WHEN NOT hn THEN 'new' END AS missing, count(*) FILTER (ho AND hn AND NOT o) AS added, count(*) FILTER (ho AND hn AND NOT n) AS removed, "
-    "min(CASE WHEN ho AND hn AND NOT n THEN bit END) AS first_removed FROM both JOIN has USING (id) GROUP BY id, ho, hn)"
+    "min(CASE WHEN ho AND hn AND NOT n THEN bit END) AS first_removed FROM merged JOIN has USING (id) GROUP BY id, ho, hn)"
 )
 
 
