@@ -40,17 +40,19 @@ def running_totals(
     )
 
 
-def exact_median(df: DataFrame, keys: list[str], value: str, name: str) -> DataFrame:
-    counted = df.where(F.col(value).isNotNull()).select(*keys, value, F.lit(1).alias("_n"))
-    ranked = running_totals(counted, keys, value, ["_n"])
-    size = counted.groupBy(*keys).agg(F.sum("_n").alias("_size"))
+def exact_median(df: DataFrame, keys: list[str], value: str, name: str, large: int = 1_000_000) -> DataFrame:
+    """(keys, name): the built-in median for ordinary groups, running totals for those over ``large`` rows."""
+    known = df.where(F.col(value).isNotNull()).select(*keys, value)
+    big = known.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size")).where(F.col("_size") > large)
+    small = known.join(big, keys, "left_anti").groupBy(*keys).agg(F.median(value).alias(name))
+    counted = known.join(big.drop("_size"), keys, "left_semi").withColumn("_n", F.lit(1))
     at_or_above = lambda rank: F.min(F.when(F.col("cum__n") >= rank, F.col(value)))
     lower, upper = F.floor((F.col("_size") + 1) / 2), F.floor(F.col("_size") / 2) + 1
-    return (
-        ranked.join(size, keys)
-        .groupBy(*keys)
+    split = (
+        running_totals(counted, keys, value, ["_n"]).join(big, keys).groupBy(*keys)
         .agg(((at_or_above(lower) + at_or_above(upper)) / 2).alias(name))
     )
+    return small.unionByName(split)
 
 
 def bounded_lists(

@@ -145,7 +145,7 @@ def class_bits(classes: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 def hashed_positions(tokens: Column, bits: int = HASHED_BITS) -> Column:
     """Distinct positions of the tokens' hashes."""
-    return F.array_sort(F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(bits)).cast("int"))))
+    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(bits)).cast("int"))))
 
 
 def hashed_fingerprints(texts: DataFrame, tokens: Column, prefix: str, bits: int = HASHED_BITS) -> DataFrame:

@@ -18,7 +18,7 @@ def scaled_embeddings(t: Tables):
     wide = t.embeddings.select(
         F.col("vec_id").alias("id"), *(F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(columns))
     )
-    return properties.population_scaled(wide, columns).select("id", F.array(*columns).alias("v"))
+    return properties.population_scaled(wide, columns).select("id", F.array(*columns).alias("v")).persist()
 
 
 SCALED = (

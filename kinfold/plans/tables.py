@@ -120,15 +120,19 @@ class Tables:
             .join(self.part, F.col("p_partkey") == F.col("l_partkey"))
         )
 
-    # Fingerprints are read several times by one search, so they are stored once.
+    # Fingerprints are read several times by one search, so they are stored
+    # once. The filter comes after that: before, it would be pushed under the
+    # repartitioning and tokenise the whole table in the tasks of the scan.
+
+    @cached_property
+    def texts(self) -> DataFrame:
+        return self.spread(self.documents.select(F.col("doc_id").alias("id"), "text"))
 
     @cached_property
     def word_lists(self) -> DataFrame:
         """(id, ds): distinct lower-case words of each document."""
         found = F.array_distinct(F.split(F.lower("text"), WORD_BREAK))
-        return self.spread(self.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), F.array_sort(F.array_remove(found, "")).alias("ds")).where(
-            F.size("ds") > 0
-        ).persist()
+        return self.texts.select("id", F.sort_array(F.array_remove(found, "")).alias("ds")).persist().where(F.size("ds") > 0)
 
     @property
     def words(self) -> DataFrame:
@@ -138,7 +142,7 @@ class Tables:
     def word_bits(self) -> DataFrame:
         """(id, ds): words hashed into 2,048 positions."""
         tokens = F.array_remove(F.split(F.lower("text"), WORD_BREAK), "")
-        return self.spread(self.documents.select("doc_id", "text")).select(F.col("doc_id").alias("id"), hashed_positions(tokens).alias("ds")).where(F.size("ds") > 0).persist()
+        return self.texts.select("id", hashed_positions(tokens).alias("ds")).persist().where(F.size("ds") > 0)
 
     @property
     def baskets(self) -> DataFrame:
