@@ -244,7 +244,8 @@ class TreeBlocks:
         leaves = len(boxes)
         counts = np.zeros(leaves, dtype=int)
         for side in sides:
-            for r in self._leaf(side).groupBy("leaf").count().collect():
+            leaf = self._place(np.arange(leaves), np.ones(leaves, dtype=int))
+            for r in side.groupBy(leaf.alias("leaf")).count().collect():  # at most one row per leaf
                 counts[r["leaf"]] = max(counts[r["leaf"]], r["count"])
         self.chunks = np.maximum(1, -(-counts // block_rows))
         self.first = np.cumsum(self.chunks) - self.chunks
@@ -252,27 +253,26 @@ class TreeBlocks:
         self.hi = np.repeat(np.array([b[1] for b in boxes]), self.chunks, axis=0)
         self.count = int(self.chunks.sum())
 
-    def _leaf(self, df: DataFrame) -> DataFrame:
+    def _place(self, first: np.ndarray, chunks: np.ndarray) -> Column:
+        """Block of a vector: the first one of its leaf plus a hashed chunk; leaf 0 without a vector."""
         levels = self.levels
 
         @F.pandas_udf(T.IntegerType())
-        def leaf(features: pd.Series) -> pd.Series:
-            out = np.zeros(len(features), dtype=np.int64)
+        def place(features: pd.Series, spread: pd.Series) -> pd.Series:
+            leaf = np.zeros(len(features), dtype=np.int64)
             known = features.notna().to_numpy()
             if known.any() and levels:
                 x = np.array(features[known].tolist(), dtype=np.float64)
                 at = np.zeros(len(x), dtype=np.int64)
                 for dims, cuts in levels:
                     at = 2 * at + (x[np.arange(len(x)), dims[at]] > cuts[at])
-                out[known] = at
-            return pd.Series(out)
+                leaf[known] = at
+            return pd.Series(first[leaf] + spread.to_numpy() % chunks[leaf])
 
-        return df.withColumn("leaf", leaf(F.col(self.column)))
+        return place(F.col(self.column), F.pmod(F.hash("sig"), F.lit(1_000_003)))
 
     def assign(self, df: DataFrame) -> DataFrame:
-        first, chunks = (F.array(*(F.lit(int(v)) for v in a)) for a in (self.first, self.chunks))
-        spread = F.pmod(F.hash("sig"), F.get(chunks, F.col("leaf")))
-        return self._leaf(df).withColumn("block", (F.get(first, F.col("leaf")) + spread).cast("int")).drop("leaf")
+        return df.withColumn("block", self._place(self.first, self.chunks))
 
     def best_possible(self, features: pd.Series) -> np.ndarray:
         out = np.ones((len(features), self.count))
@@ -391,8 +391,11 @@ def top_matches(
     )
     mine = F.slice(F.filter("near", lambda x: x["nn_id"] != F.col("id")), 1, k)
     # kept, since callers read the neighbours several times and the kernel is dear
-    return cut_lineage(
+    found = cut_lineage(
         t_members.join(lists, "target")
         .select("id", F.posexplode(mine).alias("rank", "hit"))
         .select("id", (F.col("rank") + 1).alias("rank"), F.col("hit.nn_id").alias("nn_id"), F.col("hit.similarity").alias("similarity"))
     )
+    t_rep.unpersist()
+    c_rep.unpersist()
+    return found
