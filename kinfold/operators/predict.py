@@ -13,6 +13,7 @@ from kinfold.functions.numbers import from_log_molar
 from kinfold.operators.block_search import Part
 from kinfold.operators.roc import auc_and_threshold, permutation_p_value
 from kinfold.operators.similarity import neighbourhood_pairs
+from kinfold.session import cut_lineage
 
 CELL = ["target", "endpoint"]
 
@@ -109,7 +110,8 @@ def read_across(
     act = activity(observations)
     if pairs is None:
         pairs = neighbourhood_pairs(members, features, parts)
-    loo = leave_one_out(members, pairs, act, k0)
+    # kept, since curve and permutations read it
+    loo = cut_lineage(leave_one_out(members, pairs, act, k0))
     roc = auc_and_threshold(loo, CELL, "a_p", "a_t", bounded=True)
     chance = permutation_p_value(loo, CELL, "a_p", "a_t", rounds, seed)
     near = weighted_activity(members, act, k0).where(enough_neighbours(pos_min, neg_min) & F.col("share").isNotNull())
@@ -150,7 +152,7 @@ def vote_with_uncertainty(
     """``vote`` with AUC and p-value from the analogs' leave-one-out scores; one class gives 0 and 1."""
     others = members.where(F.col("id") != F.col("target"))
     pairs = neighbourhood_pairs(others, features, parts)
-    loo = leave_one_out(others, pairs, activity(observations), 2**31 - 1)
+    loo = cut_lineage(leave_one_out(others, pairs, activity(observations), 2**31 - 1))
     roc = auc_and_threshold(loo, CELL, "a_p", "a_t", bounded=True).select(*CELL, "auc")
     chance = permutation_p_value(loo, CELL, "a_p", "a_t", rounds, seed)
     return vote(members, observations, pos_min, neg_min).join(roc, CELL).join(chance, CELL)

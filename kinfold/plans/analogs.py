@@ -361,12 +361,12 @@ CATALOGUE = [properties.Property("balance", "Account balance", "USD", 1), proper
     "H21_property_table",
     cte("baskets", "returners", members("baskets", 3, "returners"))
     + "SELECT target, id, place, prop_id, label, CASE WHEN v IS NULL THEN 'N/A' WHEN v <> 0 AND abs(round_even(v, places)) <= 0.1 THEN format('{:.3g}', v) WHEN places = 1 THEN format('{:.1f}', round_even(v, 1)) ELSE format('{:.0f}', v) END AS txt FROM ("
-    "SELECT target, m.id, 0 AS place, 'balance' AS prop_id, 'Account balance (USD)' AS label, CASE WHEN c_custkey % 4 <> 0 THEN c_acctbal END AS v, 1 AS places, max(CASE WHEN c_custkey % 4 <> 0 THEN 1 END) OVER (PARTITION BY target) AS any_v FROM members m JOIN customer ON c_custkey = m.id "
+    "SELECT target, m.id, 0 AS place, 'balance' AS prop_id, 'Account balance (USD)' AS label, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS v, 1 AS places, max(CASE WHEN c_mktsegment <> 'MACHINERY' THEN 1 END) OVER (PARTITION BY target) AS any_v FROM members m JOIN customer ON c_custkey = m.id "
     "UNION ALL SELECT target, m.id, 1, 'nation', 'Nation', c_nationkey::DOUBLE, 0, 1 FROM members m JOIN customer ON c_custkey = m.id) WHERE any_v = 1",
 )
 def property_table(t: Tables):
     rows = t.customer.select(
-        F.col("c_custkey").alias("id"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation")
+        F.col("c_custkey").alias("id"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation")
     )
     out = properties.property_table(near_customers(t, 3), properties.property_values([(rows, ["balance", "nation"])]), CATALOGUE)
     return out.withColumnRenamed("text", "txt")

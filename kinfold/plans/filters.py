@@ -30,10 +30,10 @@ def available(t: Tables):
 @query(
     "C03_usable_fingerprints",
     cte("words", "entities")
-    + "SELECT w.id, count(*) AS n FROM words w JOIN entities e ON e.id = w.id WHERE e.cid IS NOT NULL AND w.id % 19 <> 0 GROUP BY w.id",
+    + "SELECT w.id, count(*) AS n FROM words w JOIN entities e ON e.id = w.id WHERE e.cid IS NOT NULL GROUP BY w.id HAVING count(*) >= 60",
 )
 def usable(t: Tables):
-    stored = t.word_lists.join(t.entities.select("id", "cid"), "id").withColumn("fail", F.when(F.col("id") % 19 == 0, "too short"))
+    stored = t.word_lists.join(t.entities.select("id", "cid"), "id").withColumn("fail", F.when(F.size("ds") < 60, "too short"))
     return stored.where(fingerprints.usable_fingerprint(F.col("ds"), F.col("cid"), F.col("fail"))).select("id", big(F.size("ds"), "n"))
 
 

@@ -156,10 +156,10 @@ def unreported(t: Tables):
     cte("effects", REQUIRED, REPORTED)
     + ", missing AS (SELECT * FROM required r WHERE NOT EXISTS (SELECT 1 FROM reported e WHERE e.study_guideline_id = r.study_guideline_id "
     "AND e.effect_target = r.effect_target AND e.effect_desc IS NOT DISTINCT FROM r.effect_desc)), "
-    "pos AS (SELECT * FROM reported WHERE chem_id < 1000000000), unrelated AS (SELECT * FROM effects WHERE study_guideline_id IS NOT NULL AND effect_critical = 0), "
-    "studies AS (SELECT DISTINCT study_guideline_id, study_type, species FROM pos), "
+    "unrelated AS (SELECT * FROM effects WHERE study_guideline_id IS NOT NULL AND effect_critical = 0), "
+    "studies AS (SELECT DISTINCT study_guideline_id, study_type, species FROM reported), "
     f"neg AS (SELECT study_guideline_id, study_type, species, {EFFECT} FROM studies FULL JOIN missing USING (study_guideline_id)), "
-    f"every AS (SELECT study_guideline_id, study_type, species, {EFFECT}, 1 AS effect_class FROM pos UNION ALL SELECT study_guideline_id, study_type, species, {EFFECT}, 0 FROM unrelated "
+    f"every AS (SELECT study_guideline_id, study_type, species, {EFFECT}, 1 AS effect_class FROM reported UNION ALL SELECT study_guideline_id, study_type, species, {EFFECT}, 0 FROM unrelated "
     f"UNION ALL SELECT study_guideline_id, study_type, species, {EFFECT}, 0 FROM neg) "
     "SELECT study_guideline_id, study_type, species, effect_target, effect_class, count(*) AS n, count(effect_desc) AS named FROM every GROUP BY ALL",
 )

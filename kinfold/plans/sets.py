@@ -109,12 +109,12 @@ def row_counts(t: Tables):
 
 @query(
     "G06_record_differences",
-    "WITH a AS (SELECT doc_id AS id, quality, toxic FROM labels), b AS (SELECT doc_id AS id, quality, CASE WHEN doc_id % 5 = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels) "
+    "WITH a AS (SELECT doc_id AS id, quality, toxic FROM labels), b AS (SELECT doc_id AS id, quality, CASE WHEN quality = 0 THEN 1 - toxic ELSE toxic END AS toxic FROM labels) "
     "SELECT *, 'old' AS only_in FROM (FROM a EXCEPT ALL FROM b) UNION ALL SELECT *, 'new' FROM (FROM b EXCEPT ALL FROM a)",
 )
 def differences(t: Tables):
     old = t.labels.withColumnRenamed("doc_id", "id")
-    new = old.withColumn("toxic", F.when(F.col("id") % 5 == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    new = old.withColumn("toxic", F.when(F.col("quality") == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
     return compare.record_differences(old, new, t.labelled)
 
 

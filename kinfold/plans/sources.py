@@ -38,10 +38,10 @@ def relational(t: Tables):
 @query(
     "A03_union_of_lists",
     cte("entities") + "SELECT sid AS id, name, NULL::DOUBLE AS size FROM entities WHERE sid IS NOT NULL "
-    "UNION ALL SELECT 'P' || p_partkey, p_name, p_size::DOUBLE FROM part WHERE p_size % 7 <> 0",
+    "UNION ALL SELECT 'P' || p_partkey, p_name, p_size::DOUBLE FROM part WHERE p_type <> 'PROMO'",
 )
 def lists(t: Tables):
-    parts = t.part.selectExpr("CASE WHEN p_size % 7 <> 0 THEN 'P' || p_partkey END AS id", "p_name AS name", "CAST(p_size AS DOUBLE) AS size")
+    parts = t.part.selectExpr("CASE WHEN p_type <> 'PROMO' THEN 'P' || p_partkey END AS id", "p_name AS name", "CAST(p_size AS DOUBLE) AS size")
     return readers.union_lists([t.entities.select(F.col("sid").alias("id"), "name"), parts], "id").select("id", "name", "size")
 
 
