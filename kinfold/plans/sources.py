@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 from kinfold.operators import neighbors
 from kinfold.operators.block_search import Part
+from kinfold.operators.fingerprints import numeric_fingerprints
 from kinfold.operators.grid import read_across_grid
+from kinfold.operators.properties import population_scaled, property_values
 from kinfold.plans.registry import big, query, r6, text
 from kinfold.plans.tables import Tables, cte, knn, members
 from kinfold.sources import readers, writers
@@ -131,6 +133,31 @@ def neighbour_bits(t: Tables):
     return writers.bit_columns(rows, ["first_bit"]).select("target", big("rank", "rank"), "id", text("ds", "ds"), "bits", "first_bit")
 
 
+NUMERIC = (
+    "WITH raw AS (SELECT p_partkey AS id, p_retailprice AS price, p_size::DOUBLE AS size FROM part), "
+    "span AS (SELECT min(price) AS pl, max(price) AS ph, min(size) AS sl, max(size) AS sh FROM raw), "
+    "v AS (SELECT id, [(price - pl) / (ph - pl), (size - sl) / (sh - sl)] AS v FROM raw, span), "
+    "near AS (SELECT a.id, b.id AS nn_id, 1 - list_distance(a.v, b.v) / sqrt(2) AS similarity FROM v a JOIN v b ON a.id <> b.id "
+    "QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY similarity DESC, nn_id) <= 2) "
+)
+
+
+@query(
+    "A09_neighbour_export_of_values",
+    NUMERIC + "SELECT n.id AS target, count(*) + 1 AS n, round(sum(similarity) + 1, 6) AS total, max(CASE WHEN n.nn_id = r.id THEN 1 ELSE 0 END) AS found "
+    "FROM near n JOIN raw r ON r.id = n.nn_id GROUP BY n.id",
+)
+def neighbour_values(t: Tables):
+    rows = t.part.select(F.col("p_partkey").alias("id"), F.col("p_retailprice").alias("price"), F.col("p_size").alias("size"))
+    numeric = numeric_fingerprints(property_values([(rows, ["price", "size"])]), ["price", "size"])
+    vectors = population_scaled(numeric, ["price", "size"]).select("id", F.array("price", "size").alias("v")).persist()
+    near = neighbors.nearest(vectors, vectors, [Part("v", "euclid")], 3)
+    values = writers.neighbour_values(near, numeric).join(near.select("target", "id", "similarity"), ["target", "id"])
+    return values.groupBy("target").agg(
+        F.count(F.lit(1)).alias("n"), r6(F.sum("similarity"), "total"), F.max(F.col("price").isNotNull().cast("int")).alias("found")
+    )
+
+
 @query(
     "A10_export_metadata",
     "SELECT * FROM (VALUES ('parameter', 'k0', '10', 'Neighbours'), ('parameter', 's0', '0.1', 'Threshold'), "

@@ -97,6 +97,11 @@ def neighbour_bits(members: DataFrame, fingerprints: DataFrame, vocabulary: Data
     return members.join(fingerprints.select("id", "ds"), "id").select("target", "rank", "id", "ds", text.alias("bits"))
 
 
+def neighbour_values(members: DataFrame, numeric: DataFrame) -> DataFrame:
+    """Neighbours with the values of a numeric fingerprint, one column each."""
+    return members.join(numeric, "id").select("target", "rank", *numeric.columns)
+
+
 def bit_columns(rows: DataFrame, names: list[str]) -> DataFrame:
     """One 0/1 column per bit beside the bit text."""
     return rows.select("*", *(F.substring("bits", i + 1, 1).cast("int").alias(n) for i, n in enumerate(names)))
