@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,6 +20,7 @@ def local_session(cores: str | int = 8, name: str = "kinfold") -> SparkSession:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("KINFOLD_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.local.dir", scratch)
         .config("spark.checkpoint.dir", os.path.join(scratch, "checkpoints"))
         .config("spark.sql.warehouse.dir", os.path.join(scratch, "warehouse"))
@@ -27,6 +30,20 @@ def local_session(cores: str | int = 8, name: str = "kinfold") -> SparkSession:
     return spark
 
 
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for each context, so that they need no installation."""
+    sc = spark.sparkContext
+    if getattr(sc, "_kinfold_sent", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(tempfile.mkdtemp(prefix="spark-"), "kinfold.zip")
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(root.rglob("*.py")):
+            out.write(path, str(path.relative_to(root.parent)))
+    sc.addPyFile(archive)
+    sc._kinfold_sent = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the folder the session names.
 
