@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, rules, tokens
+from kinfold.llm import decontaminate, jaccard, licenses, mixing, quality_fm, rules, secrets, tokens, warc
 from kinfold.llm.common import documents
+from kinfold.session import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,16 +31,52 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@query("op1_license_scan")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(documents(spark, folder))
+
+
 @query("op2_token_counts")
 def token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return tokens.count_tokens(documents(spark, folder), tokenizer_path("word_bpe_49k.json"))
 
 
+@query(
+    "op3_ngram_jaccard_join",
+    "WITH RECURSIVE " + jaccard.components_ctes("documents")
+    + " SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id FROM documents d LEFT JOIN jn USING (doc_id) JOIN jc USING (doc_id)",
+)
+def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard.jaccard_components(documents(spark, folder))
+
+
+@query("op5_benchmark_decontamination", "WITH " + decontaminate.contaminated_ctes("documents") + " SELECT * FROM leaks")
+def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 @query("op6_source_mix", "WITH " + mixing.mix_ctes("documents", 0.5) + " SELECT * FROM mixed")
 def source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_documents(documents(spark, folder))
 
 
+@query("op7_quality_classifier")
+def quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    return quality_fm.score(docs, quality_fm.train(docs, spark.read.parquet(f"{folder}/labels.parquet")))
+
+
+@query("op8_secret_scan")
+def secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.scan(documents(spark, folder))
+
+
 @query("op9_quality_rules", rules.rules_sql())
 def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return rules.quality_rules(documents(spark, folder))
+
+
+@query("op10_warc_derivatives", warc.derivatives_sql())
+def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return warc.derivatives(warc.responses_of(spark.read.parquet(f"{folder}/pages.parquet")), keep=("page_id",)).drop("block")
