@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from kinfold.llm import decontaminate, jaccard, licenses, mixing, quality_fm, rules, secrets, tokens, warc
+from kinfold.llm import decontaminate, jaccard, licenses, mixing, quality_fm, rules, secrets, suffixes, tokens, warc
 from kinfold.llm.common import documents
 from kinfold.session import ship
 
@@ -50,6 +50,11 @@ def ngram_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard.jaccard_components(documents(spark, folder))
 
 
+@query("op4_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.remove_repeats(documents(spark, folder))
+
+
 @query("op5_benchmark_decontamination", "WITH " + decontaminate.contaminated_ctes("documents") + " SELECT * FROM leaks")
 def benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
