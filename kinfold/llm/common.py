@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold.session import cut_lineage, ship
 
-__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "documents", "narrow", "shingle_hashes", "text_of", "word_hashes"]
+__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "documents", "filtered", "narrow", "shingle_hashes", "text_of", "word_hashes"]
 
 #: Separators of words: space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -122,3 +122,15 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
         for k in range(n):
             total = total * MIX + (words[k : k + size] ^ (words[k : k + size] >> np.uint64(31)))
         return mixed(total)
+
+
+def filtered(docs: DataFrame, keep: Callable, columns: list[str]) -> DataFrame:
+    """The rows of ``docs`` for which ``keep(values of each column)`` is true, a list for each batch."""
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                yield b.filter(pa.array(keep(*[b.column(c).to_pylist() for c in columns]), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

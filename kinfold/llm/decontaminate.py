@@ -11,13 +11,14 @@ shingle sets. Items of at most SMALL shingles are their own sketch.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import arrow_map, narrow, shingle_hashes, word_hashes
+from kinfold.llm.common import arrow_map, filtered, narrow, shingle_hashes, word_hashes
 
 BINS_LOG2, SMALL = 6, 16
 CONTAINMENT = 80
@@ -112,13 +113,8 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: int = CONTAINME
     texts each have rows of their own. Items are read in blocks of bounded size, each a pass over the texts.
     An empty table on either side gives no rows.
     """
-    queries = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
-    chars = queries.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
-    blocks = chars // BLOCK_CHARS + 1
     texts, out = narrow(docs, id_col, text_col), None
-    for b in range(blocks):
-        rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
-        block = block_of(sorted((r.item_id, r.text) for r in rows))
+    for block in blocks_of(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def of_chunk(ids: list, batch: list[str], sent=sent) -> dict:
@@ -130,6 +126,24 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: int = CONTAINME
     return out
 
 
+def blocks_of(items: DataFrame) -> Iterator[Block]:
+    """The items (item_id, text) in blocks of about BLOCK_CHARS characters; one block, empty, for an empty table."""
+    queries = items.select(F.col("item_id").cast("long").alias("item_id"), "text").where(F.col("text").isNotNull() & F.col("item_id").isNotNull())
+    chars = queries.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first().n
+    blocks = chars // BLOCK_CHARS + 1
+    for b in range(blocks):
+        rows = queries.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).collect()
+        yield block_of(sorted((r.item_id, r.text) for r in rows))
+
+
+def clean(docs: DataFrame, items: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that hold none of the items (item_id, text)."""
+    for block in blocks_of(items):
+        sent = docs.sparkSession.sparkContext.broadcast(block)
+        docs = filtered(docs, lambda texts, sent=sent: [not matches(t or "", sent.value, containment) for t in texts], ["text"])
+    return docs
+
+
 def shingles_sql(table: str, key: str, name: str) -> str:
     """CTEs for the distinct shingles of a table: ``name``(key, g)."""
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"

@@ -278,7 +278,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
 
     Whole texts are read. Texts with fewer than five words are one shingle; null and
     empty texts and texts without words have none and link with nothing. Equal sets
-    link. Rows with one id count as one document. An empty table gives no rows. ``threshold``
+    link. Rows with one id count as one document; those without an id link with nothing and have
+    no component. An empty table gives no rows. ``threshold``
     is the least similarity in percent, 80 or more.
     """
     if threshold < 80:
@@ -288,10 +289,11 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
     base = counted.where("slice = -1").select("doc_id", "n", "digest")
     tokens = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     frequent = _frequent(counted, tokens)
-    first = base.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    placed = cut_lineage(base.where("n > 0").join(first, "digest").select("doc_id", "rep"))
+    known = base.where("n > 0 AND doc_id IS NOT NULL")
+    first = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    placed = cut_lineage(known.join(first, "digest").select("doc_id", "rep"))
     copies = placed.where("doc_id <> rep").select("doc_id").distinct()
-    texts_of_sets = texts.join(_few(copies), "doc_id", "left_anti")
+    texts_of_sets = texts.where("doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti")
     buckets = max(64, tokens // 5 // BUCKET)
     signed = cut_lineage(_signed(texts_of_sets, frequent, int(buckets)))
     sets = signed.where("sig IS NULL").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
@@ -328,6 +330,17 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
     return base.join(placed, "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def one_of_each(docs: DataFrame, threshold: int = 80) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose id is the least of its component; of rows with one id, one."""
+    found = cut_lineage(jaccard_components(docs, threshold))
+    others = cut_lineage(found.where("doc_id <> component_id").select("doc_id").distinct())
+    kept = docs.join(_few(others), "doc_id", "left_anti")
+    repeated = cut_lineage(found.groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return kept
+    return kept.join(_few(repeated), "doc_id", "left_anti").unionByName(kept.join(_few(repeated), "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+
+
 def components_ctes(docs: str, threshold: int = 80) -> str:
     """DuckDB CTEs (recursive) for the rows of ``jaccard_components``: ``js`` shingles by id, ``jc`` components."""
     from kinfold.llm.decontaminate import shingles_sql

@@ -21,6 +21,8 @@ OTHER_WEIGHT = 0.05
 LEVELS = ("domain", "lang", "source")
 MAX_EPOCHS = 4
 SEED = "mix-1"
+#: Leaves that are broadcast at most.
+BROADCAST_LEAVES = 100_000
 #: Hex digits of the seeded order that each step of the search for a leaf's cut adds.
 DIGITS = (2, 4)
 
@@ -82,38 +84,23 @@ def leaf_targets(rows: DataFrame, levels: list[str], weights: dict[str, Column],
     return leaves.join(budget.select(*levels, F.floor(F.col("share") + F.lit(1e-6)).cast("bigint").alias("target")), levels)
 
 
-def mix(
-    docs: DataFrame,
-    levels: tuple[str, ...] = LEVELS,
-    weights: dict[str, Column] | None = None,
-    fraction: float = 0.5,
-    max_epochs: int = MAX_EPOCHS,
-    seed: str = SEED,
+def leaf_plan(
+    rows: DataFrame, levels: list[str], weights: dict[str, Column], fraction: float, max_epochs: int, seed: str
 ) -> DataFrame:
-    """(doc_id, levels, tokens, copies): how often each row of (doc_id, levels, tokens) is taken.
+    """(levels, epochs, end): whole epochs of each leaf, and the last place in the seeded order that its last epoch reaches.
 
-    ``fraction`` of all tokens is the budget. Null names of levels are a name of
-    their own, "". Null tokens count as 0. Equal ids share their place in the
-    seeded order, so they are taken together or not at all. In the last epoch a
-    leaf gives the longest prefix that fits into the rest of its target. An empty
-    table gives no rows. No group of rows meets in one task: the cut of a leaf is
-    found from sums by digits of the order, then among the rows of one such range.
+    ``rows`` (doc_id, levels, tokens) are read several times and should be stored. The
+    cut is found from sums by digits of the order, then among the rows of one such range, so no leaf's rows meet in one task.
     """
-    levels = list(levels)
-    rows = cut_lineage(docs.select(
-        F.col("doc_id"), *[F.coalesce(F.col(x), F.lit("")).alias(x) for x in levels], F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens")
-    ))
-    targets = leaf_targets(rows, levels, weights or default_weights(), fraction, max_epochs)
+    targets = leaf_targets(rows, levels, weights, fraction, max_epochs)
     some = F.col("available") > 0
     targets = cut_lineage(targets.select(
         *levels,
         F.when(some, F.expr("target div available")).otherwise(0).alias("epochs"),
         F.when(some, F.col("target") % F.col("available")).otherwise(0).alias("rest"),
     ))
-    place = F.md5(F.concat_ws(":", F.lit(seed), F.col("epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = rows.join(targets, levels).withColumn("place", place)
+    inside = rows.join(targets.drop("rest"), levels).withColumn("place", place_of(seed, F.col("epochs"), F.col("doc_id")))
     cut = targets.select(*levels, F.col("rest"), F.lit("").alias("prefix"))
-    inside = placed.drop("rest")
     for digits in DIGITS:
         sums = inside.join(cut, levels).where(F.col("place").startswith(F.col("prefix"))).groupBy(
             *levels, "rest", F.substring("place", 1, digits).alias("range")
@@ -128,17 +115,69 @@ def mix(
     upto = Window.partitionBy(*levels).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = last.withColumn("sum", F.sum("tokens").over(upto)).where(F.col("sum") <= F.col("rest"))
     fits = fits.groupBy(*levels).agg(F.max("place").alias("reach"))
-    # a leaf without a cut has room for all its rows
-    ends = cut_lineage(targets.select(*levels).join(cut.select(*levels, "prefix"), levels, "left").join(fits, levels, "left").select(
-        *levels, F.when(F.col("prefix").isNull(), "g").otherwise(F.coalesce("reach", "prefix")).alias("end")
-    ))
-    taken = F.when(F.col("place") <= F.col("end"), 1).otherwise(0)
-    return placed.join(ends, levels).select("doc_id", *levels, "tokens", (F.col("epochs") + taken).cast("bigint").alias("copies"))
+    # a leaf without a cut has room for all its rows; every place is below "g"
+    end = F.when(F.col("prefix").isNull(), "g").otherwise(F.coalesce("reach", "prefix"))
+    return cut_lineage(targets.drop("rest").join(cut.select(*levels, "prefix"), levels, "left").join(fits, levels, "left").select(*levels, "epochs", end.alias("end")))
+
+
+def place_of(seed: str, epoch: Column, key: Column) -> Column:
+    """Place of a row in the order of an epoch: hexadecimal text."""
+    return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
+
+
+def copies_of(seed: str, key: Column) -> Column:
+    taken = F.when(place_of(seed, F.col("epochs"), key) <= F.col("end"), 1).otherwise(0)
+    return (F.col("epochs") + taken).cast("bigint")
+
+
+def rows_of(docs: DataFrame, levels: list[str]) -> DataFrame:
+    named = [F.coalesce(F.col(x), F.lit("")).alias(x) for x in levels]
+    return cut_lineage(docs.select("doc_id", *named, F.coalesce(F.col("tokens"), F.lit(0)).cast("bigint").alias("tokens")))
+
+
+def mix(
+    docs: DataFrame,
+    levels: tuple[str, ...] = LEVELS,
+    weights: dict[str, Column] | None = None,
+    fraction: float = 0.5,
+    max_epochs: int = MAX_EPOCHS,
+    seed: str = SEED,
+) -> DataFrame:
+    """(doc_id, levels, tokens, copies): how often each row of (doc_id, levels, tokens) is taken.
+
+    ``fraction`` of all tokens is the budget. Null names of levels are a name of
+    their own, "". Null tokens count as 0. Equal ids share their place in the
+    seeded order, so they are taken together or not at all. In the last epoch a
+    leaf gives the longest prefix that fits into the rest of its target. An empty
+    table gives no rows.
+    """
+    levels = list(levels)
+    rows = rows_of(docs, levels)
+    plan = leaf_plan(rows, levels, weights or default_weights(), fraction, max_epochs, seed)
+    return rows.join(plan, levels).select("doc_id", *levels, "tokens", copies_of(seed, F.col("doc_id")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, fraction: float = 0.5) -> DataFrame:
     """``mix`` of a table of documents: domain by source, tokens by words of the whole text."""
-    return mix(docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words().alias("tokens")), fraction=fraction)
+    return mix(levelled(docs), fraction=fraction)
+
+
+def levelled(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", domain_of(F.col("source")).alias("domain"), "lang", "source", n_words().alias("tokens"))
+
+
+def mixed_documents(docs: DataFrame, fraction: float = 0.5) -> DataFrame:
+    """The rows of a table of documents that ``mix_documents`` takes, with their ``copies`` (in place of a column of that name). Texts are not shuffled unless there are very many leaves."""
+    levels = list(LEVELS)
+    plan = leaf_plan(rows_of(levelled(docs), levels), levels, default_weights(), fraction, MAX_EPOCHS, SEED)
+    plan = plan.select(*[F.col(x).alias(f"leaf_{x}") for x in levels], F.col("epochs"), F.col("end"))
+    if plan.count() <= BROADCAST_LEAVES:
+        plan = F.broadcast(plan)
+    own = docs.select(F.struct(*docs.columns).alias("doc"))
+    of = {"domain": domain_of(F.col("doc.source")), "lang": F.col("doc.lang"), "source": F.col("doc.source")}
+    leaf = [F.coalesce(of[x], F.lit("")) == F.col(f"leaf_{x}") for x in levels]
+    taken = own.join(plan, leaf).withColumn("copies", copies_of(SEED, F.col("doc.doc_id"))).where("copies > 0")
+    return taken.select(*[f"doc.`{c}`" for c in docs.columns if c != "copies"], "copies")
 
 
 def mix_ctes(table: str, fraction: float) -> str:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import LOWER, bucket_ids, chunks, text_of
+from kinfold.llm.common import LOWER, bucket_ids, chunks, filtered, text_of
 from kinfold.session import ship
 
 BITS = 15
@@ -182,7 +182,7 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",
     """(doc_id, held_out, score, predicted) of every row.
 
     Reads whole texts. Null texts count as empty; empty texts have a score by their
-    metadata and the means of the model; equal rows score equally; an empty table gives no rows.
+    metadata and the means of the model; equal rows score equally; rows without an id are not held out; an empty table gives no rows.
     """
     ship(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(model)
@@ -199,4 +199,18 @@ def score(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "score": sigmoid(raw.astype(np.float64))})
 
     scored = rows.mapInArrow(of_batches, "doc_id long, score double")
-    return scored.select("doc_id", (remainder("doc_id") == 0).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(remainder("doc_id") == 0, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def accepted(docs: DataFrame, model: Model, metadata: tuple[str, ...] = ("n_chars",)) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that the model predicts to be good."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def keep(texts: list, *meta: list) -> list[bool]:
+        out = []
+        for k, text in enumerate(texts):
+            raw, _ = raw_scores(scaled(features([text or ""], [[m[k]] for m in meta]), sent.value), sent.value)
+            out.append(bool(sigmoid(raw.astype(np.float64))[0] >= THRESHOLD))
+        return out
+
+    return filtered(docs, keep, ["text", *metadata])

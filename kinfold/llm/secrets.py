@@ -9,11 +9,14 @@ from __future__ import annotations
 
 import hashlib
 import re
+from collections.abc import Iterator
 from math import log10
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from kinfold.llm.common import arrow_map, narrow
+from kinfold.session import ship
 
 KINDS = ("assign", "access", "hex", "cost")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -135,3 +138,21 @@ def redacted(text: str) -> str:
             out += [text[at:s], f"<{KINDS[k]}>"]
         at = max(at, e)
     return "".join([*out, text[at:]]) if spans else text
+
+
+def redact(docs: DataFrame) -> DataFrame:
+    """``docs`` with every secret of ``text`` replaced by its kind, and ``n_chars`` of the changed texts counted anew. Nulls stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
+            old = b.column(at).to_pylist()
+            new = [t and redacted(t) for t in old]
+            b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
+            if n >= 0:
+                counts = [len(y) if x != y else c for x, y, c in zip(old, new, b.column(n).to_pylist(), strict=True)]
+                b = b.set_column(n, b.schema.field(n), pa.array(counts, b.schema.field(n).type))
+            yield b
+
+    ship(docs.sparkSession)
+    return docs.mapInArrow(run, docs.schema)

@@ -206,16 +206,16 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
 
     Texts are UTF-8 bytes and whole; null counts as empty. Matches lie within one text
     each, may overlap, and are judged on the input. Texts under ``length`` bytes lose nothing; all
-    bytes of equal texts of that length go. Rows with one id are texts of their own. An empty table gives no rows.
+    bytes of equal texts of that length go. Rows with one id, or with none, are texts of their own. An empty table gives no rows.
     """
-    texts = narrow(docs, id_col, text_col)
-    rows = cut_lineage(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")))
-    distinct = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("doc_id").alias("rep"))
+    texts = narrow(docs, id_col, text_col).withColumn("own", F.coalesce("doc_id", F.xxhash64("text")))
+    rows = cut_lineage(texts.select("doc_id", "own", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("key")))
+    distinct = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("own").alias("rep"))
     size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
     marked = cut_lineage(rows.join(distinct, "key"))
-    others = marked.where("doc_id <> rep").select("doc_id").distinct()
+    others = marked.where("own <> rep").select("own").distinct()
     few = others.count() <= BROADCAST_VALUES
-    reps = texts.join(F.broadcast(others) if few else others, "doc_id", "left_anti")
+    reps = texts.join(F.broadcast(others) if few else others, "own", "left_anti").select(F.col("own").alias("doc_id"), "text")
     buckets = int(max(48, size // 200 // BUCKET))
     values = cut_lineage(_repeated_values(reps, length, gram, buckets).distinct().groupBy("doc_id").agg(F.collect_list("value").alias("values")))
     many = values.agg(F.coalesce(F.sum(F.size("values")), F.lit(0)).alias("n")).first().n
