@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from kinfold.session import cut_lineage, ship
 
-__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "documents", "filtered", "narrow", "shingle_hashes", "text_of", "word_hashes"]
+__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "narrow", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
 
 #: Separators of words: space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -22,7 +22,8 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Texts are worked on in chunks of about this many bytes; a longer text is a chunk by itself.
 CHUNK_BYTES = 2_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
-WORDS_KEPT = 300_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 64
 
 
 def documents(spark: SparkSession, folder: str) -> DataFrame:
@@ -59,6 +60,21 @@ def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]
         yield ids, texts
 
 
+def pieces(texts: list[str | None]) -> Iterator[list[str]]:
+    """The texts in order, in lists of at most CHUNK_BYTES characters or one longer text; null as empty."""
+    part: list[str] = []
+    size = 0
+    for t in texts:
+        t = t or ""
+        if part and size + len(t) > CHUNK_BYTES:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t)
+    if part:
+        yield part
+
+
 def arrow_map(docs: DataFrame, of_chunk: Callable, schema: str) -> DataFrame:
     """``of_chunk(ids, texts)`` gives columns by name for each chunk of (id, text) rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -82,29 +98,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-class WordHash(dict):
-    """64-bit hashes of words, kept for a bounded number of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > WORDS_KEPT:
-            self.clear()
-        value = self[word] = _xxh64(word)
-        return value
+def word_hashes_of(texts: list[str]) -> list[np.ndarray]:
+    """For each text, a hash for each of its words, A-Z lower-cased: eight bytes of all words at a time."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer((b" ".join(raw) + b" " * 9).translate(LOWER), np.uint8)
+    ends = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+    starts = np.append(0, ends[:-1] + 1)
+    words = ends > starts
+    starts, size = starts[words], (ends - starts)[words]
+    value = size.astype(np.uint64) * MIX
+    eights = np.lib.stride_tricks.sliding_window_view(data, 8)
+    at, left, which = starts.copy(), size.copy(), np.flatnonzero(size <= LONG_WORD)
+    while len(which):
+        part = np.ascontiguousarray(eights[at[which]]).view(np.uint64).ravel()
+        bits = (np.minimum(left[which], 8) * 8).astype(np.uint64)
+        part = part << (np.uint64(64) - bits)
+        value[which] = mixed(value[which] ^ part)
+        at[which] += 8
+        left[which] -= 8
+        which = which[left[which] > 0]
+    for k in np.flatnonzero(size > LONG_WORD):
+        value[k] = _xxh64(data[starts[k] : starts[k] + size[k]].tobytes())
+    first = np.cumsum([len(r) + 1 for r in raw])
+    return np.split(value, np.searchsorted(starts, first[:-1]))
 
 
 def _xxh64(word: bytes) -> int:
     import xxhash
 
-    return xxhash.xxh64_intdigest(word)
+    return xxhash.xxh3_64_intdigest(word)
 
 
-_words = WordHash()
+def word_hashes(text: str) -> np.ndarray:
+    return word_hashes_of([text])[0]
 
 
-def word_hashes(text: str) -> np.ndarray:
-    """A hash for each word of a text, A-Z lower-cased."""
-    words = text.encode().translate(LOWER).split()
-    return np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    values = np.sort(values)
+    new = np.ones(len(values), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def bucket_ids(words: list[bytes], bits: int) -> np.ndarray:

@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import arrow_map, filtered, narrow, shingle_hashes, word_hashes
+from kinfold.llm.common import arrow_map, distinct, filtered, narrow, pieces, shingle_hashes, word_hashes, word_hashes_of
 
 BINS_LOG2, SMALL = 6, 16
 CONTAINMENT = 80
@@ -51,7 +51,7 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 
 def block_of(items: list[tuple[int, str]]) -> Block:
     ids = [i for i, _ in items]
-    sets = [np.unique(shingle_hashes(word_hashes(t))) for _, t in items]
+    sets = [distinct(shingle_hashes(word_hashes(t))) for _, t in items]
     by_width: dict[int, list[int]] = {}
     for k, s in enumerate(sets):
         if len(s):
@@ -79,9 +79,9 @@ def window_values(hashes: np.ndarray, width: int) -> np.ndarray:
     return (np.minimum(least[:-1], least[1:]) if len(least) > 1 else least).ravel()
 
 
-def matches(text: str, block: Block, containment: int) -> list[tuple[int, int, int]]:
-    """(position of item, shared shingles, shingles of the item) of the items inside a text."""
-    hashes = shingle_hashes(word_hashes(text))
+def matches(words: np.ndarray, block: Block, containment: int) -> list[tuple[int, int, int]]:
+    """(position of item, shared shingles, shingles of the item) of the items inside a text of hashed words."""
+    hashes = shingle_hashes(words)
     if len(hashes) == 0:
         return []
     found: set[int] = set()
@@ -95,7 +95,7 @@ def matches(text: str, block: Block, containment: int) -> list[tuple[int, int, i
                 found.update(p.items[i:j].tolist())
     if not found:
         return []
-    own, out = np.unique(hashes), []
+    own, out = distinct(hashes), []
     for k in sorted(found):
         s = block.sets[k]
         at = np.minimum(np.searchsorted(own, s), len(own) - 1)
@@ -118,7 +118,7 @@ def contaminated(docs: DataFrame, items: DataFrame, containment: int = CONTAINME
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def of_chunk(ids: list, batch: list[str], sent=sent) -> dict:
-            found = [(i, sent.value.ids[k], shared, size) for i, t in zip(ids, batch, strict=True) for k, shared, size in matches(t, sent.value, containment)]
+            found = [(i, sent.value.ids[k], shared, size) for i, t in zip(ids, word_hashes_of(batch), strict=True) for k, shared, size in matches(t, sent.value, containment)]
             return {name: [f[c] for f in found] for c, name in enumerate(("doc_id", "item_id", "n_shared", "n_item"))}
 
         part = arrow_map(texts, of_chunk, "doc_id long, item_id long, n_shared long, n_item long")
@@ -140,7 +140,7 @@ def clean(docs: DataFrame, items: DataFrame, containment: int = CONTAINMENT) ->
     """The rows of ``docs``, with all their columns, that hold none of the items (item_id, text)."""
     for block in blocks_of(items):
         sent = docs.sparkSession.sparkContext.broadcast(block)
-        docs = filtered(docs, lambda texts, sent=sent: [not matches(t or "", sent.value, containment) for t in texts], ["text"])
+        docs = filtered(docs, lambda texts, sent=sent: [not matches(w, sent.value, containment) for part in pieces(texts) for w in word_hashes_of(part)], ["text"])
     return docs
 
 

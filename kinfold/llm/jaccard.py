@@ -23,25 +23,25 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import chunks, cut_lineage, mixed, narrow, shingle_hashes, word_hashes
+from kinfold.llm.common import arrow_map, chunks, cut_lineage, distinct, mixed, narrow, shingle_hashes, word_hashes_of
 from kinfold.llm.components import components
 
-#: Cells of the table of token frequencies, and cells in one row of it.
-CELLS, SLICE = 1 << 21, 1 << 12
+#: Bits that tell frequent tokens by hash, and the number of sets in whose prefix a rare token is at most.
+FLAGS, RARE = 1 << 25, 8
 #: Signatures of one bucket, about.
 BUCKET = 100_000
 #: Rounds that link each set to one or two members of its signatures' groups.
 ROUNDS = 2
-#: Bits of the sketch that bounds the overlap of two sets.
-SKETCH_BITS = 1024
+#: Bits of the least sketch that bounds the overlap of two sets.
+SKETCH_BITS = 256
 #: Ids of a join's side that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 500_000
 #: Sets compared with one set in one task.
 GROUP = 500
 
 
-def shingle_set(text: str) -> np.ndarray:
-    return np.unique(shingle_hashes(word_hashes(text)))
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    return [distinct(shingle_hashes(w)) for w in word_hashes_of(texts)]
 
 
 def allowed(n: np.ndarray | int):
@@ -49,17 +49,17 @@ def allowed(n: np.ndarray | int):
     return n // 5
 
 
-def cell_of(tokens: np.ndarray) -> np.ndarray:
-    return (tokens & np.uint64(CELLS - 1)).astype(np.int64)
+def flag_of(tokens: np.ndarray) -> np.ndarray:
+    return (mixed(tokens) & np.uint64(FLAGS - 1)).astype(np.int64)
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a sorted set. ``frequent``: packed bits by cell. Sets of up to four tokens link only with equal sets and have none."""
+    """Signatures of a sorted set. ``frequent``: packed bits by ``flag_of``. Sets of up to four tokens link only with equal sets and have none."""
     n = len(tokens)
     if n < 5:
         return tokens[:0]
-    cells = cell_of(tokens)
-    often = (frequent[cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+    flags = flag_of(tokens)
+    often = (frequent[flags >> 3] >> (7 - (flags & 7)).astype(np.uint8) & 1).astype(bool)
     need = allowed(n) + 1
     rare = tokens[~often][:need]
     if len(rare) == need:
@@ -85,49 +85,74 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 
 
 def sketch(tokens: np.ndarray) -> bytes:
-    """Parity of the tokens that hash to each bit: sets differ in at least as many tokens as their sketches in bits."""
-    bits = np.bincount(((tokens >> np.uint64(21)) & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).tobytes()
+    """Parity of the tokens that hash to each bit: sets differ in at least as many tokens as their sketches in bits.
+
+    There are at least twice as many bits as tokens, a power of two, so that a sketch folds to half its size.
+    """
+    bits = max(SKETCH_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    odd = np.bincount(((tokens >> np.uint64(21)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """Bits in which each two sketches differ, the larger folded to the size of the smaller."""
+    sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
+    out = np.zeros(len(x), np.int64)
+    for size in {tuple(z) for z in sizes.tolist()}:
+        at = np.flatnonzero((sizes == size).all(1))
+        least = min(size)
+        folded = [np.bitwise_xor.reduce(np.frombuffer(b"".join(s[i] for i in at), np.uint64).reshape(len(at), -1, least // 8), axis=1) for s in (x, y)]
+        out[at] = np.bitwise_count(folded[0] ^ folded[1]).sum(1, dtype=np.int64)
+    return out
 
 
-def _sets_and_counts(texts: DataFrame) -> DataFrame:
-    """A row (doc_id, n, digest) for each text; and the frequencies of tokens by cell, as rows (slice, counts) of each task."""
+def _digests(texts: DataFrame) -> DataFrame:
+    """(doc_id, n, digest): size and digest of each text's set."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def of_chunk(ids: list, batch: list[str]) -> dict:
         import xxhash
 
-        counts = np.zeros(CELLS, np.uint32)
-        row = lambda ids, n, digest, part, cells: pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(part, pa.int32()), pa.array(cells, pa.binary())],
-            names=["doc_id", "n", "digest", "slice", "counts"],
-        )
-        for ids, batch in chunks(batches):
-            sets = [shingle_set(t) for t in batch]
-            np.add.at(counts, cell_of(np.concatenate(sets)), 1)
-            yield row(ids, [len(s) for s in sets], [xxhash.xxh3_128_digest(s.tobytes()) for s in sets], [-1] * len(ids), [None] * len(ids))
-        parts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, SLICE)
-        for k in range(0, len(parts), 64):
-            some = range(k, min(k + 64, len(parts)))
-            yield row([None] * len(some), [None] * len(some), [None] * len(some), list(some), [parts[i].tobytes() for i in some])
+        sets = shingle_sets(batch)
+        return {"doc_id": ids, "n": [len(s) for s in sets], "digest": [xxhash.xxh3_128_digest(s.tobytes()) for s in sets]}
+
+    return arrow_map(texts, of_chunk, "doc_id long, n long, digest binary")
 
-    return texts.mapInArrow(run, "doc_id long, n long, digest binary, slice int, counts binary")
 
+def _frequent(texts: DataFrame, buckets: int) -> np.ndarray:
+    """Packed bits that flag tokens met in more than RARE prefixes by hash alone: FLAGS bits whatever the input."""
+    nothing = np.zeros(FLAGS // 8, np.uint8)
+    slices = min(1 << (buckets - 1).bit_length(), FLAGS // 64)
+    width = FLAGS // slices
 
-def _frequent(counted: DataFrame, tokens: int) -> np.ndarray:
-    """Packed bits of the cells that hold well over the mean: CELLS bits whatever the input."""
-    mean = tokens / CELLS
-    least = mean + 8 * mean**0.5 + 32
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            tokens = np.concatenate(held)
+            part = flag_of(tokens) // width
+            order = np.argsort(part, kind="stable")
+            keys, first = np.unique(part[order], return_index=True)
+            return pa.RecordBatch.from_pydict({"slice": keys, "blob": [x.tobytes() for x in np.split(tokens[order], first[1:])]})
+
+        for _, batch in chunks(batches):
+            held += [s[: allowed(len(s)) + 1] for s in shingle_sets(batch) if len(s) > 4]
+            if sum(map(len, held)) > 1_000_000:
+                yield flush()
+                held = []
+        if held:
+            yield flush()
 
-    def of_slice(table: pa.Table) -> pa.Table:
-        total = np.zeros(SLICE, np.uint64)
-        for blob in table.column("counts"):
-            total += np.frombuffer(blob.as_py(), np.uint16)
-        return pa.table({"slice": pa.array([table.column("slice")[0].as_py()], pa.int32()), "bits": [np.packbits(total > least).tobytes()]})
+    def flagged(table: pa.Table) -> pa.Table:
+        tokens = np.concatenate([np.frombuffer(b.as_py(), np.uint64) for b in table.column("blob")])
+        values, counts = np.unique(tokens, return_counts=True)
+        bits = np.zeros(width, np.uint8)
+        bits[flag_of(values[counts > RARE]) % width] = 1
+        return pa.table({"slice": table.column("slice").slice(0, 1), "bits": [np.packbits(bits).tobytes()]})
 
-    rows = counted.where("slice >= 0").select("slice", "counts").groupBy("slice").applyInArrow(of_slice, "slice int, bits binary").collect()
-    if not rows:
-        return np.zeros(CELLS // 8, np.uint8)
-    return np.frombuffer(b"".join(r.bits for r in sorted(rows, key=lambda r: r.slice)), np.uint8)
+    sent = texts.mapInArrow(emit, "slice long, blob binary").groupBy("slice").applyInArrow(flagged, "slice long, bits binary")
+    for r in sent.collect():
+        nothing[r.slice * width // 8 : (r.slice + 1) * width // 8] = np.frombuffer(r.bits, np.uint8)
+    return nothing
 
 
 def _few(rows: DataFrame) -> DataFrame:
@@ -158,7 +183,7 @@ def _signed(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["bucket", "blob", "doc", "n", "sketch"])
 
         for ids, batch in chunks(batches):
-            sets = [shingle_set(t) for t in batch]
+            sets = shingle_sets(batch)
             for i, tokens in zip(ids, sets, strict=True):
                 s = signatures(tokens, sent.value)
                 if len(s):
@@ -218,11 +243,10 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: in
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             if t.num_rows:
-                x, y = (np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in ("s_a", "s_b"))
-                apart = np.bitwise_count(x ^ y).sum(1, dtype=np.int64)
+                differing = apart(t.column("s_a").to_pylist(), t.column("s_b").to_pylist())
                 total = t.column("n_a").to_numpy() + t.column("n_b").to_numpy()
                 # shared = (total - differing) / 2 at most, and the union is total less shared
-                most = (total - apart) // 2
+                most = (total - differing) // 2
                 yield t.select(["a", "b"]).filter(pa.array(100 * most >= threshold * (total - most)))
 
     left = cut_lineage(sized.mapInArrow(bounded, "a long, b long"))
@@ -234,7 +258,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: in
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
             for i, text, b, salt in zip(*(t.column(c) for c in range(4)), strict=True):
-                blob, b, salt, i = shingle_set(text.as_py()).tobytes(), b.as_py(), salt.as_py(), i.as_py()
+                blob, b, salt, i = shingle_sets([text.as_py()])[0].tobytes(), b.as_py(), salt.as_py(), i.as_py()
                 for k in range(0, len(b), 100):
                     m = len(b[k : k + 100])
                     yield pa.RecordBatch.from_arrays([pa.array(b[k : k + 100], pa.int64()), pa.array(salt[k : k + 100], pa.int64()), pa.array([i] * m, pa.int64()), pa.array([blob] * m, pa.binary())], names=["b", "salt", "doc", "tokens"])
@@ -285,17 +309,15 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
     if threshold < 80:
         raise ValueError("prefixes are made for a similarity of 80 percent or more")
     texts = narrow(docs, id_col, text_col)
-    counted = cut_lineage(_sets_and_counts(texts))
-    base = counted.where("slice = -1").select("doc_id", "n", "digest")
+    base = cut_lineage(_digests(texts))
     tokens = base.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    frequent = _frequent(counted, tokens)
     known = base.where("n > 0 AND doc_id IS NOT NULL")
     first = known.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     placed = cut_lineage(known.join(first, "digest").select("doc_id", "rep"))
     copies = placed.where("doc_id <> rep").select("doc_id").distinct()
     texts_of_sets = texts.where("doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti")
-    buckets = max(64, tokens // 5 // BUCKET)
-    signed = cut_lineage(_signed(texts_of_sets, frequent, int(buckets)))
+    buckets = int(max(16, tokens // 5 // BUCKET))
+    signed = cut_lineage(_signed(texts_of_sets, _frequent(texts_of_sets, buckets), buckets))
     sets = signed.where("sig IS NULL").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     live = signed.where("sig IS NOT NULL").select("bucket", "sig", "doc", "pivot")
 

@@ -51,7 +51,7 @@ def near_copies(seed, groups=12, size=7, words=120):
 @pytest.mark.parametrize("cells_hot", [False, True])
 def test_components_equal_brute_force(spark, make, monkeypatch, cells_hot):
     if cells_hot:  # every token is frequent, so all signatures are combinations
-        monkeypatch.setattr(jaccard, "_frequent", lambda counted, tokens: np.full(jaccard.CELLS // 8, 255, np.uint8))
+        monkeypatch.setattr(jaccard, "_frequent", lambda texts, buckets: np.full(jaccard.FLAGS // 8, 255, np.uint8))
     rows = near_copies(3 + cells_hot)
     got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(make(rows)).collect()}
     assert got == brute(rows)
@@ -61,7 +61,7 @@ def test_components_equal_brute_force(spark, make, monkeypatch, cells_hot):
 def test_signatures_of_linked_sets_meet():
     rng = np.random.default_rng(5)
     for often in (0, 255, 170):
-        frequent = np.full(jaccard.CELLS // 8, often, np.uint8)
+        frequent = np.full(jaccard.FLAGS // 8, often, np.uint8)
         for n in [5, 6, 9, 10, 16, 25, 40, 64, 100, 333, 1000]:
             x = np.unique(rng.integers(0, 2**63, n, dtype=np.int64).astype(np.uint64))
             for lost in range(n // 5 + 1):
