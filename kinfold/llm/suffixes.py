@@ -33,7 +33,7 @@ from kinfold.llm.common import MIX, chunks, cut_lineage, mixed, narrow
 LENGTH = 400
 GRAM = 64
 #: Bytes of text in a chunk, samples in a bucket, and values sent to all executors at most.
-CHUNK, BUCKET, BROADCAST_VALUES = 8_000_000, 2_000_000, 2_000_000
+CHUNK, BUCKET, BROADCAST_VALUES = 2_000_000, 1_000_000, 2_000_000
 #: Stands for a byte before the first or behind the last; no byte of UTF-8.
 OUTSIDE = 0xFF
 ROLL = np.uint64(0x2545F4914F6CDD1D)
@@ -221,10 +221,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     many = values.agg(F.coalesce(F.sum(F.size("values")), F.lit(0)).alias("n")).first().n
     some = reps.join(F.broadcast(values) if many <= BROADCAST_VALUES else values, "doc_id").where(F.octet_length("text") >= length)
     some = some.select(F.sha2("text", 256).alias("key"), "text", "values").dropDuplicates(["key"])
-    n_chunks = int(max(12, size // CHUNK // 4))
+    left = marked.where("own = rep").join(values.select(F.col("doc_id").alias("own")), "own").agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
+    n_chunks, deals = int(max(12, left // CHUNK)), int(max(48, left // BUCKET))
     held = cut_lineage(some.select(F.pmod(F.xxhash64("key"), F.lit(n_chunks)).alias("chunk"), "key", "text", "values"))
-    left = held.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first().n
-    deals = int(max(48, left // BUCKET))
 
     def emit(table: pa.Table) -> pa.Table:
         chunk = Chunk(table, length, gram)
