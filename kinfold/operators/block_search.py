@@ -27,6 +27,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from kinfold.session import cut_lineage
 
+#: Bounds are sums in another order than scores, so pruning leaves them this much room.
+SLACK = 1e-9
 MIN_BLOCK, MAX_BLOCK = 512, 8192
 MAX_LEAF_DEPTH = 14
 SPLIT_POINTS = 20_000
@@ -150,7 +152,9 @@ def block_kernel(parts: list[Part], order: list[str], k: int, floor: float, sche
             tile = targets.slice(start, TILE).combine_chunks()
             pick = lambda table, p: table[p.column].combine_chunks()
             scores = sum(p.weight / weight * part_similarity(p.metric, pick(tile, p), pick(candidates, p)) for p in parts)
-            least = np.maximum(tile["bound"].to_numpy(), floor)
+            # twelve digits, so that the order of sums changes neither ties nor what reaches the floor
+            scores = np.round(scores, 12)
+            least = np.round(np.maximum(tile["bound"].to_numpy(), floor), 12)
             row, col = best_rows(scores, k, least)
             hit = candidates.select(order).take(pa.array(col))
             columns = {"target": tile["target"].take(pa.array(row)), "similarity": pa.array(scores[row, col])}
@@ -360,7 +364,7 @@ def top_matches(
         def visits(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
             for features, home, least in batches:
                 possible = share * blocks.best_possible(features) + (1 - share)
-                wanted = (possible >= np.maximum(least.to_numpy(), floor)[:, None]) & (possible > 0)
+                wanted = (possible >= np.maximum(least.to_numpy(), floor)[:, None] - SLACK) & (possible > 0)
                 wanted[np.arange(len(home)), home.to_numpy()] = False
                 yield pd.Series([np.flatnonzero(w) for w in wanted])
 

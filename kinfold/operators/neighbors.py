@@ -97,13 +97,34 @@ def neighbor_stats(table: DataFrame) -> DataFrame:
     )
 
 
-def stored_lookup(targets: DataFrame, table: DataFrame, k0: int, s0: float) -> tuple[DataFrame, DataFrame]:
-    """(hits, missing): stored neighbours, and the targets that must be computed instead."""
-    if k0 > STORED:
-        return table.where(F.lit(False)), targets
+def stored_lookup(
+    targets: DataFrame, table: DataFrame, k0: int, s0: float, depth: int | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(hits, missing): stored neighbours, and the targets that must be computed instead.
+
+    ``depth`` is the k that the table was built with, by default that of its longest list. A list
+    that is shorter is complete; a full list is no answer to a larger k0.
+    """
+    if depth is None:
+        depth = table.agg(F.max("rank")).first()[0] or 0
     stored = table.join(targets.select("id").distinct(), "id", "left_semi")
+    if k0 > depth:
+        complete = stored.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < depth).select("id")
+        stored = stored.join(complete, "id", "left_semi")
     hits = stored.where((F.col("rank") <= k0) & (F.col("similarity") > 0) & (F.col("similarity") >= s0))
-    return hits, targets.join(table.select("id").distinct(), "id", "left_anti")
+    return hits, targets.join(stored.select("id").distinct(), "id", "left_anti")
+
+
+def lookup_or_compute(
+    targets: DataFrame, table: DataFrame, fingerprints: DataFrame, parts: list[Part], k0: int, s0: float, depth: int | None = None
+) -> DataFrame:
+    """(id, rank, nn_id, similarity): stored neighbours where they suffice, computed ones for the other targets."""
+    hits, missing = stored_lookup(targets, table, k0, s0, depth)
+    wanted = fingerprints.join(missing.select("id").distinct(), "id", "left_semi")
+    computed = nearest(wanted, fingerprints, parts, k0 + 1, s0).where(F.col("rank") > 1)
+    return hits.select("id", F.col("rank").cast("int").alias("rank"), "nn_id", "similarity").unionByName(
+        computed.select(F.col("target").alias("id"), (F.col("rank") - 1).cast("int").alias("rank"), F.col("id").alias("nn_id"), "similarity")
+    )
 
 
 def fallback_filter(targets: DataFrame, stats: DataFrame, fp_id: str, sel_by: str, s0: float) -> DataFrame:
@@ -146,15 +167,18 @@ def mean_similarity(table: DataFrame, first: int = 15) -> DataFrame:
 
 
 def expand_graph(
-    targets: DataFrame, table: DataFrame, steps: int, k0: int, s0: float, out_only: bool = False
+    targets: DataFrame, table: DataFrame, steps: int, k0: int, s0: float, out_only: bool = False, depth: int = STORED
 ) -> DataFrame:
     """Edges (target, fp_id, step, src, dst, similarity) within ``steps`` levels of each target.
 
     A node follows its first k0 stored neighbours, k0 + 1 unless it is the
     target. An edge is used once in either direction; with ``out_only`` each
     node keeps its first incoming edge. ``table`` holds one filter. First means
-    lowest source id, then rank.
+    lowest source id, then rank. ``depth`` is the k that the table was built with;
+    a table too shallow for k0 + 1 would cut the graph unseen and is refused.
     """
+    if k0 + 1 > depth:
+        raise ValueError(f"the table holds {depth} neighbours, {k0 + 1} are needed")
     near = table.where((F.col("rank") <= k0 + 1) & (F.col("similarity") >= s0)).select(
         "fp_id", F.col("id").alias("src"), F.col("rank"), F.col("nn_id").alias("dst"), "similarity"
     )

@@ -163,10 +163,10 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 @query(
     "E11_feature_matrix",
     "SELECT l_suppkey AS id, " + ", ".join(f"max(CASE WHEN p_brand = '{b}' THEN 1 ELSE 0 END) AS b{i}" for i, b in enumerate(BRANDS))
-    + " FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 48 GROUP BY l_suppkey",
+    + " FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY l_suppkey",
 )
 def matrix(t: Tables):
-    sold = t.lineitem.where("l_quantity > 48").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    sold = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     wide = fingerprints.feature_matrix(sold.select(F.col("l_suppkey").alias("id"), F.col("p_brand").alias("bit")), BRANDS)
     return wide.toDF("id", *(f"b{i}" for i in range(len(BRANDS))))
 
@@ -195,14 +195,17 @@ def sizes(t: Tables):
     return fingerprints.fingerprint_sizes(ids, tall, ["word", "basket", "label"])
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
 @query(
     "E14_summary_pivot",
     "WITH c AS (SELECT user_id AS id, event_type AS prop, count(*) AS n FROM events GROUP BY ALL), ids AS (SELECT DISTINCT o_custkey AS id FROM orders UNION SELECT id FROM c) "
-    "SELECT ids.id, " + ", ".join(f"coalesce(min(CASE WHEN prop = '{p}' THEN n END), 0) AS {p}" for p in ("click", "error", "view")) + " FROM ids LEFT JOIN c USING (id) GROUP BY ids.id",
+    "SELECT ids.id, " + ", ".join(f"coalesce(min(CASE WHEN prop = '{p}' THEN n END), 0) AS {p}" for p in EVENT_TYPES) + " FROM ids LEFT JOIN c USING (id) GROUP BY ids.id",
 )
 def summary(t: Tables):
     counts = t.events.groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("prop")).agg(F.count(F.lit(1)).alias("n"))
-    return fingerprints.summary_pivot(counts, ["click", "error", "view"], t.orders.select(F.col("o_custkey").alias("id")))
+    return fingerprints.summary_pivot(counts, EVENT_TYPES, t.orders.select(F.col("o_custkey").alias("id")))
 
 
 @query(

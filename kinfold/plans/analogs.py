@@ -76,6 +76,18 @@ def hybrid(t: Tables):
     return near.groupBy("target", r6("similarity", "similarity")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "H03_hybrid_neighbours",
+    blend_sql(6).rpartition("SELECT target, round(similarity, 6)")[0]
+    + "SELECT target, rank, id, round(similarity, 6) AS similarity FROM ranked WHERE rank <= 6 UNION ALL SELECT DISTINCT id, 1, id, 1.0::DOUBLE FROM baskets",
+)
+def hybrid_neighbours(t: Tables):
+    parts = [Part(name, weight=w) for name, w in neighbors.parse_blend("basket_W2_and_range_W1")]
+    sets = blended_sets(t)
+    near = neighbors.nearest(sets, sets, parts, 6, 0.15, t.returners)
+    return near.select("target", big("rank", "rank"), "id", r6("similarity", "similarity"))
+
+
 @query(
     "H04_all_pairs_neighbour_table",
     cte("baskets", knn("baskets", 100)) + "SELECT 'basket' AS fp_id, 'no_filter' AS sel_by, id, rank, nn_id, round(round(similarity, 10), 6) AS similarity FROM knn",
@@ -94,10 +106,20 @@ def table(t: Tables):
 def lookup(t: Tables):
     rich = t.basket_sets.join(t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")), "id", "left_semi")
     stored = neighbors.neighbor_table(rich, BITS, "basket", "no_filter", k=6)
-    hits, missing = neighbors.stored_lookup(t.returners, stored, 4, 0.25)
+    hits, missing = neighbors.stored_lookup(t.returners, stored, 4, 0.25, depth=6)
     return cells_text(hits, "id", "nn_id").unionByName(missing.select("id", big(F.lit(-1), "nn_id"), F.lit(0.0).alias("similarity")))
 
 
+@query(
+    "H05_lookup_or_compute",
+    cte("baskets", "returners", knn("baskets", 8)) + "SELECT id, rank, nn_id, round(similarity, 6) AS similarity FROM knn WHERE id IN (FROM returners) AND similarity >= 0.25",
+)
+def lookup_or_compute(t: Tables):
+    stored = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "no_filter", k=3)
+    near = neighbors.lookup_or_compute(t.returners, stored, t.basket_sets, BITS, 8, 0.25, depth=3)
+    return near.select("id", big("rank", "rank"), "nn_id", r6("similarity", "similarity"))
+
+
 @query(
     "H06_filter_fallback",
     cte("baskets", "returners", knn("baskets", 1, "returners", "f"), knn("baskets", 1, name="o"))
@@ -303,7 +325,7 @@ def graph_sql(out_only: bool) -> str:
 
 def graph(t: Tables, out_only: bool):
     table = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "returners", t.returners, k=3)
-    return neighbors.expand_graph(t.basket_sets.select("id"), table, 2, 2, 0.2, out_only)
+    return neighbors.expand_graph(t.basket_sets.select("id"), table, 2, 2, 0.2, out_only, depth=3)
 
 
 @query("H18_graph_expansion", graph_sql(False) + "SELECT target, 'basket' AS fp_id, step, src, dst, round_even(similarity, 3) AS similarity FROM edges")

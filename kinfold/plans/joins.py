@@ -87,10 +87,10 @@ def study_effects(t: Tables):
 @query(
     "D05_guideline_assembly",
     "SELECT DISTINCT n_name AS guideline, c_mktsegment AS profile, s_suppkey AS endpoint FROM nation JOIN customer ON c_nationkey = n_nationkey "
-    "JOIN supplier ON s_nationkey = n_nationkey WHERE c_mktsegment <> 'HOUSEHOLD'",
+    "JOIN supplier ON s_nationkey = n_nationkey",
 )
 def guideline(t: Tables):
-    profiles = t.customer.where("c_mktsegment <> 'HOUSEHOLD'").select("c_nationkey", F.col("c_mktsegment").alias("profile")).distinct()
+    profiles = t.customer.select("c_nationkey", F.col("c_mktsegment").alias("profile")).distinct()
     chain = [
         (profiles.withColumnRenamed("c_nationkey", "n_nationkey"), ["n_nationkey"]),
         (t.supplier.select(F.col("s_nationkey").alias("n_nationkey"), F.col("s_suppkey").alias("endpoint")), ["n_nationkey"]),

@@ -176,12 +176,12 @@ BRANDS = [f"Brand#{i}" for i in range(1, 26)]
 
 @query(
     "B11_bit_strings",
-    "WITH v AS (SELECT 'Brand#' || i AS bit, i FROM range(1, 26) r(i)), b AS (SELECT DISTINCT l_suppkey AS id, p_brand AS bit, l_quantity > 49 AS big FROM lineitem JOIN part ON p_partkey = l_partkey WHERE l_quantity > 49), "
+    "WITH v AS (SELECT 'Brand#' || i AS bit, i FROM range(1, 26) r(i)), b AS (SELECT DISTINCT l_suppkey AS id, p_brand AS bit FROM lineitem JOIN part ON p_partkey = l_partkey), "
     "s AS (SELECT DISTINCT id FROM b) SELECT s.id, string_agg(CASE WHEN b.bit IS NULL THEN '0' ELSE '1' END, '' ORDER BY v.i) AS bits, "
     "string_agg(b.bit, ' ' ORDER BY v.i) AS features FROM s CROSS JOIN v LEFT JOIN b ON b.id = s.id AND b.bit = v.bit GROUP BY s.id",
 )
 def bits(t: Tables):
-    sold = t.lineitem.where("l_quantity > 49").join(t.part, F.col("p_partkey") == F.col("l_partkey"))
+    sold = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey"))
     sets = set_fingerprints(sold.select(F.col("l_suppkey").alias("id"), F.col("p_brand").alias("bit")))
     vocabulary = F.array(*(F.lit(b) for b in BRANDS))
     coded = sets.select("id", arrays.bits_of_features(F.col("ds"), vocabulary).alias("bits"))

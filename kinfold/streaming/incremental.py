@@ -8,6 +8,7 @@ harmless.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from kinfold.operators.fingerprints import set_fingerprints
@@ -15,12 +16,15 @@ from kinfold.sources.writers import replace_rows
 
 
 def upkeep(bits: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
-    """Replace the fingerprints of the ids in each micro-batch of (id, bit)."""
+    """Add the bits of each micro-batch of (id, bit) to the fingerprints of its ids."""
 
     def apply(batch: DataFrame, number: int) -> None:
-        new = set_fingerprints(batch)
         if number > 0:
-            new = replace_rows(batch.sparkSession.read.parquet(version(folder, number - 1)), new)
+            old = batch.sparkSession.read.parquet(version(folder, number - 1))
+            known = old.join(batch.select("id").distinct(), "id", "left_semi").select("id", F.explode("ds").alias("bit"))
+            new = replace_rows(old, set_fingerprints(batch.select("id", "bit").unionByName(known)))
+        else:
+            new = set_fingerprints(batch)
         new.write.mode("overwrite").parquet(version(folder, number))
 
     return bits.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

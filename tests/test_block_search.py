@@ -93,3 +93,15 @@ def test_ties_follow_the_given_order(spark):
     df = spark.createDataFrame(rows, "id long, ds array<int>, name string")
     got = top_matches(df.where(F.col("id") == 1), df, [Part("ds")], 3, order=["name"])
     assert [r["nn_id"] for r in got.orderBy("rank").collect()] == [3, 4, 2]
+
+
+def test_blend_does_not_depend_on_blocks(spark):
+    rows = [(i, [f"a{k}" for k in range(i % 7, 30 + i % 11)], [f"b{k}" for k in range(i % 5, 9 + i % 3)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, a array<string>, b array<string>")
+    parts = [Part("a", weight=2.0), Part("b", weight=0.3)]
+    run = lambda n, floor: sorted(map(tuple, top_matches(df, df, parts, 5, floor=floor, block_rows=n).collect()))
+    whole = run(1000, 0.0)
+    floor = whole[len(whole) // 2][-1]
+    for block_rows in (1, 16):
+        assert run(block_rows, 0.0) == whole
+        assert run(block_rows, floor) == run(1000, floor)

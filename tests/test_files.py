@@ -71,4 +71,4 @@ def test_incremental_upkeep(spark, tmp_path):
     write([(2, "c"), (3, "d")])
     upkeep(read(), str(out), str(tmp_path / "ck")).awaitTermination()
     rows = {r["id"]: r["ds"] for r in spark.read.parquet(version(str(out), 1)).collect()}
-    assert rows == {1: ["a", "b"], 2: ["c"], 3: ["d"]}
+    assert rows == {1: ["a", "b"], 2: ["a", "c"], 3: ["d"]}

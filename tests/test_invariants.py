@@ -55,6 +55,11 @@ def test_stored_equals_computed(spark, sets):
     assert missing.count() == 0
     _, all_missing = neighbors.stored_lookup(ds.select("id"), table, 101, 0.0)
     assert all_missing.count() == 80
+    deep = neighbors.lookup_or_compute(ds.select("id"), table, ds, [Part("ds")], 9, 0.0)
+    computed = neighbors.nearest(ds, ds, [Part("ds")], 10).where("id <> target")
+    assert {(r["id"], r["nn_id"]) for r in deep.collect()} == {(r["target"], r["id"]) for r in computed.collect()}
+    with pytest.raises(ValueError):
+        neighbors.expand_graph(ds.select("id"), table, 2, 5, 0.0, depth=5)
 
 
 @pytest.mark.parametrize("s0", [0.2, 0.5, 0.8])
