@@ -54,9 +54,9 @@ def flag_of(tokens: np.ndarray) -> np.ndarray:
 
 
 def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
-    """Signatures of a sorted set. ``frequent``: packed bits by ``flag_of``. Sets of up to four tokens link only with equal sets and have none."""
+    """Signatures of a sorted set. ``frequent``: packed bits by ``flag_of``. Sets of up to three tokens link only with equal sets and have none."""
     n = len(tokens)
-    if n < 5:
+    if n < 4:
         return tokens[:0]
     flags = flag_of(tokens)
     often = (frequent[flags >> 3] >> (7 - (flags & 7)).astype(np.uint8) & 1).astype(bool)
@@ -135,7 +135,7 @@ def _frequent(texts: DataFrame, buckets: int) -> np.ndarray:
             return pa.RecordBatch.from_pydict({"slice": keys, "blob": [x.tobytes() for x in np.split(tokens[order], first[1:])]})
 
         for _, batch in chunks(batches):
-            held += [s[: allowed(len(s)) + 1] for s in shingle_sets(batch) if len(s) > 4]
+            held += [s[: allowed(len(s)) + 1] for s in shingle_sets(batch) if len(s) > 3]
             if sum(map(len, held)) > 1_000_000:
                 yield flush()
                 held = []
