@@ -29,8 +29,10 @@ KEPT = 300_000
 
 
 def _class(kind: str) -> str:
-    found = [chr(c) for c in range(0x20AD) if re.match(f"[{SAFE}]", chr(c)) and unicodedata.category(chr(c))[0] == kind]
-    return "".join(map(re.escape, found))
+    """The safe characters of a class, and what they become in lower case."""
+    safe = [chr(c) for c in range(0x20AD) if re.match(f"[{SAFE}]", chr(c))]
+    found = {c for c in (*safe, *map(str.lower, safe)) if unicodedata.category(c)[0] == kind}
+    return "".join(map(re.escape, sorted(found)))
 
 
 def pre_token_pattern() -> re.Pattern:
