@@ -279,22 +279,69 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: in
     return involved.mapInArrow(spread, "b long, salt long, doc long, tokens binary").groupBy("b", "salt").applyInArrow(compared, "a long, b long")
 
 
+class Sketches:
+    """Sketches of the sets of one bucket, each at its own size and folded to half of it, in one matrix for each size."""
+
+    def __init__(self, ids: list[int], sketches: list[bytes]):
+        self.ids = np.array(ids, np.int64)
+        self.size = np.array([len(s) for s in sketches], np.int64)
+        self.place: dict[int, np.ndarray] = {}
+        self.rows: dict[int, np.ndarray] = {}
+        for size in {int(x) for x in self.size} | {int(x) // 2 for x in self.size}:
+            own, double = np.flatnonzero(self.size == size), np.flatnonzero(self.size == 2 * size)
+            words = [np.frombuffer(b"".join(sketches[i] for i in own), np.uint64).reshape(-1, size // 8)]
+            twice = np.frombuffer(b"".join(sketches[i] for i in double), np.uint64).reshape(len(double), 2, size // 8)
+            self.rows[size] = np.concatenate([*words, twice[:, 0] ^ twice[:, 1]])
+            self.place[size] = np.full(len(self.ids), -1, np.int64)
+            self.place[size][np.concatenate([own, double])] = np.arange(len(own) + len(double))
+
+    def apart(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Differing bits of the sketches at two lists of places; sizes within a factor of two."""
+        out = np.zeros(len(a), np.int64)
+        least = np.minimum(self.size[a], self.size[b])
+        for size in np.unique(least):
+            at, place, rows = np.flatnonzero(least == size), self.place[int(size)], self.rows[int(size)]
+            for k in range(0, len(at), 100_000):
+                some = at[k : k + 100_000]
+                out[some] = np.bitwise_count(rows[place[a[some]]] ^ rows[place[b[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
+#: Pairs of a bucket that are held before they are compared.
+PAIRS_HELD = 500_000
+
+
 def _cross_pairs(table: pa.Table, threshold: int) -> pa.Table:
-    """All pairs of one bucket that share a signature, may link by size and lie in different components."""
+    """All pairs of one bucket that share a signature, may link by size and sketch, and lie in different components."""
     sig, doc, n, comp = (table.column(c).to_numpy() for c in ("sig", "doc", "n", "component"))
+    ids, first, doc = np.unique(doc, return_index=True, return_inverse=True)
+    sketches = Sketches(ids, [table.column("sketch")[int(i)].as_py() for i in first])
+    sizes = n[first]
     order = np.lexsort((n, sig))
     sig, doc, n, comp = sig[order], doc[order], n[order], comp[order]
     ends = np.searchsorted(sig, sig, "right")
-    out, held = np.zeros((0, 2), np.int64), []
+    found, held, size = [], [], 0
+
+    def compared() -> np.ndarray:
+        pairs = distinct(np.concatenate(held))
+        a, b = pairs // len(ids), pairs % len(ids)
+        total = sizes[a] + sizes[b]
+        most = (total - sketches.apart(a, b)) // 2
+        return pairs[100 * most >= threshold * (total - most)]
+
     for i in range(len(sig)):
-        j = min(int(ends[i]), i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 100 // threshold, "right")))
+        j = i + 1 + int(np.searchsorted(n[i + 1 : ends[i]], n[i] * 100 // threshold, "right"))
         other = doc[i + 1 : j][comp[i + 1 : j] != comp[i]]
         if len(other):
-            held.append(np.stack([np.maximum(other, doc[i]), np.minimum(other, doc[i])], 1))
-        if len(held) > 20_000:
-            out, held = np.unique(np.concatenate([out, *held]), axis=0), []
-    out = np.unique(np.concatenate([out, *held]), axis=0)
-    return pa.table({"a": out[:, 0], "b": out[:, 1]})
+            held.append(np.maximum(other, doc[i]) * len(ids) + np.minimum(other, doc[i]))
+            size += len(other)
+        if size > PAIRS_HELD:
+            found.append(compared())
+            held, size = [], 0
+    if held:
+        found.append(compared())
+    pairs = distinct(np.concatenate(found)) if found else np.zeros(0, np.int64)
+    return pa.table({"a": ids[pairs // len(ids)], "b": ids[pairs % len(ids)]})
 
 
 def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -343,7 +390,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
             more = _verified(chosen(live.where("component <> at")), sets, texts, threshold)
             links = cut_lineage(links.unionAll(more))
             live = live.select("bucket", "sig", "doc", "pivot")
-    rest = live.join(sets.select("doc", "n"), "doc").select("bucket", "sig", "doc", "n", "component")
+    rest = live.join(sets, "doc").select("bucket", "sig", "doc", "n", "component", "sketch")
     pairs = rest.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, threshold), "a long, b long").distinct()
     links = links.unionAll(_verified(pairs, sets, texts, threshold))
     final = components(links)

@@ -96,8 +96,8 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     )
     starts = ordered.withColumn("starts", F.sort_array(F.filter(marked, lambda i: i.isNotNull())))
     big = lambda c, name: c.cast("bigint").alias(name)
-    return starts.select(
-        "doc_id",
+    # made by a generator, below which no filter on a measure moves: it would be computed from the text again and again
+    return starts.select("doc_id", F.inline(F.array(F.struct(
         big(n, "n_words"),
         big(F.col("word_chars"), "word_chars"),
         big(F.col("n_symbols"), "n_symbols"),
@@ -107,7 +107,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         big(F.col("n_shouts"), "n_shouts"),
         big(F.col("n_capitals"), "n_capitals"),
         big(F.size(F.filter("words", lambda w: F.lower(w).isin(*STOP_WORDS))), "n_stop_words"),
-    )
+    ))))
 
 
 def compiled(rules: tuple[Rule, ...]) -> Column:
