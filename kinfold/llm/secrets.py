@@ -24,7 +24,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
 CONTEXT = re.compile(
     r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|bearer|auth(?:orization)?|private[_-]?key|access[_-]?key|client[_-]?key)"""
-    r"""["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["'`]?([^\s"'`<>,;(){}\[\]]{8,200})""",
+    r"""["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["'`]?([^\s"'`<>,;(){}\[\]]{8,})""",
     re.ASCII | re.IGNORECASE,
 )
 #: One of these, in any case, is in every match of ASSIGN or CONTEXT.
@@ -95,7 +95,7 @@ def guess_cost(value: str) -> float:
 def find_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of a text in order: the three fixed kinds, then values of credential contexts that are costly to guess.
 
-    A costly value is left out where a fixed span already covers it.
+    A costly value is left out where a fixed span already covers it. Values of any length are judged whole.
     """
     found = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
