@@ -7,12 +7,12 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.session import cut_lineage, ship
 
-__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "narrow", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
+__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "likely_least", "narrow", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
 
 #: Separators of words: space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -42,6 +42,16 @@ def narrow(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
 
+def likely_least(rows: DataFrame, unit: Column, n: int) -> DataFrame:
+    """About 4 n of the rows, those with the least ``unit``, a hash spread over 0 to 1; all of a smaller table.
+
+    Taken before a sample of n rows in the order of the hash, so that tasks send the driver a few
+    rows in all instead of n each. The n least are among them unless chance left less than a quarter below the cut.
+    """
+    share = 4 * n / max(1, rows.count())
+    return rows.where(unit < share) if share < 1 else rows
+
+
 def chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list[str]]]:
     """(ids, texts) of at most CHUNK_BYTES characters, or of one longer text."""
     ids: list = []

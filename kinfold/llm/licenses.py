@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import MIX, arrow_map, mixed, narrow, word_hashes
+from kinfold.llm.common import MIX, arrow_map, likely_least, mixed, narrow, word_hashes
 
 #: Statements by family. Fixed values, from the public texts of the licences.
 TEMPLATES = {
@@ -216,8 +216,10 @@ def found_in(text: str, model: Classifier) -> list[tuple[int, str, float, float,
 def sample_lines(texts: DataFrame) -> list[str]:
     """At most SAMPLE_LINES lines of all texts, chosen by a hash, each cut to a window."""
     lines = texts.select("doc_id", F.posexplode(F.split("text", "\n"))).where(F.length("col") > 0)
+    lines = lines.select(F.xxhash64("doc_id", "pos").alias("h"), "col")
+    few = likely_least(lines, F.col("h").cast("double") / 2.0**64 + 0.5, SAMPLE_LINES)
     words = F.array_join(F.slice(F.split("col", " "), 1, WINDOW), " ")
-    rows = lines.select(F.xxhash64("doc_id", "pos").alias("h"), words.alias("line")).orderBy("h", "line").limit(SAMPLE_LINES).collect()
+    rows = few.select("h", words.alias("line")).orderBy("h", "line").limit(SAMPLE_LINES).collect()
     return [r.line for r in rows if r.line.split()]
 
 

@@ -63,6 +63,20 @@ def test_guess_cost_is_the_least(value):
     assert secrets.guess_cost(value) == pytest.approx(least_cost(value, secrets._segments(value)))
 
 
+def test_long_values_are_spans_whole():
+    value = "xK9#vQ2!mZ7pL0" * 40
+    text = f"login credentials: {value} and more"
+    assert secrets.find_spans(text) == [(19, 3, 19 + len(value))]
+    assert value[-14:] not in secrets.redacted(text)
+
+
+def test_license_sample_is_the_least_by_hash(make, monkeypatch):
+    texts = make([(i, "\n".join(f"line {i} {j}" for j in range(40))) for i in range(60)]).select("doc_id", "text")
+    lines = texts.selectExpr("doc_id", "posexplode(split(text, '\n'))").selectExpr("xxhash64(doc_id, pos) AS h", "col").collect()
+    monkeypatch.setattr(licenses, "SAMPLE_LINES", 50)
+    assert licenses.sample_lines(texts) == [r.col for r in sorted(lines)[:50]]
+
+
 def test_guess_costs_are_ordered():
     assert secrets.guess_cost("password123456") < secrets.guess_cost("summer20210131") < secrets.THRESHOLD < secrets.guess_cost("xK9#vQ2!mZ7pL0")
 
