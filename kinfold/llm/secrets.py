@@ -22,9 +22,11 @@ KINDS = ("assign", "access", "hex", "cost")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{32,}")
+#: A quoted value ends at its quote, so it may hold any symbol; a bare one ends at white space, quotes, brackets, commas and semicolons.
 CONTEXT = re.compile(
-    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|credentials?|bearer|auth(?:orization)?|private[_-]?key|access[_-]?key|client[_-]?key)"""
-    r"""["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*["'`]?([^\s"'`<>,;(){}\[\]]{8,})""",
+    r"""(?:pass(?:word|wd|phrase|code)?|pwd|secret|token|credentials?|bearer|auth(?:orization)?|(?:api|private|access|client)[_-]?key)"""
+    r"""["']?[\x20\t]*(?:[:=]|=>|\bis\b)[\x20\t]*"""
+    r"""(?:"([^"\s]{8,})"|'([^'\s]{8,})'|`([^`\s]{8,})`|["'`]?([^\s"'`<>,;(){}\[\]]{8,}))""",
     re.ASCII | re.IGNORECASE,
 )
 #: One of these, in any case, is in every match of ASSIGN or CONTEXT.
@@ -92,10 +94,18 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def find_spans(text: str) -> list[tuple[int, int, int]]:
+def context_values(text: str) -> list[tuple[int, int, float]]:
+    """(start, end, guess cost) of every value of a credential context, of any length, whole."""
+    low = text.encode().lower()
+    if not any(h in low for h in HINTS):
+        return []
+    return [(*m.span(m.lastindex), guess_cost(m[m.lastindex])) for m in CONTEXT.finditer(text)]
+
+
+def find_spans(text: str, values: list[tuple[int, int, float]] | None = None) -> list[tuple[int, int, int]]:
     """(start, kind, end) of a text in order: the three fixed kinds, then values of credential contexts that are costly to guess.
 
-    A costly value is left out where a fixed span already covers it. Values of any length are judged whole.
+    A costly value is left out where a fixed span already covers it. ``values`` are the text's context values, if known.
     """
     found = [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 16] if "AKIA" in text else []
     found += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
@@ -103,9 +113,8 @@ def find_spans(text: str) -> list[tuple[int, int, int]]:
     if any(h in low for h in HINTS):
         found += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 8]
         base = sorted(found)
-        for m in CONTEXT.finditer(text):
-            i, j = m.span(1)
-            if not any(s <= i and j <= e for s, _, e in base) and guess_cost(m[1]) >= THRESHOLD:
+        for i, j, cost in context_values(text) if values is None else values:
+            if cost >= THRESHOLD and not any(s <= i and j <= e for s, _, e in base):
                 found.append((i, 3, j))
     return sorted(found)
 
@@ -115,19 +124,20 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, n_cost, base_sha256, spans) of every row.
+    """(doc_id, n_assign, n_access, n_hex, n_cost, base_sha256, spans, guess_costs) of every row.
 
-    Whole texts are read; null counts as empty. A text without a secret has an empty
+    ``guess_costs`` has start:end:cost of each value of a credential context, also of those in a fixed span. Whole texts are read; null counts as empty. A text without a secret has an empty
     list of spans. Copies are scanned each. An empty table gives no rows; only two columns are read.
     """
 
     def of_chunk(ids: list, texts: list[str]) -> dict:
-        all_spans = list(map(find_spans, texts))
+        values = list(map(context_values, texts))
+        all_spans = list(map(find_spans, texts, values))
         counts = {f"n_{KINDS[k]}": [sum(x[1] == k for x in s) for s in all_spans] for k in range(4)}
         digests = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in all_spans]
-        return {"doc_id": ids, **counts, "base_sha256": digests, "spans": list(map(joined, all_spans))}
+        return {"doc_id": ids, **counts, "base_sha256": digests, "spans": list(map(joined, all_spans)), "guess_costs": [",".join(f"{i}:{j}:{c:.2f}" for i, j, c in v) for v in values]}
 
-    return arrow_map(narrow(docs, id_col, text_col), of_chunk, "doc_id long, n_assign long, n_access long, n_hex long, n_cost long, base_sha256 string, spans string")
+    return arrow_map(narrow(docs, id_col, text_col), of_chunk, "doc_id long, n_assign long, n_access long, n_hex long, n_cost long, base_sha256 string, spans string, guess_costs string")
 
 
 def redacted(text: str) -> str:

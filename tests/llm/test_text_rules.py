@@ -70,6 +70,28 @@ def test_long_values_are_spans_whole():
     assert value[-14:] not in secrets.redacted(text)
 
 
+KEYWORDS = "password passwd passphrase passcode pwd secret token api_key apikey credential credentials bearer auth authorization private_key access-key client_key".split()
+
+
+@pytest.mark.parametrize("word", KEYWORDS)
+def test_values_with_symbols_are_found_after_each_keyword(word):
+    for value in ("Zx!9$kQ2@mP7w", "q7$Lm#9zT!x2", "aB3(x,Y;9[z]{Q}k"):
+        for text in (f'{word}: "{value}" x', f"{word.upper()} = '{value}'"):
+            at = text.index(value)
+            assert secrets.find_spans(text) == [(at, 3, at + len(value))], text
+            assert secrets.redacted(text) == text.replace(value, "<cost>")
+
+
+def test_every_context_value_has_a_guess_cost(make):
+    texts = ['token = "2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"', "api_key=abcdefgh12 pwd: password123", "no value here"]
+    got = {r.doc_id: r for r in secrets.scan(make(texts)).collect()}
+    for i, values in enumerate((["2abc3ff2ca8fb1e4c565a0eb63815530a948bdde"], ["abcdefgh12", "password123"], [])):
+        found = [x.split(":") for x in got[i].guess_costs.split(",") if x]
+        assert [texts[i][int(s) : int(e)] for s, e, _ in found] == values and all(float(c) > 0 for *_, c in found)
+        assert got[i].base_sha256 == hashlib.sha256(plain_base(texts[i]).encode()).hexdigest()
+    assert got[0].n_cost == 0 and got[0].n_assign == 1
+
+
 def test_license_sample_is_the_least_by_hash(make, monkeypatch):
     texts = make([(i, "\n".join(f"line {i} {j}" for j in range(40))) for i in range(60)]).select("doc_id", "text")
     lines = texts.selectExpr("doc_id", "posexplode(split(text, '\n'))").selectExpr("xxhash64(doc_id, pos) AS h", "col").collect()
