@@ -2,20 +2,23 @@
 
 The guess cost of a value is the least sum over its segmentations into words,
 dates, repeats, keyboard walks and brute-force spans (dynamic programming over
-end positions). A value whose cost reaches a threshold is no placeholder.
+end positions). A value whose cost reaches a threshold is no placeholder. Words
+are those of the corpus, ranked by the number of texts that have them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from math import log10
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from kinfold.llm.common import arrow_map, narrow
+from kinfold.llm.common import arrow_map, chunks, cut_lineage, narrow
 from kinfold.session import ship
 
 KINDS = ("assign", "access", "hex", "cost")
@@ -49,17 +52,50 @@ def _class_size(c: str) -> int:
 
 
 RANKS = {w: i + 1 for i, w in enumerate(COMMON)}
-LONGEST = max(map(len, COMMON))
+#: Words of the corpus in the dictionary, at most; their letters; the texts that must have one. With these a word
+#: costs log10(DICTIONARY + 1) + 0.9 = 5.9 at most and 7.7 with a sign at its end, which is below THRESHOLD.
+DICTIONARY, LETTERS, LEAST_TEXTS = 100_000, (3, 24), 2
+WORD = re.compile(r"[^\W\d_]+")
 
 
-def _segments(value: str) -> dict[int, list[tuple[int, float]]]:
+def ranks_of(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the corpus's words by the number of texts that have them, and of COMMON; the lesser where a word has both.
+
+    All texts are counted. Values of credential contexts are not, so that a secret is no word because copies repeat it.
+    Words as frequent as each other, within a 16th of a doubling, are in the dictionary together or not at all.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in chunks(batches):
+            n: Counter = Counter()
+            for t in texts:
+                low = t.encode().lower()
+                if any(h in low for h in HINTS):
+                    t = ASSIGN.sub(" ", CONTEXT.sub(" ", t))
+                n.update({w for w in WORD.findall(t.lower()) if LETTERS[0] <= len(w) <= LETTERS[1]})
+            yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], names=["word", "n"])
+
+    words = narrow(docs).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_TEXTS)
+    words = cut_lineage(words.withColumn("step", F.floor(F.log2("n") * 16)))
+    least, total = None, 0
+    for r in sorted(words.groupBy("step").count().collect(), reverse=True):
+        total += r["count"]
+        if total > DICTIONARY:
+            break
+        least = r.step
+    kept = words.where(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    ranks = {r.word: k + 1 for k, r in enumerate(sorted(kept, key=lambda r: (-r.n, r.word)))}
+    return ranks | {w: min(k, ranks.get(w, k)) for w, k in RANKS.items()}
+
+
+def _segments(value: str, ranks: dict[str, int] = RANKS) -> dict[int, list[tuple[int, float]]]:
     """Starts and costs of the segments that end at each position, brute force apart."""
     low, out = value.lower(), {}
     add = lambda i, j, cost: out.setdefault(j, []).append((i, cost))
     plain = low.translate(LEET)
     for i in range(len(value)):
-        for j in range(i + 3, min(len(value), i + LONGEST) + 1):
-            rank = RANKS.get(low[i:j]) or RANKS.get(plain[i:j])
+        for j in range(i + LETTERS[0], min(len(value), i + LETTERS[1]) + 1):
+            rank = ranks.get(low[i:j]) or ranks.get(plain[i:j])
             if rank:
                 add(i, j, log10(rank + 1) + (0.3 if value[i:j] != low[i:j] else 0) + (0.6 if low[i:j] != plain[i:j] else 0))
     for m in re.finditer(r"(?=(%s))" % DATE.pattern, value):
@@ -81,11 +117,11 @@ def _segments(value: str) -> dict[int, list[tuple[int, float]]]:
     return out
 
 
-def guess_cost(value: str) -> float:
+def guess_cost(value: str, ranks: dict[str, int] = RANKS) -> float:
     """log10 of the guesses that the cheapest segmentation needs; 0 for an empty value."""
     best = [0.0] + [float("inf")] * len(value)
     open_run = [float("inf")] * (len(value) + 1)  # the cheapest whose last span is brute force
-    ends = _segments(value)
+    ends = _segments(value, ranks)
     for j in range(1, len(value) + 1):
         step = log10(_class_size(value[j - 1]))
         join = JOIN if j > 1 else 0.0
@@ -94,12 +130,12 @@ def guess_cost(value: str) -> float:
     return best[-1]
 
 
-def context_values(text: str) -> list[tuple[int, int, float]]:
+def context_values(text: str, ranks: dict[str, int] = RANKS) -> list[tuple[int, int, float]]:
     """(start, end, guess cost) of every value of a credential context, of any length, whole."""
     low = text.encode().lower()
     if not any(h in low for h in HINTS):
         return []
-    return [(*m.span(m.lastindex), guess_cost(m[m.lastindex])) for m in CONTEXT.finditer(text)]
+    return [(*m.span(m.lastindex), guess_cost(m[m.lastindex], ranks)) for m in CONTEXT.finditer(text)]
 
 
 def find_spans(text: str, values: list[tuple[int, int, float]] | None = None) -> list[tuple[int, int, int]]:
@@ -127,22 +163,24 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """(doc_id, n_assign, n_access, n_hex, n_cost, base_sha256, spans, guess_costs) of every row.
 
     ``guess_costs`` has start:end:cost of each value of a credential context, also of those in a fixed span. Whole texts are read; null counts as empty. A text without a secret has an empty
-    list of spans. Copies are scanned each. An empty table gives no rows; only two columns are read.
+    list of spans. Copies are scanned each. The dictionary of words is one more pass over the texts. An empty table gives no rows; only two columns are read.
     """
+    texts = narrow(docs, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(texts))
 
     def of_chunk(ids: list, texts: list[str]) -> dict:
-        values = list(map(context_values, texts))
+        values = [context_values(t, sent.value) for t in texts]
         all_spans = list(map(find_spans, texts, values))
         counts = {f"n_{KINDS[k]}": [sum(x[1] == k for x in s) for s in all_spans] for k in range(4)}
         digests = [hashlib.sha256(joined([x for x in s if x[1] < 3]).encode()).hexdigest() for s in all_spans]
         return {"doc_id": ids, **counts, "base_sha256": digests, "spans": list(map(joined, all_spans)), "guess_costs": [",".join(f"{i}:{j}:{c:.2f}" for i, j, c in v) for v in values]}
 
-    return arrow_map(narrow(docs, id_col, text_col), of_chunk, "doc_id long, n_assign long, n_access long, n_hex long, n_cost long, base_sha256 string, spans string, guess_costs string")
+    return arrow_map(texts, of_chunk, "doc_id long, n_assign long, n_access long, n_hex long, n_cost long, base_sha256 string, spans string, guess_costs string")
 
 
-def redacted(text: str) -> str:
+def redacted(text: str, ranks: dict[str, int] = RANKS) -> str:
     """The text with every span replaced by its kind; overlapping spans become one."""
-    out, at, spans = [], 0, find_spans(text)
+    out, at, spans = [], 0, find_spans(text, context_values(text, ranks))
     for s, k, e in spans:
         if s >= at:
             out += [text[at:s], f"<{KINDS[k]}>"]
@@ -157,7 +195,7 @@ def redact(docs: DataFrame) -> DataFrame:
         for b in batches:
             at, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
             old = b.column(at).to_pylist()
-            new = [t and redacted(t) for t in old]
+            new = [t and redacted(t, sent.value) for t in old]
             b = b.set_column(at, b.schema.field(at), pa.array(new, b.schema.field(at).type))
             if n >= 0:
                 counts = [len(y) if x != y else c for x, y, c in zip(old, new, b.column(n).to_pylist(), strict=True)]
@@ -165,4 +203,5 @@ def redact(docs: DataFrame) -> DataFrame:
             yield b
 
     ship(docs.sparkSession)
+    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(docs))
     return docs.mapInArrow(run, docs.schema)

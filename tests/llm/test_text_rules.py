@@ -92,6 +92,33 @@ def test_every_context_value_has_a_guess_cost(make):
     assert got[0].n_cost == 0 and got[0].n_assign == 1
 
 
+def test_prose_is_no_secret(make):
+    claims = ["The secret is consistency", "What they pass is considered final", "Our secret is patience.", "The token is Authentic, they say", "Le secret is préparation!"]
+    other = ["consistency and patience are considered", "authentic préparation", "of patience, consistency: préparation considered authentic"]
+    hidden = ["secret is qzxvkjwpt", "my secret is qzxvkjwpt", "pwd: xK9#vQ2!mZ7pL0"]
+    docs = make(claims + other + hidden)
+    got = {r.doc_id: r for r in secrets.scan(docs).collect()}
+    left = {r.doc_id: r.text for r in secrets.redact(docs).collect()}
+    for i, t in enumerate(claims + other):
+        assert got[i].n_cost == 0 and got[i].spans == "" and left[i] == t
+        assert i >= len(claims) or got[i].guess_costs
+    for i in range(len(claims + other), docs.count()):
+        assert got[i].n_cost == 1 and "<cost>" in left[i]
+
+
+def test_dictionary_is_bounded_and_ranked(make, monkeypatch, empty):
+    from math import log10
+
+    texts = ["alpha beta gamma"] * 4 + ["alpha beta"] * 2 + ["alpha delta"] * 3 + ["once token: hiddenvalue"] + ["x token: hiddenvalue"]
+    ranks = secrets.ranks_of(make(texts))
+    assert [ranks[w] for w in ("alpha", "beta", "gamma", "delta")] == [1, 2, 3, 4] and "once" not in ranks and "hiddenvalue" not in ranks
+    monkeypatch.setattr(secrets, "DICTIONARY", 2)
+    assert {"alpha", "beta"} == set(secrets.ranks_of(make(texts))) - set(secrets.RANKS)
+    monkeypatch.undo()
+    assert secrets.ranks_of(empty) == secrets.RANKS
+    assert log10(secrets.DICTIONARY + 1) + 0.9 + secrets.JOIN + log10(33) < secrets.THRESHOLD
+
+
 def test_license_sample_is_the_least_by_hash(make, monkeypatch):
     texts = make([(i, "\n".join(f"line {i} {j}" for j in range(40))) for i in range(60)]).select("doc_id", "text")
     lines = texts.selectExpr("doc_id", "posexplode(split(text, '\n'))").selectExpr("xxhash64(doc_id, pos) AS h", "col").collect()
