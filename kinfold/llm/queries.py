@@ -84,4 +84,4 @@ def quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_warc_derivatives", warc.derivatives_sql())
 def warc_derivatives(spark: SparkSession, folder: str) -> DataFrame:
     ship(spark)
-    return warc.derivatives(warc.responses_of(spark.read.parquet(f"{folder}/pages.parquet")), keep=("page_id",)).drop("block")
+    return warc.derivatives(warc.responses_of(spark.read.parquet(f"{folder}/pages.parquet")), keep=("page_id",))

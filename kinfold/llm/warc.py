@@ -6,6 +6,9 @@ from the response's identifier and the kind of record, so they repeat.
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +18,11 @@ DERIVED_AT = "2024-01-01T00:00:00Z"
 HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>|<head\b.*?</head\s*>|<noscript\b.*?</noscript\s*>"
 BREAKS = r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|h[1-6]|tr|td|th|table|br|hr|section|article|nav|header|footer|main|aside|blockquote|pre|form)\b[^>]*>"
 TAGS = r"<[^>]*>"
-#: Named entities in the order they are decoded; the ampersand is last. Fixed values.
+#: HTML's names with what they stand for, by their first letter; a no-break space becomes a space. The few that need no semicolon, longest first.
+NAMES = {a: {n: v.replace("\xa0", " ") for n, v in html5.items() if n[0] == a} for a in sorted({n[0] for n in html5})}
+LONGEST_NAME = max(map(len, html5))
+BARE_NAMES = "^(" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))) + ")"
+#: The names that the SQL decodes, in its order; the ampersand is last. Fixed values.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
@@ -30,17 +37,27 @@ def digest(block: Column) -> Column:
 
 
 def decoded(text: Column) -> Column:
-    """Numeric and named entities decoded; numbers outside Unicode stay as they are."""
+    """Numeric entities and all of HTML's named ones decoded, each once; numbers outside Unicode and unknown names stay as they are.
+
+    As in HTML, a name that needs no semicolon may go on with other letters: the longest such name counts.
+    """
+    # patterns see the first characters of a part only: no number or name is longer
+    head = lambda p: F.substring(p, 1, LONGEST_NAME)
     number = lambda p: F.coalesce(
-        F.regexp_extract(p, "^([0-9]{1,7});", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(p, "^[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 10).try_cast("int")
+        F.regexp_extract(head(p), "^#([0-9]{1,7});", 1).try_cast("int"), F.conv(F.nullif(F.regexp_extract(head(p), "^#[xX]([0-9A-Fa-f]{1,6});", 1), F.lit("")), 16, 10).try_cast("int")
     )
     valid = lambda n: (n > 0) & (n < 0x110000) & ~n.between(0xD800, 0xDFFF)
     char = lambda n: F.decode(F.unhex(F.lpad(F.hex(n.cast("long")), 8, "0")), "UTF-32")
-    part = lambda p, i: F.when(i == 0, p).when(valid(number(p)), F.concat(char(number(p)), F.regexp_replace(p, "^[^;]*;", ""))).otherwise(F.concat(F.lit("&#"), p))
-    out = F.when(F.contains(text, F.lit("&#")), F.array_join(F.transform(F.split(text, "&#"), part), "")).otherwise(text)
-    for name, value in ENTITIES:
-        out = F.replace(out, F.lit(name), F.lit(value))
-    return out
+    names = F.from_json(F.lit(json.dumps(NAMES)), "map<string,map<string,string>>")
+    meant = lambda name: F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    closed = lambda p: F.regexp_extract(head(p), "^[A-Za-z][A-Za-z0-9]*;", 0)
+    bare = lambda p: F.regexp_extract(head(p), BARE_NAMES, 1)
+    after = lambda p, name: F.substr(p, F.length(name) + 1)
+    literal = lambda p: F.concat(F.lit("&"), p)
+    numeric = lambda p: F.when(valid(number(p)), F.concat(char(number(p)), F.substr(p, F.instr(p, ";") + 1))).otherwise(literal(p))
+    named = lambda p: F.coalesce(F.concat(meant(closed(p)), after(p, closed(p))), F.concat(meant(bare(p)), after(p, bare(p))), literal(p))
+    part = lambda p, i: F.when(i == 0, p).when(F.startswith(p, F.lit("#")), numeric(p)).otherwise(named(p))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.transform(F.split(text, "&"), part), "")).otherwise(text)
 
 
 def plain_text(html: Column) -> Column:

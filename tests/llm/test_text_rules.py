@@ -6,6 +6,7 @@ import re
 
 import pytest
 from conftest_llm import BREAK
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from kinfold.llm import licenses, mixing, quality_fm, rules, secrets, warc
@@ -271,6 +272,22 @@ def test_warc_records_round_trip(spark, tmp_path):
     assert warc.derivatives(warc.responses_of(pages.where("page_id > 9"))).count() == 0
 
 
+def test_every_named_entity_is_decoded(spark):
+    import html
+
+    names = sorted(html.entities.html5)
+    texts = [f"a &{n} b" for n in names] + [f"&{n}x;&{n}" for n in names if n[-1] != ";"]
+    texts += ["&copy; 2024 &middot; caf&eacute; &uuml;&mdash;&NotEqualTilde;", "&copy2024", "&notit; &notin; &am &amp &", "&amp;eacute; &amp;#65; &#38;lt;", "&unknown; &Copy; R&D a&b=1", "no entity", ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", warc.decoded(F.col("t")).alias("t")).collect()
+    assert {r.i: r.t for r in rows} == {i: html.unescape(t).replace("\xa0", " ") for i, t in enumerate(texts)}
+
+
+def test_warc_query_has_the_decoded_blocks(spark):
+    rows = QUERIES["op10_warc_derivatives"](spark, SF).where("record_type = 'conversion'").collect()
+    assert rows and all("©" in r.block and "&copy;" not in r.block and "&middot;" not in r.block for r in rows)
+    assert all(r.content_length == len(r.block.encode()) and r.block_digest == "sha256:" + hashlib.sha256(r.block.encode()).hexdigest() for r in rows)
+
+
 def test_pipeline_stages(spark, awkward, empty, tmp_path):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     start = {r.doc_id: r for r in docs.collect()}
