@@ -9,6 +9,7 @@ template of the family is similar enough.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 import numpy as np
@@ -84,6 +85,8 @@ WINDOW, STEP = 48, 24
 #: Lines of the corpus that the classifier sees as unknown text, at most.
 SAMPLE_LINES = 3000
 MIN_SIMILARITY = 0.6
+#: Comment marks before and after the words of a line.
+MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|<!--+|!+|>+|\|+|(?:dnl|rem|REM)(?=[ \t]|$))?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t\r]*$")
 TABLE_BITS = 18
 
 
@@ -105,6 +108,7 @@ class Classifier(NamedTuple):
     temperature: float
     least: float
     templates: list[tuple[int, np.ndarray]]
+    members: np.ndarray
 
 
 def hits(words: np.ndarray, features: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -174,7 +178,58 @@ def train(lines: list[str], seed: int = 11) -> Classifier:
     p = softmax(logits / temperature)
     wrong = p[(p.argmax(1) != 0) & (p.argmax(1) != y[held])].max(1, initial=0)
     least = float(min(0.9, max(0.5, wrong.max(initial=0))))
-    return Classifier(features, table, weights, bias, temperature, least, [(k, np.unique(hits(t, features, table)[2])) for k, t in templates])
+    members = np.zeros((len(features), len(distinct)), np.float32)
+    for c, d in enumerate(distinct):
+        members[d, c] = 1
+    return Classifier(features, table, weights, bias, temperature, least, [(k, d) for (k, _), d in zip(templates, distinct, strict=True)], members)
+
+
+def wrapped(text: str, model: Classifier, seen: set[tuple[int, int]]) -> list[tuple[int, str, float, float, str]]:
+    """Statements that run over line ends: (line with the first words, family, probability, similarity, words of the window).
+
+    Paragraphs end at lines without words; their lines are joined, less comment marks, and read in the same windows.
+    The best window of each paragraph and family counts. A statement on a line of ``seen`` (line, family) is left out.
+    """
+    lines = [MARKS.sub("", x) for x in text.split("\n")]
+    sizes = np.array([len(x.encode().split()) for x in lines])
+    words = word_hashes("\n".join(lines))
+    at, length, feature = hits(words, model.features, model.table)
+    order = np.argsort(at, kind="stable")
+    at, length, feature = at[order], length[order], feature[order]
+    strong = np.append(0, np.cumsum(length >= 2))
+    ends = np.cumsum(sizes)
+    blank = np.flatnonzero(sizes == 0)
+    out = []
+    for a, b in zip(np.append(0, blank + 1), np.append(blank, len(sizes)), strict=True):
+        if b - a < 2:
+            continue
+        first, size = int(ends[a] - sizes[a]), int(ends[b - 1] - ends[a] + sizes[a])
+        best: dict[int, tuple] = {}
+        starts = np.arange(first, first + max(1, size - (WINDOW - STEP)), STEP)
+        stops = np.minimum(starts + WINDOW, first + size)
+        lo, hi = np.searchsorted(at, starts), np.searchsorted(at, stops)
+        for w in np.flatnonzero((hi - lo >= 3) & (strong[hi] > strong[lo])):
+            i, j = int(starts[w]), int(stops[w])
+            inside = lo[w] + np.flatnonzero(at[lo[w] : hi[w]] + length[lo[w] : hi[w]] <= j)
+            mine = np.unique(feature[inside])
+            # no family can confirm where the most similar template of all does not
+            if len(mine) < 3 or (model.members[mine].sum(0) / model.members.sum(0)).max() < MIN_SIMILARITY:
+                continue
+            p = softmax((model.weights[mine].sum(0) / len(mine) ** 0.5 + model.bias) / model.temperature)
+            k = int(p.argmax())
+            if not k or p[k] < model.least:
+                continue
+            s, template = max(((np.isin(t, mine).mean(), t) for f, t in model.templates if f == k), key=lambda x: x[0])
+            if s < MIN_SIMILARITY or (k in best and (s, p[k]) <= best[k][:2]):
+                continue
+            own = inside[np.isin(feature[inside], template) & (length[inside] >= 2)]
+            held, n = np.unique(np.searchsorted(ends, at[own], "right"), return_counts=True)
+            held = held[n >= min(2, n.max())]
+            if not any((int(x), k) in seen for x in held):
+                shown = b" ".join("\n".join(lines[a:b]).encode().split()[i - first : j - first]).decode()
+                best[k] = (s, p[k], int(held[0]), shown)
+        out += [(line, FAMILIES[k], float(p), float(s), shown) for k, (s, p, line, shown) in best.items()]
+    return out
 
 
 def similarity(feature: np.ndarray, family: int, model: Classifier) -> float:
@@ -183,7 +238,7 @@ def similarity(feature: np.ndarray, family: int, model: Classifier) -> float:
 
 
 def found_in(text: str, model: Classifier) -> list[tuple[int, str, float, float, str]]:
-    """(paragraph, family, probability, similarity, words of the window), the best window of each paragraph and family."""
+    """(line, family, probability, similarity, words of the window): the best window of each line and family, then statements over several lines."""
     out: dict[tuple[int, int], tuple] = {}
     words = word_hashes(text)
     if len(words) == 0:
@@ -210,7 +265,7 @@ def found_in(text: str, model: Classifier) -> list[tuple[int, str, float, float,
                 if s >= MIN_SIMILARITY and (old is None or (s, p[k]) > (old[3], old[2])):
                     shown = b" ".join(lines[line].encode().split()[i - first : j - first]).decode()
                     out[int(line), k] = (int(line), FAMILIES[k], float(p[k]), float(s), shown)
-    return [out[key] for key in sorted(out)]
+    return sorted([*out.values(), *wrapped(text, model, set(out))])
 
 
 def sample_lines(texts: DataFrame) -> list[str]:
@@ -226,7 +281,8 @@ def sample_lines(texts: DataFrame) -> list[str]:
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, paragraph, family, probability, similarity, excerpt) of each licence statement found.
 
-    Paragraphs are lines, counted from 0; longer ones are read in overlapping windows. Whole
+    Lines are read by themselves, and joined up to the next blank line for statements that are wrapped; longer ones are
+    read in overlapping windows. ``paragraph`` is the line, counted from 0, on which the statement begins. Whole
     texts are read; null and empty texts have no statement; copies have each their own rows;
     an empty table gives none. The sample for training is bounded by SAMPLE_LINES. Only two columns are read.
     """

@@ -215,6 +215,22 @@ def test_licences_are_found_and_confirmed(spark, make, awkward, empty):
     assert licenses.scan(awkward).count() == 0 and licenses.scan(empty).count() == 0
 
 
+WRAPPED = {
+    "mit": ["Permission is hereby granted, free of charge, to any person obtaining a copy", 'of this software and associated documentation files (the "Software"), to deal', "in the Software without restriction, including without limitation the rights"],
+    "bsd": ["Redistribution and use in source and binary forms, with or without", "modification, are permitted provided that the following conditions are met:"],
+    "lgpl": ["This library is free software; you can redistribute it and/or", "modify it under the terms of the GNU Lesser General Public", "License as published by the Free Software Foundation; either"],
+    "isc": ["Permission to use, copy, modify, and/or distribute this software for any", "purpose with or without fee is hereby granted, provided that the above"],
+}
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "//"])
+def test_wrapped_licences_are_found(make, mark):
+    prose = ["the river ran on for many miles", "through the green valley to the sea"]
+    texts = ["\n".join([*prose, "", *(mark + x for x in lines), mark.rstrip(), *prose]) for lines in WRAPPED.values()]
+    got = licenses.scan(make([*texts, "\n".join(prose * 9)])).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(i, 3, f) for i, f in enumerate(WRAPPED)]
+
+
 def test_licences_of_the_documents(spark):
     texts = spark.read.parquet(f"{SF}/documents.parquet").toPandas()
     want = set(texts[texts.text.str.contains("License|CC BY|All rights reserved", regex=True)].doc_id)
