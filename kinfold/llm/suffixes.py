@@ -213,7 +213,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, id_c
     distinct = rows.groupBy("key").agg(F.count("*").alias("copies"), F.min("own").alias("rep"))
     size = rows.agg(F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("n")).first().n
     marked = cut_lineage(rows.join(distinct, "key"))
-    others = marked.where("own <> rep").select("own").distinct()
+    # an id that has several texts stays if one of them is represented by it
+    others = marked.groupBy("own").agg(F.max(F.col("own") == F.col("rep")).alias("any")).where("NOT any").select("own")
     few = others.count() <= BROADCAST_VALUES
     reps = texts.join(F.broadcast(others) if few else others, "own", "left_anti").select(F.col("own").alias("doc_id"), "text")
     buckets = int(max(48, size // 200 // BUCKET))

@@ -56,3 +56,13 @@ def test_awkward_rows(awkward, empty):
     assert by_id[8].n_removed >= by_id[8].n_bytes - 4
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and len(r.kept) == r.n_bytes - r.n_removed for r in rows)
     assert suffixes.remove_repeats(empty).count() == 0
+
+
+def test_one_id_with_two_texts(make):
+    rng = random.Random(5)
+    piece = lambda n: "".join(rng.choice("abcdefgh") for _ in range(n))
+    twice, shared = piece(60), piece(60)
+    texts = [(3, piece(90)), (5, twice + piece(30) + twice + shared), (8, shared + piece(50))]
+    rows = [*texts, (5, texts[0][1])]
+    got = sorted(tuple(r) for r in suffixes.remove_repeats(make(rows), 40, 12).collect())
+    assert got == sorted((i, *b) for (i, _), b in zip(rows, brute([t for _, t in rows], 40)))
