@@ -22,8 +22,6 @@ TAGS = r"<[^>]*>"
 NAMES = {a: {n: v.replace("\xa0", " ") for n, v in html5.items() if n[0] == a} for a in sorted({n[0] for n in html5})}
 LONGEST_NAME = max(map(len, html5))
 BARE_NAMES = "^(" + "|".join(sorted((n for n in html5 if n[-1] != ";"), key=lambda n: (-len(n), n))) + ")"
-#: The names that the SQL decodes, in its order; the ampersand is last. Fixed values.
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
 
 
 def uuid_of(*parts: Column) -> Column:
@@ -128,30 +126,32 @@ def write_warc(records: DataFrame, path: str) -> None:
 
 
 def derivatives_sql() -> str:
-    """DuckDB SQL for the digest columns of the query."""
+    """DuckDB SQL for the rows of the query, from the same table of names."""
     esc = lambda s: s.replace("'", "''")
     uuid = lambda h: "'urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
-    number = "coalesce(TRY_CAST(regexp_extract(x, '^([0-9]{1,7});', 1) AS INT), TRY_CAST('0x' || nullif(regexp_extract(x, '^[xX]([0-9A-Fa-f]{1,6});', 1), '') AS INT))"
+    head = f"substr(p, 1, {LONGEST_NAME})"
+    number = f"coalesce(TRY_CAST(regexp_extract({head}, '^#([0-9]{{1,7}});', 1) AS INT), TRY_CAST('0x' || nullif(regexp_extract({head}, '^#[xX]([0-9A-Fa-f]{{1,6}});', 1), '') AS INT))"
     valid = f"coalesce({number} > 0 AND {number} < 1114112 AND NOT {number} BETWEEN 55296 AND 57343, false)"
-    def decode(t: str) -> str:
-        out = f"array_to_string(list_transform(string_split({t}, '&#'), lambda x, i: CASE WHEN i = 1 THEN x WHEN {valid} THEN chr({number}) || regexp_replace(x, '^[^;]*;', '') ELSE '&#' || x END), '')"
-        for name, value in ENTITIES:
-            out = f"replace({out}, '{name}', '{esc(value)}')"
-        return out
+    numeric = f"CASE WHEN {valid} THEN chr({number}) || substr(p, instr(p, ';') + 1) ELSE '&' || p END"
+    named = lambda pattern: f"m[regexp_extract({head}, '{pattern}', 0)] || substr(p, length(regexp_extract({head}, '{pattern}', 0)) + 1)"
+    closed, bare = named("^[A-Za-z][A-Za-z0-9]*;"), named(BARE_NAMES)
+    part = f"CASE WHEN i = 1 THEN p WHEN starts_with(p, '#') THEN {numeric} ELSE coalesce({closed}, {bare}, '&' || p) END"
+    decode = lambda t: f"CASE WHEN contains({t}, '&') THEN array_to_string(list_transform(string_split({t}, '&'), lambda p, i: {part}), '') ELSE {t} END"
+    names = ", ".join(f"'{n}': '{esc(v)}'" for of in NAMES.values() for n, v in of.items())
     crlf = "chr(13) || chr(10)"
     stripped = f"regexp_replace(regexp_replace(regexp_replace(payload, '{HIDDEN}', ' ', 'g'), '{BREAKS}', chr(10), 'g'), '{TAGS}', '', 'g')"
     return f"""
-WITH s AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
+WITH names AS (SELECT MAP {{{names}}} AS m), s AS (SELECT page_id, coalesce(url, '') AS target_uri, coalesce(html, '') AS payload FROM pages),
 r AS (SELECT *, md5(coalesce(page_id::VARCHAR, '') || '|' || target_uri || '|' || sha256(payload)) AS h, {stripped} AS bare,
-  trim(regexp_replace({decode("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title FROM s),
+  trim(regexp_replace({decode("regexp_extract(payload, '(?is)<title[^>]*>(.*?)</title\\s*>', 1)")}, '[ \\t\\r\\n\\f]+', ' ', 'g')) AS title, m FROM s, names),
 i AS (SELECT *, {uuid('h')} AS refers_to, 'sha256:' || sha256(payload) AS source_digest FROM r),
 b AS (SELECT page_id, refers_to, target_uri, source_digest, 'metadata' AS record_type, 'application/warc-fields' AS content_type,
   'source-date: {DERIVED_AT}' || {crlf} || 'source-payload-digest: ' || source_digest || {crlf} || 'source-payload-length: ' || strlen(payload) || {crlf}
   || 'source-status: HTTP/1.1 200 OK' || {crlf} || 'source-header-Content-Type: text/html; charset=utf-8' || {crlf} || 'source-header-Content-Length: ' || strlen(payload) || {crlf}
   || 'title: ' || title || {crlf} || 'outlinks: ' || (len(regexp_split_to_array(payload, '(?i)<a\\s[^>]*href\\s*=')) - 1) || {crlf} AS block FROM i
   UNION ALL SELECT page_id, refers_to, target_uri, source_digest, 'conversion', 'text/plain; charset=utf-8',
-  trim(regexp_replace(regexp_replace({decode('bare')}, '[ \\t\\r\\f ]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) FROM i),
+  trim(regexp_replace(regexp_replace({decode('bare')}, '[ \\t\\r\\f\\x{{A0}}]+', ' ', 'g'), ' ?\\n[ \\n]*', chr(10), 'g'), ' ' || chr(10)) FROM i),
 d AS (SELECT *, md5(refers_to || '|' || record_type) AS h FROM b)
 SELECT page_id, record_type, {uuid('h')} AS record_id, refers_to, target_uri, '{DERIVED_AT}' AS date, content_type, strlen(block)::BIGINT AS content_length,
-  'sha256:' || sha256(block) AS block_digest, source_digest FROM d
+  'sha256:' || sha256(block) AS block_digest, source_digest, block FROM d
 """
