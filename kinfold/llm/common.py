@@ -7,12 +7,13 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kinfold.session import cut_lineage, ship
 
-__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "likely_least", "narrow", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
+__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "likely_least", "narrow", "parts", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
 
 #: Separators of words: space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -85,6 +86,15 @@ def pieces(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
+def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of about CHUNK_BYTES, or of one larger row: Python never holds a whole batch as objects."""
+    sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), np.zeros(batch.num_rows, np.int64))
+    cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // CHUNK_BYTES)) + 1
+    for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+        if j > i:
+            yield batch.slice(i, j - i)
+
+
 def arrow_map(docs: DataFrame, of_chunk: Callable, schema: str) -> DataFrame:
     """``of_chunk(ids, texts)`` gives columns by name for each chunk of (id, text) rows."""
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -169,12 +179,12 @@ def shingle_hashes(words: np.ndarray, n: int = 5) -> np.ndarray:
 
 
 def filtered(docs: DataFrame, keep: Callable, columns: list[str]) -> DataFrame:
-    """The rows of ``docs`` for which ``keep(values of each column)`` is true, a list for each batch."""
+    """The rows of ``docs`` for which ``keep(values of each column)`` is true, a list for each part of a batch."""
     ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
+        for batch in batches:
+            for b in parts(batch):
                 yield b.filter(pa.array(keep(*[b.column(c).to_pylist() for c in columns]), pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

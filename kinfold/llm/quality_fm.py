@@ -7,6 +7,7 @@ sum is 1/2 sum_f ((sum_i v_if x_i)^2 - sum_i v_if^2 x_i^2), linear in the featur
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import isfinite
 from typing import NamedTuple
 
 import numpy as np
@@ -14,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import LOWER, bucket_ids, chunks, filtered, text_of
+from kinfold.llm.common import LOWER, bucket_ids, chunks, filtered, parts, text_of
 from kinfold.session import ship
 
 BITS = 15
@@ -64,6 +65,11 @@ def statistics(raw: bytes, words: list[bytes], ids: np.ndarray) -> list[float]:
     ]
 
 
+def order_of(x: float | None) -> int:
+    """Class of a metadata value: its binary order of magnitude, and one class for nulls, NaN and infinite ones."""
+    return META_CLASSES - 1 if x is None or not isfinite(x) else min(META_CLASSES - 2, int(abs(x)).bit_length())
+
+
 def features(texts: list[str], meta: list[list]) -> Rows:
     """Rows of a chunk. ``meta``: the metadata columns, nulls allowed."""
     index, value, start, stats, at = [], [], [], [], 0
@@ -73,7 +79,7 @@ def features(texts: list[str], meta: list[list]) -> Rows:
         ids = bucket_ids(words, BITS)
         found, counts = np.unique(ids, return_counts=True)
         tf = np.sqrt(counts) / np.sqrt(max(1, len(words)))
-        orders = [META_AT + META_CLASSES * c + (META_CLASSES - 1 if m[k] is None else min(META_CLASSES - 2, int(abs(m[k])).bit_length())) for c, m in enumerate(meta)]
+        orders = [META_AT + META_CLASSES * c + order_of(m[k]) for c, m in enumerate(meta)]
         index += [found.astype(np.int64), np.arange(STATS_AT, STATS_AT + N_STATS), np.array(orders, np.int64)]
         value += [tf.astype(np.float32), np.zeros(N_STATS, np.float32), np.ones(len(orders), np.float32)]
         start.append(at)
@@ -155,11 +161,14 @@ def train(docs: DataFrame, labels: DataFrame, metadata: tuple[str, ...] = ("n_ch
     known = labels.where((remainder("doc_id") != 0) & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     known = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(max_rows)
     # at most max_rows pairs of numbers
-    rows = docs.select("doc_id", "text", *metadata).join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
-    rows = rows.select("doc_id", "text", "quality", *metadata).dropDuplicates(["doc_id"])
+    numbers = [F.col(m).cast("double").alias(f"meta_{k}") for k, m in enumerate(metadata)]
+    rows = docs.select("doc_id", "text", *numbers).join(F.broadcast(known), "doc_id").where(F.col("text").isNotNull())
+    # of the rows of one id the least by its text's hash, so that the model repeats
+    row = F.struct("text", "quality", *(f"meta_{k}" for k in range(len(metadata))))
+    rows = rows.groupBy("doc_id").agg(F.min_by(row, F.struct(F.xxhash64("text"), row)).alias("r")).select("doc_id", "r.*")
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             texts, quality = b.column(1).to_pylist(), b.column(2).to_pylist()
             meta = [b.column(3 + k).to_pylist() for k in range(len(metadata))]
             for k, text in enumerate(texts):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import arrow_map, chunks, cut_lineage, narrow
+from kinfold.llm.common import arrow_map, chunks, cut_lineage, narrow, parts
 from kinfold.session import ship
 
 KINDS = ("assign", "access", "hex", "cost")
@@ -192,7 +192,7 @@ def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every secret of ``text`` replaced by its kind, and ``n_chars`` of the changed texts counted anew. Nulls stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in parts(batch)):
             at, n = b.schema.get_field_index("text"), b.schema.get_field_index("n_chars")
             old = b.column(at).to_pylist()
             new = [t and redacted(t, sent.value) for t in old]

@@ -324,5 +324,32 @@ def test_pipeline_stages(spark, awkward, empty, tmp_path):
 
 
 def test_every_operator_has_a_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert set(ORACLES) <= set(QUERIES)
+
+
+def test_metadata_that_is_no_number(spark):
+    """NaN, infinite and null metadata are one class; rows of one id give the same model each time."""
+    from kinfold.llm import quality_fm as fm
+
+    assert {fm.order_of(x) for x in (None, float("nan"), float("inf"), float("-inf"))} == {fm.META_CLASSES - 1}
+    rows = [(i % 40, f"{'good words here' if i % 2 else 'BAD !!! ###'} {i}", [float("nan"), float("inf"), None, 7.0][i % 4]) for i in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars double")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, quality int")
+    first, second = (fm.train(docs.repartition(n), labels) for n in (2, 7))
+    assert (first.v == second.v).all() and (first.w == second.w).all()
+    scores = fm.score(docs, first).collect()
+    assert len(scores) == 80 and all(0 <= r.score <= 1 for r in scores)
+    assert fm.accepted(docs, first).count() == sum(r.predicted for r in scores)
+
+
+def test_parts_of_batches(monkeypatch):
+    import pyarrow as pa
+
+    from kinfold.llm import common
+
+    monkeypatch.setattr(common, "CHUNK_BYTES", 10)
+    batch = pa.RecordBatch.from_pydict({"a": [1, 2, 3, 4, 5], "t": ["x" * 25, None, "yy", "z" * 9, ""]})
+    got = list(common.parts(batch))
+    assert pa.Table.from_batches(got).equals(pa.Table.from_batches([batch])) and len(got) == 2
+    assert list(common.parts(batch.slice(0, 0))) == []
