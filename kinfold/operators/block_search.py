@@ -29,6 +29,8 @@ from kinfold.session import cut_lineage
 
 #: Bounds are sums in another order than scores, so pruning leaves them this much room.
 SLACK = 1e-9
+#: Room for rounding in squared distances from a matrix product, relative to the norms.
+PRESELECT = 1e-9
 MIN_BLOCK, MAX_BLOCK = 512, 8192
 MAX_LEAF_DEPTH = 14
 SPLIT_POINTS = 20_000
@@ -113,6 +115,38 @@ def distance(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return np.sqrt(total)
 
 
+def nearest_vectors(metric: str, left: pa.ListArray, right: pa.ListArray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the k best vectors of each row; earlier columns win ties.
+
+    One matrix product gives every squared distance up to a rounding error far below PRESELECT; what may be among
+    the k best by that is measured exactly, the differences of the coordinates in their order.
+    """
+    (has_l, a), (has_r, b) = vectors(left), vectors(right)
+    if not len(a) or not len(b):
+        none = np.zeros(0, np.int64)
+        return none, none, np.zeros(0)
+    dims = a.shape[1]
+    a_norm, b_norm = (a * a).sum(1), (b * b).sum(1)
+    square = a_norm[:, None] + b_norm[None, :] - 2 * (a @ b.T)
+    room = PRESELECT * (1 + a_norm.max() + b_norm.max())
+    least = floor[has_l]
+    most = (dims * np.maximum(0, 1 - least) ** 2 if metric == "euclid" else 2 * (1 - least)) + room
+    if square.shape[1] > k:
+        most = np.minimum(most, np.partition(square, k - 1, axis=1)[:, k - 1] + 2 * room)
+    row, col = np.nonzero(square <= most[:, None])
+    total = np.zeros(len(row))
+    for j in range(dims):
+        total += (a[row, j] - b[col, j]) ** 2
+    d = np.sqrt(total)
+    similarity = np.round(1 - d / math.sqrt(dims) if metric == "euclid" else 1 - d**2 / 2, 12)
+    good = (similarity >= least[row]) & (similarity > 0)
+    row, col, similarity = np.flatnonzero(has_l)[row[good]], np.flatnonzero(has_r)[col[good]], similarity[good]
+    order = np.lexsort((col, -similarity, row))
+    row, col, similarity = row[order], col[order], similarity[order]
+    best = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[best], col[best], similarity[best]
+
+
 def part_similarity(metric: str, left: pa.ListArray, right: pa.ListArray) -> np.ndarray:
     """Similarity matrix; an entity without the feature has similarity 0."""
     if metric == "jaccard":
@@ -151,13 +185,16 @@ def block_kernel(parts: list[Part], order: list[str], k: int, floor: float, sche
         for start in range(0, targets.num_rows if candidates.num_rows else 0, TILE):
             tile = targets.slice(start, TILE).combine_chunks()
             pick = lambda table, p: table[p.column].combine_chunks()
-            scores = sum(p.weight / weight * part_similarity(p.metric, pick(tile, p), pick(candidates, p)) for p in parts)
             # twelve digits, so that the order of sums changes neither ties nor what reaches the floor
-            scores = np.round(scores, 12)
             least = np.round(np.maximum(tile["bound"].to_numpy(), floor), 12)
-            row, col = best_rows(scores, k, least)
+            if len(parts) == 1 and parts[0].metric != "jaccard":
+                row, col, found_at = nearest_vectors(parts[0].metric, pick(tile, parts[0]), pick(candidates, parts[0]), k, least)
+            else:
+                scores = np.round(sum(p.weight / weight * part_similarity(p.metric, pick(tile, p), pick(candidates, p)) for p in parts), 12)
+                row, col = best_rows(scores, k, least)
+                found_at = scores[row, col]
             hit = candidates.select(order).take(pa.array(col))
-            columns = {"target": tile["target"].take(pa.array(row)), "similarity": pa.array(scores[row, col])}
+            columns = {"target": tile["target"].take(pa.array(row)), "similarity": pa.array(found_at)}
             found.append(pa.table({**columns, **{c: hit[c] for c in order}}).select(schema.names).cast(arrow_schema))
         return pa.concat_tables(found) if found else arrow_schema.empty_table()
 

@@ -13,22 +13,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-RANGES = 1024
+#: Ranges of a key's distinct values, and the inverse of the error of their bounds.
+RANGES, ACCURACY = 256, 10_000
 
 
 def running_totals(
     df: DataFrame, keys: list[str], value: str, totals: list[str], descending: bool = False
 ) -> DataFrame:
-    """One row per (keys, value) with the totals of it and, as ``cum_*``, up to it."""
+    """One row per (keys, value) with the totals of it and, as ``cum_*``, up to it.
+
+    Ranges hold about equally many of a key's distinct values wherever those lie.
+    """
     rows = df.groupBy(*keys, value).agg(*(F.sum(c).alias(c) for c in totals))
-    span = rows.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
-    share = F.try_divide(F.col(value) - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    rows = rows.join(span, keys).withColumn(
-        "_range", F.coalesce(F.floor(share.cast("double") * RANGES), F.lit(0)).cast("int")
-    )
+    cuts = F.percentile_approx(value, [k / RANGES for k in range(1, RANGES)], ACCURACY)
+    bounds = rows.groupBy(*keys).agg(F.array_distinct(cuts).alias("_cuts"))
+    place = F.size(F.filter("_cuts", lambda c: c < F.col(value)))
+    rows = rows.join(bounds, keys).withColumn("_range", F.greatest(F.coalesce(place, F.lit(0)), F.lit(0))).drop("_cuts")
     order = (lambda c: F.col(c).desc()) if descending else (lambda c: F.col(c).asc())
     before = W.partitionBy(*keys).orderBy(order("_range")).rowsBetween(W.unboundedPreceding, -1)
-    # at most RANGES + 1 rows per key
+    # at most RANGES rows per key
     offsets = (
         rows.groupBy(*keys, "_range")
         .agg(*(F.sum(c).alias(f"_{c}") for c in totals))
@@ -60,15 +63,21 @@ def bounded_lists(
 ) -> DataFrame:
     """Records of each key as sorted lists of about ``limit``, all kept, numbered by ``part``.
 
-    A key with more records than that has several parts.
+    A key with more records than that has several parts, dealt to tasks of their own. Equal records
+    are counted before they are sent, and come back as often as they were, in several parts if they fill more than one.
     """
-    sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / limit).alias("_parts"))
-    return (
-        df.join(sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64(*record), F.col("_parts")))
-        .groupBy(*keys, "part")
-        .agg(F.sort_array(F.collect_list(F.struct(*record))).alias(name))
+    counted = df.groupBy(*keys, *record).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = counted.groupBy(*keys).agg(F.ceil(F.sum("_n") / limit).alias("_parts"))
+    split = (
+        counted.withColumn("_copy", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("_n") / limit) - 1)))
+        .withColumn("_n", F.least(F.lit(limit).cast("long"), F.col("_n") - F.col("_copy") * limit))
+    )
+    dealt = split.join(sizes, keys).withColumn("part", F.pmod(F.xxhash64(*record, "_copy"), F.col("_parts")))
+    # the join leaves a key in one place, so its parts are dealt out anew
+    lists = dealt.repartition(*keys, "part").groupBy(*keys, "part").agg(
+        F.sort_array(F.collect_list(F.struct(F.struct(*record).alias("r"), F.col("_n").cast("int").alias("n")))).alias(name)
     )
+    return lists.withColumn(name, F.flatten(F.transform(name, lambda x: F.array_repeat(x["r"], x["n"]))))
 
 
 def null_safe(left: DataFrame, right: DataFrame, keys: list[str]) -> Column:

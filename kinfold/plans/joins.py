@@ -48,6 +48,24 @@ def set_join(t: Tables):
     return pairs.select("id", "nn_id", big("overlap", "overlap"), r6("similarity", "similarity"))
 
 
+@query(
+    "D01_similarity_classes",
+    cte("words")
+    + ", sets AS (SELECT id, count(*) AS n, list(bit ORDER BY bit) AS ds FROM words GROUP BY id), reps AS (SELECT min(id) AS rep, n, ds, count(*) AS copies FROM sets GROUP BY n, ds), "
+    "rw AS (SELECT rep, n, copies, unnest(ds) AS bit FROM reps), "
+    "o AS (SELECT a.rep, b.rep AS other, any_value(a.n) AS n, any_value(b.n) AS m, any_value(a.copies) AS copies, any_value(b.copies) AS other_copies, count(*) AS overlap FROM rw a JOIN rw b ON a.bit = b.bit AND a.rep < b.rep GROUP BY ALL) "
+    "SELECT rep, other, overlap, round(overlap::DOUBLE / (n + m - overlap), 6) AS similarity, copies, other_copies FROM o WHERE overlap::DOUBLE / (n + m - overlap) >= 0.5",
+)
+def set_classes(t: Tables):
+    found = similarity.similar_sets(t.word_lists, t.word_lists, 0.5)
+    copies = found.targets.groupBy("rep").agg(F.count(F.lit(1)).alias("copies"))
+    return (
+        found.pairs.join(copies.withColumnRenamed("rep", "t"), "t")
+        .join(copies.select(F.col("rep").alias("c"), F.col("copies").alias("other_copies")), "c")
+        .select(F.col("t").alias("rep"), F.col("c").alias("other"), big("overlap", "overlap"), r6("similarity", "similarity"), "copies", "other_copies")
+    )
+
+
 @query("D02_vector_distance_join", "WITH " + SCALED + ", " + vector_knn("1 - list_distance(a.v, b.v) / sqrt(64)", "scaled", 5))
 def vector_join(t: Tables):
     vectors = scaled_embeddings(t)
