@@ -29,7 +29,7 @@ def failing_rows(df: DataFrame, statuses: dict[str, Column]) -> DataFrame:
 def sample_ids(old: DataFrame, new: DataFrame, n: int = 1000, seed: int = 1) -> DataFrame:
     """n ids found in both tables, the same ones for the same seed."""
     common = old.select("id").distinct().join(new, "id", "left_semi")
-    return common.orderBy(F.xxhash64(F.lit(seed), "id"), "id").limit(n)
+    return common.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string"))), "id").limit(n)
 
 
 def id_diff(old: DataFrame, new: DataFrame) -> DataFrame:

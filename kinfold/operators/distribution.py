@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from kinfold.session import cut_lineage
+
 #: Ranges of a key's distinct values, and the inverse of the error of their bounds.
 RANGES, ACCURACY = 256, 10_000
 
@@ -43,6 +45,20 @@ def running_totals(
     )
 
 
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``position``: the row's place from 0 in the order of the columns, which should tell rows apart.
+
+    Rows are dealt out by ranges of the order; a place is the one in its range after the sizes of the ranges
+    before, so neither the driver nor one task sees all rows.
+    """
+    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    dealt = cut_lineage(dealt.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1))}))
+    # one row for each range
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n")).select("_part", before.alias("_before"))
+    return dealt.join(F.broadcast(offsets), "_part").select(*df.columns, (F.col("_before") + F.col("_place")).alias("position"))
+
+
 def exact_median(df: DataFrame, keys: list[str], value: str, name: str, large: int = 1_000_000) -> DataFrame:
     """(keys, name): the built-in median for ordinary groups, running totals for those over ``large`` rows."""
     known = df.where(F.col(value).isNotNull()).select(*keys, value)

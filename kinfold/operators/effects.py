@@ -10,6 +10,9 @@ from kinfold.operators.distribution import null_safe
 
 STUDY = ["chem_id", "study_id", "study_type", "species"]
 
+#: Parts into which the rows of one guideline are dealt.
+PARTS = 16
+
 
 def select_effects(
     effects: DataFrame,
@@ -77,7 +80,13 @@ def classified_effects(positive: DataFrame, unrelated: DataFrame, missing: DataF
     """
     effect = [c for c in missing.columns if c != "study_guideline_id"]
     studies = positive.select("study_guideline_id", *context).distinct()
-    negative = studies.join(missing, "study_guideline_id", "full")
+    # guidelines are few: requirements are dealt out by a hash as well, and each study meets every part of its guideline
+    key = "study_guideline_id"
+    parts = missing.withColumn("_part", F.pmod(F.xxhash64(*missing.columns), F.lit(PARTS)))
+    met = studies.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(PARTS - 1).cast("long")))).join(parts, [key, "_part"]).drop("_part")
+    negative = met.unionByName(studies.join(missing.select(key).distinct(), key, "left_anti"), allowMissingColumns=True).unionByName(
+        missing.join(studies.select(key).distinct(), key, "left_anti"), allowMissingColumns=True
+    )
     columns = ["study_guideline_id", *context, *effect]
     return (
         positive.select(*columns).withColumn("effect_class", F.lit(1))

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.text import class_label
-from kinfold.operators.distribution import bounded_lists, exact_median
+from kinfold.operators.distribution import bounded_lists, exact_median, numbered
 
 HASHED_BITS = 2048
 MATRIX_LIMIT = 10_000
@@ -144,8 +144,9 @@ def class_bits(classes: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def hashed_positions(tokens: Column, bits: int = HASHED_BITS) -> Column:
-    """Distinct positions of the tokens' hashes."""
-    return F.sort_array(F.array_distinct(F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(bits)).cast("int"))))
+    """Distinct positions of the tokens: the first 32 bits of their MD5, modulo ``bits``, which any engine can repeat."""
+    head = lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long")
+    return F.sort_array(F.array_distinct(F.transform(F.array_distinct(tokens), lambda t: (head(t) % bits).cast("int"))))
 
 
 def hashed_fingerprints(texts: DataFrame, tokens: Column, prefix: str, bits: int = HASHED_BITS) -> DataFrame:
@@ -173,10 +174,21 @@ def vocabulary(bits: DataFrame, by_number: bool = False) -> DataFrame:
 def feature_matrix(bits: DataFrame, columns: list[str], fill: int = 0) -> DataFrame:
     """Entity x feature 0/1 columns in the given order, for a vocabulary that fits a schema."""
     if len(columns) > MATRIX_LIMIT:
-        raise ValueError(f"{len(columns)} features are too many for columns; stay with tall bits")
+        raise ValueError(f"{len(columns)} features are too many for columns; block_matrix takes any number")
     return bits.groupBy("id").pivot("bit", columns).agg(F.lit(1)).fillna(fill)
 
 
+def block_matrix(bits: DataFrame, width: int = 1000) -> DataFrame:
+    """(id, block, places): the feature matrix of a vocabulary of any size, ``width`` columns a block, only blocks and places that are set.
+
+    Columns are numbered by the order of the features; no schema and no driver holds them.
+    """
+    names = numbered(bits.select("bit").distinct(), ["bit"])
+    placed = bits.select("id", "bit").distinct().join(names, "bit")
+    block = F.floor(F.col("position") / width)
+    return placed.groupBy("id", block.alias("block")).agg(F.sort_array(F.collect_list((F.col("position") % width).cast("int"))).alias("places"))
+
+
 def fingerprint_sizes(ids: DataFrame, sizes: DataFrame, fp_ids: list[str], floor: DataFrame | None = None) -> DataFrame:
     """(id, fp_id, n) for every asked pair, 0 when absent.
 

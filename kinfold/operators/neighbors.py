@@ -11,6 +11,8 @@ from kinfold.operators.block_search import Part, top_matches
 from kinfold.session import cut_lineage
 
 STORED = 100
+#: Metadata of a stored table's rank column: the k it was built with.
+DEPTH = "depth"
 
 
 def parse_blend(spec: str) -> list[tuple[str, float]]:
@@ -85,11 +87,19 @@ def neighbor_table(
     pool = fingerprints if holders is None else available(fingerprints, holders)
     pool, order = tie_keys(pool, quality, None)
     return top_matches(fingerprints, pool, parts, k, order=order).select(
-        F.lit(fp_id).alias("fp_id"), F.lit(sel_by).alias("sel_by"), "id", F.col("rank").cast("int").alias("rank"),
+        F.lit(fp_id).alias("fp_id"), F.lit(sel_by).alias("sel_by"), "id", F.col("rank").cast("int").alias("rank", metadata={DEPTH: k}),
         "nn_id", F.round("similarity", 10).alias("similarity"),
     )
 
 
+def table_depth(table: DataFrame, depth: int | None = None) -> int:
+    """The k that a stored table was built with: as given, or as its rank column says, also after it was written to Parquet and read."""
+    depth = depth or table.schema["rank"].metadata.get(DEPTH)
+    if not depth:
+        raise ValueError("the table does not say how many neighbours it was built with; give its depth")
+    return depth
+
+
 def neighbor_stats(table: DataFrame) -> DataFrame:
     """(id, fp_id, sel_by, n, max_s0): neighbours with a positive similarity and the best of them."""
     return table.groupBy("id", "fp_id", "sel_by").agg(
@@ -102,11 +112,10 @@ def stored_lookup(
 ) -> tuple[DataFrame, DataFrame]:
     """(hits, missing): stored neighbours, and the targets that must be computed instead.
 
-    ``depth`` is the k that the table was built with, by default that of its longest list. A list
+    ``depth`` is the k that the table was built with; a table from ``neighbor_table`` knows it. A list
     that is shorter is complete; a full list is no answer to a larger k0.
     """
-    if depth is None:
-        depth = table.agg(F.max("rank")).first()[0] or 0
+    depth = table_depth(table, depth)
     stored = table.join(targets.select("id").distinct(), "id", "left_semi")
     if k0 > depth:
         complete = stored.groupBy("id").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") < depth).select("id")
@@ -167,16 +176,17 @@ def mean_similarity(table: DataFrame, first: int = 15) -> DataFrame:
 
 
 def expand_graph(
-    targets: DataFrame, table: DataFrame, steps: int, k0: int, s0: float, out_only: bool = False, depth: int = STORED
+    targets: DataFrame, table: DataFrame, steps: int, k0: int, s0: float, out_only: bool = False, depth: int | None = None
 ) -> DataFrame:
     """Edges (target, fp_id, step, src, dst, similarity) within ``steps`` levels of each target.
 
     A node follows its first k0 stored neighbours, k0 + 1 unless it is the
     target. An edge is used once in either direction; with ``out_only`` each
     node keeps its first incoming edge. ``table`` holds one filter. First means
-    lowest source id, then rank. ``depth`` is the k that the table was built with;
+    lowest source id, then rank. ``depth`` is the k that the table was built with, if the table does not know it;
     a table too shallow for k0 + 1 would cut the graph unseen and is refused.
     """
+    depth = table_depth(table, depth)
     if k0 + 1 > depth:
         raise ValueError(f"the table holds {depth} neighbours, {k0 + 1} are needed")
     near = table.where((F.col("rank") <= k0 + 1) & (F.col("similarity") >= s0)).select(

@@ -106,7 +106,7 @@ def table(t: Tables):
 def lookup(t: Tables):
     rich = t.basket_sets.join(t.customer.where("c_acctbal > 0").select(F.col("c_custkey").alias("id")), "id", "left_semi")
     stored = neighbors.neighbor_table(rich, BITS, "basket", "no_filter", k=6)
-    hits, missing = neighbors.stored_lookup(t.returners, stored, 4, 0.25, depth=6)
+    hits, missing = neighbors.stored_lookup(t.returners, stored, 4, 0.25)
     return cells_text(hits, "id", "nn_id").unionByName(missing.select("id", big(F.lit(-1), "nn_id"), F.lit(0.0).alias("similarity")))
 
 
@@ -116,7 +116,7 @@ def lookup(t: Tables):
 )
 def lookup_or_compute(t: Tables):
     stored = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "no_filter", k=3)
-    near = neighbors.lookup_or_compute(t.returners, stored, t.basket_sets, BITS, 8, 0.25, depth=3)
+    near = neighbors.lookup_or_compute(t.returners, stored, t.basket_sets, BITS, 8, 0.25)
     return near.select("id", big("rank", "rank"), "nn_id", r6("similarity", "similarity"))
 
 
@@ -325,7 +325,7 @@ def graph_sql(out_only: bool) -> str:
 
 def graph(t: Tables, out_only: bool):
     table = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "returners", t.returners, k=3)
-    return neighbors.expand_graph(t.basket_sets.select("id"), table, 2, 2, 0.2, out_only, depth=3)
+    return neighbors.expand_graph(t.basket_sets.select("id"), table, 2, 2, 0.2, out_only)
 
 
 @query("H18_graph_expansion", graph_sql(False) + "SELECT target, 'basket' AS fp_id, step, src, dst, round_even(similarity, 3) AS similarity FROM edges")
@@ -420,10 +420,13 @@ def numeric(t: Tables):
     return fingerprints.numeric_fingerprints(properties.property_values([(rows, ["price", "size"])]), ["price", "size"])
 
 
-@query("H24_hashed_fingerprints")
+POSITION = "('0x' || substr(md5(bit), 1, 8))::BIGINT % 2048"
+
+
+@query("H24_hashed_fingerprints", cte("words") + f"SELECT id, string_agg('word_' || p, ' ' ORDER BY p) AS ds, count(*)::INTEGER AS n FROM (SELECT DISTINCT id, {POSITION} AS p FROM words) GROUP BY id")
 def hashed(t: Tables):
     texts = t.documents.select(F.col("doc_id").alias("id"), "text")
-    out = fingerprints.hashed_fingerprints(texts, F.split(F.lower("text"), r"[^\p{L}]+"), "word")
+    out = fingerprints.hashed_fingerprints(texts, F.array_remove(F.split(F.lower("text"), r"[^\p{L}]+"), ""), "word")
     return out.select("id", text("ds", "ds"), "n")
 
 
@@ -454,7 +457,10 @@ def registry(t: Tables):
     return out
 
 
-@query("J02_hashed_block_search")
+@query(
+    "J02_hashed_block_search",
+    cte("words", f"hashed AS (SELECT DISTINCT id, {POSITION} AS bit FROM words)", knn("hashed", 100)) + "SELECT id, rank, nn_id, round(similarity, 6) AS similarity FROM knn",
+)
 def block_search(t: Tables):
     near = neighbors.neighbor_table(t.word_bits, BITS, "word_hashed", "no_filter")
-    return near.select("id", "rank", "nn_id", "similarity")
+    return near.select("id", big("rank", "rank"), "nn_id", r6("similarity", "similarity"))

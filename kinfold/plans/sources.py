@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -173,15 +175,21 @@ def metadata(t: Tables):
 @query(
     "A11_neighbourhood_closed_sample",
     cte("baskets", "ranges", "returners", knn("baskets", 3, name="b"), knn("ranges", 3, name="r"))
-    + "SELECT id FROM returners UNION SELECT nn_id FROM b WHERE id IN (FROM returners) UNION SELECT nn_id FROM r WHERE id IN (FROM returners)",
+    + ", kept AS (SELECT id FROM returners UNION SELECT nn_id FROM b WHERE id IN (FROM returners) UNION SELECT nn_id FROM r WHERE id IN (FROM returners)), "
+    "every AS (SELECT 'customers' AS name, c_custkey AS id FROM customer UNION ALL SELECT 'orders', o_custkey FROM orders UNION ALL SELECT 'baskets', id FROM baskets UNION ALL SELECT 'ranges', id FROM ranges "
+    "UNION ALL SELECT 'neighbours', id FROM b UNION ALL SELECT 'neighbours', id FROM r) SELECT name, id, count(*) AS n FROM every WHERE id IN (FROM kept) GROUP BY ALL",
 )
 def closed(t: Tables):
     tables = neighbors.neighbor_table(t.basket_sets, BITS, "basket", "no_filter", k=3).unionByName(
         neighbors.neighbor_table(t.range_sets, BITS, "range", "no_filter", k=3)
     )
     sample = writers.closed_sample(t.returners, tables)
-    customers = t.customer.select(F.col("c_custkey").alias("id"))
-    return writers.sampled_tables(sample, {"customers": customers})["customers"]
+    every = {
+        "customers": t.customer.select(F.col("c_custkey").alias("id")), "orders": t.orders.select(F.col("o_custkey").alias("id")),
+        "baskets": t.baskets, "ranges": t.ranges, "neighbours": tables,
+    }
+    counts = [df.groupBy("id").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "id", "n") for name, df in writers.sampled_tables(sample, every).items()]
+    return reduce(lambda a, b: a.unionAll(b), counts)
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.operators.fingerprints import MATRIX_LIMIT
+from kinfold.operators.distribution import numbered
 
 
 def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
@@ -84,17 +84,20 @@ def wide_grid(
 
 
 def neighbour_bits(members: DataFrame, fingerprints: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """(target, rank, id, ds, bits): neighbours with their features and 0/1 text over a vocabulary.
+    """(target, rank, id, ds, bits): neighbours with their features and 0/1 text over a vocabulary (bit) of any size.
 
-    The vocabulary becomes one array per row, so it has to fit the columns of an
-    export.
+    Each feature's place in the text comes from a table of places; an entity's text is written from its own places.
     """
-    names = [r["bit"] for r in vocabulary.orderBy("bit").limit(MATRIX_LIMIT + 1).collect()]
-    if len(names) > MATRIX_LIMIT:
-        raise ValueError("the vocabulary is too large for one column per bit")
-    known = F.map_from_arrays(F.col("ds"), F.transform("ds", lambda _: F.lit("1")))
-    text = F.concat_ws("", F.transform(F.array(*(F.lit(n) for n in names)), lambda n: F.coalesce(F.try_element_at(known, n), F.lit("0"))))
-    return members.join(fingerprints.select("id", "ds"), "id").select("target", "rank", "id", "ds", text.alias("bits"))
+    names = numbered(vocabulary.select("bit").distinct(), ["bit"])
+    size = names.count()
+    shown = fingerprints.join(members.select("id").distinct(), "id", "left_semi").select("id", "ds")
+    placed = shown.select("id", F.explode(F.array_distinct("ds")).alias("bit")).join(names, "bit")
+    places = placed.groupBy("id").agg(F.sort_array(F.collect_list(F.col("position").cast("int"))).alias("at"))
+    before = F.concat(F.array(F.lit(-1)), F.slice("at", 1, F.size("at") - 1))
+    gaps = F.zip_with(before, "at", lambda a, b: F.concat(F.repeat(F.lit("0"), b - a - 1), F.lit("1")))
+    text = F.concat(F.array_join(gaps, ""), F.repeat(F.lit("0"), size - 1 - F.element_at("at", -1)))
+    texts = shown.join(places, "id", "left").select("id", "ds", F.coalesce(text, F.repeat(F.lit("0"), F.lit(size))).alias("bits"))
+    return members.join(texts, "id").select("target", "rank", "id", "ds", "bits")
 
 
 def neighbour_values(members: DataFrame, numeric: DataFrame) -> DataFrame:
