@@ -24,14 +24,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import cut_lineage
+from kinfold.llm.common import cut_lineage, distinct
 from kinfold.session import ship
 
 LEAST_DOCUMENTS, TOP_TERMS, SCALE = 10, 10, 1_000_000_000
 #: Bytes of the prefixes of the first level; each level doubles them.
-FIRST = 4
+FIRST = 6
 #: Bits of the bitmap for each surviving prefix, and of the bitmap at least and at most.
 BITS_EACH, LEAST_BITS, MOST_BITS = 32, 1 << 20, 1 << 30
+#: Prefixes left for each kept term at which the last level begins.
+LAST = 0.1
+#: Characters of text whose words are counted together.
+RUN = 2_000_000
 #: Keys that a task holds before it sends their counts, and hashes that it remembers.
 HELD = 200_000
 #: Rows of (language, source) that are broadcast at most; more are shuffled.
@@ -46,7 +50,7 @@ SEED = 42
 
 @dataclass
 class Alive:
-    """Hashes of the prefixes that survived a level. ``xxhash64`` of Spark is this hash with seed 42."""
+    """Hashes of the terms or prefixes that survived. ``xxhash64`` of Spark is this hash with seed 42."""
 
     size: int
     bitmap: bytes
@@ -58,8 +62,22 @@ class Alive:
         return bool(self.bitmap[at >> 3] >> (at & 7) & 1)
 
 
+class Known(dict):
+    """Whether a language's terms or prefixes are alive, remembered."""
+
+    def __init__(self, lang: str, alive: Alive):
+        super().__init__()
+        self.head, self.alive = lang.encode() + b"\0", alive
+
+    def __missing__(self, key: bytes) -> bool:
+        if len(self) > HELD:
+            self.clear()
+        found = self[key] = self.head + key in self.alive
+        return found
+
+
 def bitmap_of(prefixes: DataFrame, size: int, n: int) -> Alive:
-    """The surviving prefixes (lang, term), n of them, as a bitmap."""
+    """The surviving (lang, term), n of them, as a bitmap."""
     bits = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_EACH * n - 1).bit_length()))
     at = F.xxhash64(F.concat(F.encode("lang", "UTF-8"), F.lit(b"\0"), F.col("term"))).bitwiseAND(F.lit(bits - 1))
     rows = prefixes.select(at.alias("at")).groupBy(F.shiftright("at", 15).alias("part")).agg(F.bitmap_construct_agg(F.col("at").bitwiseAND(F.lit(32767))).alias("bits"))
@@ -69,88 +87,141 @@ def bitmap_of(prefixes: DataFrame, size: int, n: int) -> Alive:
     return Alive(size, bytes(out))
 
 
+def _in_runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, list[str]]]:
+    """(keys, texts) of the documents that have these keys in common, about RUN characters at a time."""
+    of = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True))
+    texts, held, size = batch.column("text"), [], 0
+    order = sorted(range(len(of)), key=of.__getitem__)
+    for k, i in enumerate(order):
+        held.append(texts[i].as_py())
+        size += len(held[-1])
+        if k + 1 == len(order) or size > RUN or of[order[k + 1]] != of[i]:
+            yield of[i], held
+            held, size = [], 0
+
+
+def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(distinct terms, term of each word, text of each word) of some texts."""
+    raw = [t.encode() for t in texts]
+    data = np.frombuffer((b" ".join([b"", *raw]) + b" ").translate(TERM), np.uint8)
+    word = data != 32
+    starts = np.flatnonzero(word[1:] & ~word[:-1]) + 1
+    ends = np.flatnonzero(word[:-1] & ~word[1:]) + 1
+    if not len(starts):
+        return [], starts, starts
+    # the words' bytes side by side are an Arrow column, whose dictionary is made there
+    offsets = np.append(0, np.cumsum(ends - starts))
+    column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
+    first = np.searchsorted(starts, 1 + np.cumsum([0, *(len(r) + 1 for r in raw)]))
+    return column.dictionary.to_pylist(), column.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(first))
+
+
+def in_texts(code: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(code, text) of the distinct pairs of them, codes under n."""
+    pairs = distinct(text * n + code)
+    return pairs % n, pairs // n
+
+
+def _summed(rows: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    # tasks send sums already, so rows are dealt out before they are added, all sources of a term to one place
+    return rows.repartition("lang", "term").groupBy(*keys).agg(*(F.sum(v).alias(v) for v in values))
+
+
 def level(docs: DataFrame, size: int, alive: Alive | None) -> DataFrame:
-    """(lang, source, term, docs, n) of the terms complete within ``size`` bytes, and with a null source (lang, prefix, docs) of longer ones.
+    """(lang, complete, term, docs) of the terms complete within ``size`` bytes, and of the prefixes of longer ones.
 
     Only what begins with a prefix alive at the level before is counted, and what was complete there is left out.
+    A task sends its counts on when it holds HELD of them.
     """
     sent = docs.sparkSession.sparkContext.broadcast(alive)
-    names = ["lang", "source", "term", "docs", "n"]
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        alive = sent.value
-        done: dict[tuple, list[int]] = {}
-        open_: Counter = Counter()
-        known: dict[bytes, dict[bytes, bool]] = {}
-        before = alive.size if alive else 0
-
-        def flush() -> pa.RecordBatch:
-            keys, more = list(done), list(open_)
-            rows = [
-                pa.array([k[0] for k in keys] + [k[0] for k in more], pa.string()), pa.array([k[1] for k in keys] + [None] * len(more), pa.string()),
-                pa.array([k[2] for k in keys] + [k[1] for k in more], pa.binary()),
-                pa.array([v[0] for v in done.values()] + list(open_.values()), pa.int64()), pa.array([v[1] for v in done.values()] + [0] * len(more), pa.int64()),
-            ]
-            done.clear()
-            open_.clear()
-            return pa.RecordBatch.from_arrays(rows, names=names)
+        known: dict[str, Known] = {}
+        counters: dict[tuple[str, bool], Counter] = {}
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            for (lang, complete), c in counters.items():
+                columns = [pa.array([lang] * len(c), pa.string()), pa.array([complete] * len(c), pa.bool_()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "complete", "term", "docs"])
+            counters.clear()
 
         for batch in batches:
-            for text, lang, source in zip(*batch.columns, strict=True):
-                lang, source = lang.as_py(), source.as_py()
-                counts = Counter(text.as_py().encode().translate(TERM).split())
-                prefixes = set()
-                mine = known.setdefault(lang, {})
-                if len(mine) > HELD:
-                    mine.clear()
-                head = lang.encode() + b"\0"
-                for term, n in counts.items():
-                    if before:
-                        if len(term) <= before:
-                            continue
-                        p = term[:before]
-                        ok = mine.get(p)
-                        if ok is None:
-                            ok = mine[p] = head + p in alive
-                        if not ok:
-                            continue
-                    if len(term) > size:
-                        prefixes.add(term[:size])
-                        continue
-                    key = (lang, source, term)
-                    at = done.get(key)
-                    if at is None:
-                        done[key] = [1, n]
-                    else:
-                        at[0] += 1
-                        at[1] += n
-                for p in prefixes:
-                    open_[lang, p] += 1
-                if len(done) + len(open_) > HELD:
-                    yield flush()
-        yield flush()
+            for (lang,), texts in _in_runs(batch, ["lang"]):
+                terms, code, text = coded(texts)
+                if sent.value and terms:
+                    before, live = sent.value.size, known.setdefault(lang, Known(lang, sent.value))
+                    alive = np.array([len(t) > before and live[t[:before]] for t in terms])
+                    code, text = code[alive[code]], text[alive[code]]
+                if not len(code):
+                    continue
+                code, text = in_texts(code, text, len(terms))
+                long = np.array([len(t) > size for t in terms])[code]
+                prefixes = pa.array([t[:size] for t in terms], pa.binary()).dictionary_encode()
+                heads, names = prefixes.indices.to_numpy().astype(np.int64), prefixes.dictionary.to_pylist()
+                head, _ = in_texts(heads[code[long]], text[long], len(names))
+                for complete, found, of in ((True, code[~long], terms), (False, head, names)):
+                    numbers = np.bincount(found)
+                    counter = counters.setdefault((lang, complete), Counter())
+                    for k in np.flatnonzero(numbers).tolist():
+                        counter[of[k]] += int(numbers[k])
+                if sum(map(len, counters.values())) > HELD:
+                    yield from flush()
+        yield from flush()
+
+    sums = docs.select("text", "lang", "source").mapInArrow(counted, "lang string, complete boolean, term binary, docs long")
+    return _summed(sums, ["lang", "complete", "term"], ["docs"])
+
+
+def occurrences(docs: DataFrame, kept: Alive, rest: Alive) -> DataFrame:
+    """(lang, source, term, docs, n): how often a source has each kept term, and whole terms that go on from the prefixes of ``rest``.
+
+    ``docs`` is the number of documents of the latter, 0 for kept terms.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast((kept, rest))
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, rest = sent.value
+        known: dict[str, tuple[Known, Known]] = {}
+        for batch in batches:
+            for (lang, source), texts in _in_runs(batch, ["lang", "source"]):
+                terms, code, text = coded(texts)
+                if not terms:
+                    continue
+                live, longer = known.setdefault(lang, (Known(lang, kept), Known(lang, rest)))
+                long = np.array([len(t) > rest.size for t in terms])
+                alive = np.array([longer[t[: rest.size]] if z else live[t] for t, z in zip(terms, long.tolist(), strict=True)])
+                at = np.flatnonzero(alive)
+                of_rest = (alive & long)[code]
+                in_docs = np.bincount(in_texts(code[of_rest], text[of_rest], len(terms))[0], minlength=len(terms))
+                columns = [pa.array([x] * len(at), pa.string()) for x in (lang, source)]
+                columns += [pa.array([terms[k] for k in at.tolist()], pa.binary()), pa.array(in_docs[at]), pa.array(np.bincount(code, minlength=len(terms))[at])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "docs", "n"])
 
     sums = docs.select("text", "lang", "source").mapInArrow(counted, "lang string, source string, term binary, docs long, n long")
-    return sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
+    return _summed(sums, ["lang", "source", "term"], ["docs", "n"])
 
 
 def kept_terms(docs: DataFrame, least: int) -> DataFrame:
-    """(lang, term, by) of the terms in ``least`` documents of a language or more; ``by`` has (source, n) of its occurrences."""
-    size, alive, found = FIRST, None, None
+    """(lang, term, by) of the terms in ``least`` documents of a language or more; ``by`` has (source, n) of its occurrences.
+
+    When few prefixes are left beside the kept terms, their last level takes whole terms, in the pass that counts occurrences.
+    """
+    size, alive, found, kept = FIRST, None, None, 0
     while True:
-        rows = cut_lineage(level(docs, size, alive))
-        # a document has one source, so the documents of the sources add up
-        complete = (
-            rows.where("source IS NOT NULL").groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
-            .where(F.col("docs") >= least).select("lang", F.decode("term", "UTF-8").alias("term"), "by")
-        )
+        rows = cut_lineage(level(docs, size, alive).where(F.col("docs") >= least))
+        complete = rows.where("complete").select("lang", "term")
         found = complete if found is None else found.unionAll(complete)
-        longer = rows.where((F.col("docs") >= least) & F.col("source").isNull())
-        n = longer.count()
-        if not n:
-            return found
+        longer = rows.where("NOT complete")
+        n, kept = longer.count(), kept + complete.count()
         alive = bitmap_of(longer, size, n)
+        if n <= LAST * kept:
+            break
         size *= 2
+    counts = occurrences(docs, bitmap_of(found, 0, kept), alive)
+    by = counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("by"))
+    # exact terms and counts decide; a hash met by chance ends here
+    held = by.join(found.withColumn("kept", F.lit(True)), ["lang", "term"], "left").where((F.col("docs") >= least) | F.col("kept"))
+    return held.select("lang", F.decode("term", "UTF-8").alias("term"), "by")
 
 
 def share(count: Column, total: Column, kept: Column) -> Column:

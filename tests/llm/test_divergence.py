@@ -4,7 +4,6 @@ import random
 import re
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 
 from kinfold.llm import divergence as dv
@@ -57,10 +56,16 @@ def test_equals_brute_force(spark, seed):
     assert {r[2] for r in got} == {"pair", "term"}
 
 
+def test_last_level_at_once(spark, monkeypatch):
+    rows = corpus(5, 200)
+    monkeypatch.setattr(dv, "LAST", 1e9)
+    assert sorted(map(tuple, dv.divergence(table(spark, rows)).collect())) == brute(rows)
+
+
 def test_small_bounds_change_nothing(spark, monkeypatch):
     rows = corpus(3, 150)
     want = brute(rows, least=3, top=4)
-    for name, value in (("HELD", 5), ("CELLS", 7), ("BROADCAST_ROWS", 0), ("LEAST_BITS", 1 << 15), ("MOST_BITS", 1 << 15), ("FIRST", 1)):
+    for name, value in (("HELD", 5), ("CELLS", 7), ("BROADCAST_ROWS", 0), ("LEAST_BITS", 1 << 15), ("MOST_BITS", 1 << 15), ("FIRST", 1), ("LAST", 0), ("RUN", 50)):
         monkeypatch.setattr(dv, name, value)
     assert sorted(map(tuple, dv.divergence(table(spark, rows), least=3, top=4).collect())) == want
 
@@ -70,7 +75,7 @@ def test_only_survivors_are_extended(spark):
     rows = [(f"common prefixed{chr(97 + k % 26)} lone{chr(97 + k)}longer", "en", "s") for k in range(20)]
     docs = table(spark, rows).select("text", "lang", "source")
     first = dv.level(docs, 4, None)
-    alive = dv.bitmap_of(first.where("docs >= 10 AND source IS NULL"), 4, first.count())
+    alive = dv.bitmap_of(first.where("docs >= 10 AND NOT complete"), 4, first.count())
     assert b"en\0comm" in alive and b"en\0pref" in alive and b"en\0lone" in alive and b"en\0othe" not in alive
     second = {bytes(r.term) for r in dv.level(docs, 8, alive).collect()}
     assert {b"common", b"prefixed"} <= second
@@ -95,4 +100,3 @@ def test_very_long_term(spark):
     rows = [("y" * 3_000_000 + " z", "en", f"s{k % 2}") for k in range(3)]
     got = {r[3] for r in dv.divergence(table(spark, rows), least=3).collect() if r[2] == "term"}
     assert got <= {"y" * 3_000_000, "z"}
-    assert np.uint32(1) == 1
