@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Iterator
 from zlib import crc32
 
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 
 from kinfold.session import cut_lineage, ship
 
-__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "likely_least", "narrow", "parts", "pieces", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
+__all__ = ["CHUNK_BYTES", "LOWER", "WORD_BREAK", "arrow_map", "chunks", "cut_lineage", "distinct", "documents", "filtered", "likely_least", "narrow", "parts", "pieces", "release", "shingle_hashes", "text_of", "word_hashes", "word_hashes_of"]
 
 #: Separators of words: space and the controls 9 to 13.
 WORD_BREAK = r"[\x20\x09-\x0D]+"
@@ -86,6 +87,17 @@ def pieces(texts: list[str | None]) -> Iterator[list[str]]:
         yield part
 
 
+def release(df: DataFrame) -> DataFrame:
+    """``df``, after the driver has let go of what it no longer refers to.
+
+    Spark removes the shuffle files and checkpoints of a round when the driver's garbage is collected, by itself every
+    half hour. An iterative job would keep the files of all its rounds until then.
+    """
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return df
+
+
 def parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """The batch in slices of about CHUNK_BYTES, or of one larger row: Python never holds a whole batch as objects."""
     sizes = sum((pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns if pa.types.is_string(c.type) or pa.types.is_large_string(c.type)), np.zeros(batch.num_rows, np.int64))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import cut_lineage
+from kinfold.llm.common import cut_lineage, release
 
 
 def _both(links: DataFrame) -> DataFrame:
@@ -29,7 +29,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "a")
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionAll(small.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
         links = cut_lineage(small)
-        after = state(links)
+        del large, least, small
+        after = state(release(links))
         if after == before:
             break
         before = after

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kinfold.llm.common import arrow_map, chunks, cut_lineage, distinct, mixed, narrow, shingle_hashes, word_hashes_of
+from kinfold.llm.common import arrow_map, chunks, cut_lineage, distinct, mixed, narrow, release, shingle_hashes, word_hashes_of
 from kinfold.llm.components import components
 
 #: Bits that tell frequent tokens by hash, and the number of sets in whose prefix a rare token is at most.
@@ -32,12 +32,12 @@ FLAGS, RARE = 1 << 25, 8
 BUCKET = 100_000
 #: Rounds that link each set to one or two members of its signatures' groups.
 ROUNDS = 2
-#: Bits of the least sketch that bounds the overlap of two sets.
-SKETCH_BITS = 256
+#: Bits of the least sketch that bounds the overlap of two sets, and of the largest that goes along with signatures.
+SKETCH_BITS, SMALL_BITS = 256, 2048
 #: Ids of a join's side that are broadcast at most; more are shuffled.
 BROADCAST_ROWS = 500_000
-#: Sets compared with one set in one task.
-GROUP = 500
+#: Sets compared with one set in one task, and partners in one list.
+GROUP, PARTNERS = 500, 1000
 
 
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
@@ -87,13 +87,19 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray) -> np.ndarray:
 def sketch(tokens: np.ndarray) -> bytes:
     """Parity of the tokens that hash to each bit: sets differ in at least as many tokens as their sketches in bits.
 
-    There are at least twice as many bits as tokens, a power of two, so that a sketch folds to half its size.
+    There are at least as many bits as tokens, a power of two, so that a sketch folds to half its size.
     """
-    bits = max(SKETCH_BITS, 1 << (2 * len(tokens) - 1).bit_length())
+    bits = max(SKETCH_BITS, 1 << (len(tokens) - 1).bit_length())
     odd = np.bincount(((tokens >> np.uint64(21)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def small(sketched: bytes) -> bytes:
+    """The sketch folded to SMALL_BITS if it has more: of a fixed size however long the text is."""
+    words = np.frombuffer(sketched, np.uint64)
+    return sketched if len(words) <= SMALL_BITS // 64 else np.bitwise_xor.reduce(words.reshape(-1, SMALL_BITS // 64), axis=0).tobytes()
+
+
 def apart(x: list[bytes], y: list[bytes]) -> np.ndarray:
     """Bits in which each two sketches differ, the larger folded to the size of the smaller."""
     sizes = np.array([(len(a), len(b)) for a, b in zip(x, y, strict=True)]).reshape(-1, 2)
@@ -161,7 +167,7 @@ def _few(rows: DataFrame) -> DataFrame:
 
 
 def _signed(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
-    """(bucket, sig, doc, n, pivot) of signatures that two sets share, the pivot the least of them; and with a null sig (doc, n, sketch) of each set."""
+    """(bucket, sig, doc, n, pivot) of signatures that two sets share, the pivot the least of them; and with a null sig (doc, n, sketch, small) of each set."""
     sent = texts.sparkSession.sparkContext.broadcast(frequent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,7 +186,7 @@ def _signed(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
                 part = slice(k, k + 64)
                 blobs = [np.concatenate([s[i:j], d[i:j].view(np.uint64)]).tobytes() for i, j in zip(first[part], ends[part], strict=True)]
                 m = len(blobs)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary())], names=["bucket", "blob", "doc", "n", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys[part], pa.int32()), pa.array(blobs, pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names=["bucket", "blob", "doc", "n", "sketch", "small"])
 
         for ids, batch in chunks(batches):
             sets = shingle_sets(batch)
@@ -194,7 +200,7 @@ def _signed(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
             m = len(at)
             yield pa.RecordBatch.from_arrays([
                 pa.array([int(x[0]) % buckets for x in at], pa.int32()), pa.nulls(m, pa.binary()), pa.array([x[0] for x in at], pa.int64()),
-                pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.binary())], names=["bucket", "blob", "doc", "n", "sketch"])
+                pa.array([x[1] for x in at], pa.int64()), pa.array([x[2] for x in at], pa.binary()), pa.array([small(x[2]) for x in at], pa.binary())], names=["bucket", "blob", "doc", "n", "sketch", "small"])
             if held > 2_000_000:
                 yield from flush()
                 sigs, docs, held = [], [], 0
@@ -221,10 +227,11 @@ def _signed(texts: DataFrame, frequent: np.ndarray, buckets: int) -> DataFrame:
             "pivot": pa.concat_arrays([pa.array(doc[first][run][live]), pa.nulls(k, pa.int64())]),
             "n": pa.concat_arrays([pa.nulls(m, pa.int64()), own.column("n").combine_chunks()]),
             "sketch": pa.concat_arrays([pa.nulls(m, pa.binary()), own.column("sketch").combine_chunks()]),
+            "small": pa.concat_arrays([pa.nulls(m, pa.binary()), own.column("small").combine_chunks()]),
         })
 
-    sent_out = texts.mapInArrow(emit, "bucket int, blob binary, doc long, n long, sketch binary")
-    return sent_out.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, "bucket int, sig long, doc long, pivot long, n long, sketch binary")
+    sent_out = texts.mapInArrow(emit, "bucket int, blob binary, doc long, n long, sketch binary, small binary")
+    return sent_out.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(shared, "bucket int, sig long, doc long, pivot long, n long, sketch binary, small binary")
 
 
 def _salted(rows: DataFrame, key: str, other: str, size: int) -> DataFrame:
@@ -252,7 +259,9 @@ def _verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, threshold: in
     left = cut_lineage(sized.mapInArrow(bounded, "a long, b long"))
     placed = cut_lineage(_salted(left, "b", "a", GROUP).select("a", "b", "salt"))
     sent = placed.select(F.col("a").alias("doc"), "b", "salt").unionAll(placed.select(F.col("b").alias("doc"), "b", "salt").distinct())
-    lists = sent.groupBy("doc").agg(F.collect_list(F.struct("b", "salt")).alias("to"))
+    # a set with many partners goes out in parts
+    parted = _salted(sent.withColumnRenamed("salt", "to_salt"), "doc", "b", PARTNERS)
+    lists = parted.groupBy("doc", "salt").agg(F.collect_list(F.struct("b", F.col("to_salt").alias("salt"))).alias("to")).drop("salt")
     involved = texts.join(_few(cut_lineage(lists)), texts.doc_id == F.col("doc")).select("doc_id", "text", F.col("to.b").alias("b"), F.col("to.salt").alias("salt"))
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,10 +322,14 @@ PAIRS_HELD = 500_000
 
 def _cross_pairs(table: pa.Table, threshold: int) -> pa.Table:
     """All pairs of one bucket that share a signature, may link by size and sketch, and lie in different components."""
-    sig, doc, n, comp = (table.column(c).to_numpy() for c in ("sig", "doc", "n", "component"))
-    ids, first, doc = np.unique(doc, return_index=True, return_inverse=True)
-    sketches = Sketches(ids, [table.column("sketch")[int(i)].as_py() for i in first])
-    sizes = n[first]
+    own = table.filter(pc.is_valid(table.column("small")))
+    table = table.filter(pc.is_valid(table.column("sig")))
+    order = np.argsort(own.column("doc").to_numpy(), kind="stable")
+    ids, sizes = (own.column(c).to_numpy()[order] for c in ("doc", "n"))
+    sketches = Sketches(ids, [own.column("small")[int(i)].as_py() for i in order])
+    sig, doc, comp = (table.column(c).to_numpy() for c in ("sig", "doc", "component"))
+    doc = np.searchsorted(ids, doc)
+    n = sizes[doc]
     order = np.lexsort((n, sig))
     sig, doc, n, comp = sig[order], doc[order], n[order], comp[order]
     ends = np.searchsorted(sig, sig, "right")
@@ -364,8 +377,8 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
     copies = placed.where("doc_id <> rep").select("doc_id").distinct()
     texts_of_sets = texts.where("doc_id IS NOT NULL").join(_few(copies), "doc_id", "left_anti")
     buckets = int(max(16, tokens // 5 // BUCKET))
-    signed = cut_lineage(_signed(texts_of_sets, _frequent(texts_of_sets, buckets), buckets))
-    sets = signed.where("sig IS NULL").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"))
+    signed = release(cut_lineage(_signed(texts_of_sets, _frequent(texts_of_sets, buckets), buckets)))
+    sets = signed.where("sig IS NULL").groupBy("doc").agg(F.max("n").alias("n"), F.max("sketch").alias("sketch"), F.max("small").alias("small"))
     live = signed.where("sig IS NOT NULL").select("bucket", "sig", "doc", "pivot")
 
     def chosen(edges: DataFrame) -> DataFrame:
@@ -375,7 +388,7 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
         pairs = best.select("doc", F.explode(F.array(F.col("p"), -F.col("q"))).alias("pivot"))
         return pairs.select(F.greatest("doc", "pivot").alias("a"), F.least("doc", "pivot").alias("b")).distinct()
 
-    links = cut_lineage(_verified(chosen(live), sets, texts, threshold))
+    links = release(cut_lineage(_verified(chosen(live), sets, texts, threshold)))
     for turn in range(1, ROUNDS + 1):
         parts = components(links)
         parts = cut_lineage(live.select("doc").distinct().join(parts, F.col("doc") == F.col("id"), "left").select("doc", F.coalesce("component", "doc").alias("component")))
@@ -386,13 +399,20 @@ def jaccard_components(docs: DataFrame, threshold: int = 80, id_col: str = "doc_
         live = cut_lineage(open_sigs.join(mixed_sigs.select("sig", F.col("p.doc").alias("new"), F.col("p.component").alias("at")), "sig").select(
             "bucket", "sig", "doc", F.col("new").alias("pivot"), "component", "at"
         ))
+        del parts, open_sigs, mixed_sigs
+        release(live)
         if turn < ROUNDS:
             more = _verified(chosen(live.where("component <> at")), sets, texts, threshold)
-            links = cut_lineage(links.unionAll(more))
+            links = release(cut_lineage(links.unionAll(more)))
             live = live.select("bucket", "sig", "doc", "pivot")
-    rest = live.join(sets, "doc").select("bucket", "sig", "doc", "n", "component", "sketch")
+    # a sketch goes to a bucket once for each set, not for each of its signatures
+    own = live.select("bucket", "doc").distinct().join(sets.select("doc", "n", "small"), "doc")
+    none = lambda kind: F.lit(None).cast(kind)
+    rest = live.select("bucket", "sig", "doc", "component", none("long").alias("n"), none("binary").alias("small")).unionAll(
+        own.select("bucket", none("long").alias("sig"), "doc", none("long").alias("component"), "n", "small")
+    )
     pairs = rest.groupBy("bucket").applyInArrow(lambda t: _cross_pairs(t, threshold), "a long, b long").distinct()
-    links = links.unionAll(_verified(pairs, sets, texts, threshold))
+    links = release(cut_lineage(links.unionAll(_verified(pairs, sets, texts, threshold))))
     final = components(links)
     placed = placed.join(final, F.col("rep") == F.col("id"), "left").select("doc_id", F.coalesce("component", "rep").alias("component_id"))
     placed = placed.groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
