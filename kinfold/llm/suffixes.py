@@ -1,18 +1,18 @@
-"""Removal of long repeats by a distributed difference-cover sort of suffixes.
+"""Removal of long repeats by fingerprints over a difference cover of positions.
 
-A byte goes if a string of LENGTH bytes that covers it starts anywhere else too.
+A byte goes if a string of LENGTH bytes that covers it starts anywhere else too. Repeats of a fixed length
+need equality only, so the sort of the difference-cover method is replaced by grouping: no suffix is put in order,
+and equality is that of 64-bit fingerprints, not of bytes compared one by one.
 
 1. A filter that loses nothing: each window of LENGTH bytes is known by the least
    hash of its grams; equal windows have equal ones, so windows whose
    least hash is found once only cannot repeat.
-2. The rest is sorted by suffixes, as far as LENGTH bytes. Sampled positions are
-   those with remainder 1 or 2 by three in their text, a difference cover: of any two
-   positions, both or the next or the second next ones are sampled. Names of
-   sampled triples are made of the names of three shorter ones, recursively, to LENGTH - 2
-   bytes. Names are 64-bit fingerprints instead of ranks, so no level needs a sort of its own.
-3. The samples are dealt out by name and sorted. The suffixes that remain, one or two
-   bytes before a sample, are merged by those bytes and the sample's name.
-4. Neighbours in this order are compared: equal ones repeat.
+2. Sampled positions are those with remainder 1 or 2 by three in their text, a difference cover: of any
+   two positions, both or the next or the second next ones are sampled. The name of a sample stands for LENGTH - 2
+   bytes and is made of the names of three shorter triples, recursively.
+3. Samples are dealt out by name. The windows that begin at a sample, or one or two
+   bytes before one, are known by its name and the two bytes beside it.
+4. Windows of equal names and bytes repeat.
 
 Equal texts are one text with a count, and equal samples of one chunk of texts are
 sent once, so that no group of copies meets in one task.
