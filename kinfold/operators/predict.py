@@ -23,6 +23,13 @@ def activity(observations: DataFrame) -> DataFrame:
     return observations.groupBy("id", "endpoint").agg(F.max("obs").alias("obs"))
 
 
+def sides(observations: DataFrame) -> DataFrame:
+    """``activity`` with ``pos`` and ``neg``, 1 if the entity is in the positive or the negative set; it may be in both."""
+    return observations.groupBy("id", "endpoint").agg(
+        F.max("obs").alias("obs"), F.max((F.col("obs") == 1).cast("int")).alias("pos"), F.max((F.col("obs") == 0).cast("int")).alias("neg")
+    )
+
+
 def include_checked(members: DataFrame, checked: DataFrame) -> DataFrame:
     """Neighbourhood restricted to the entities the user kept."""
     return members.join(checked.select("id").distinct(), "id", "left_semi")
@@ -51,7 +58,11 @@ def leave_one_out(members: DataFrame, pairs: DataFrame, act: DataFrame, k0: int)
 
 
 def weighted_activity(members: DataFrame, act: DataFrame, k0: int | None = None) -> DataFrame:
-    """(target, endpoint, share, posnb, negnb, a_t): similarity-weighted positive share without the target."""
+    """(target, endpoint, share, posnb, negnb, a_t): similarity-weighted positive share without the target.
+
+    ``act`` from ``sides`` counts an analog that is in both sets as a positive and as a negative one.
+    """
+    pos, neg = (F.col("pos") == 1, F.col("neg") == 1) if "pos" in act.columns else (F.col("obs") == 1, F.col("obs") == 0)
     cells = members.join(act, "id")
     own = F.col("id") == F.col("target")
     if k0 is not None:
@@ -61,8 +72,7 @@ def weighted_activity(members: DataFrame, act: DataFrame, k0: int | None = None)
         F.try_divide(
             F.sum(F.when(~own, F.col("obs") * F.col("similarity"))), F.sum(F.when(~own, F.col("similarity")))
         ).alias("share"),
-        F.count_if(~own & (F.col("obs") == 1)).alias("posnb"),
-        F.count_if(~own & (F.col("obs") == 0)).alias("negnb"),
+        F.count_if(~own & pos).alias("posnb"), F.count_if(~own & neg).alias("negnb"),
         F.max(F.when(own, F.col("obs"))).alias("a_t"),
     )
 
@@ -107,22 +117,53 @@ def read_across(
 
     ``members`` is the output of ``nearest``, at most k0 rows per target.
     """
-    act = activity(observations)
     if pairs is None:
         pairs = neighbourhood_pairs(members, features, parts)
+    act = sides(observations)
+    return _classes(members, act, leave_one_out(members, pairs, act, k0), fp, k0, s0, pos_min, neg_min, rounds, seed)
+
+
+def read_across_lists(
+    members: DataFrame, observations: DataFrame, fp: str = "given", pos_min: int = 1, neg_min: int = 1, rounds: int = 200, seed: int = 1
+) -> DataFrame:
+    """``read_across`` within ``given_neighbourhoods``: every analog has similarity 1, so no pair is made.
+
+    ``observations`` come from ``list_observations``. ``k0`` in the result is the size of the target's list.
+    """
+    act = sides(observations)
+    sizes = members.groupBy("target").agg(F.count(F.lit(1)).cast("int").alias("size"))
+    found = _classes(members, act, leave_one_out_of_lists(members, act), fp, None, 1.0, pos_min, neg_min, rounds, seed)
+    return found.join(sizes, "target").withColumn("k0", F.col("size")).drop("size")
+
+
+def leave_one_out_of_lists(members: DataFrame, act: DataFrame) -> DataFrame:
+    """``leave_one_out`` where all members of a neighbourhood are alike: the share of positives among the others."""
+    seen = members.select("target", "id").join(act, "id").select(*CELL, "id", "obs")
+    totals = seen.groupBy(*CELL).agg(F.sum("obs").alias("p"), F.count(F.lit(1)).alias("n"))
+    others = F.col("p") - F.col("obs")
+    return seen.join(totals, CELL).select(
+        *CELL, "id", F.col("obs").alias("a_t"), F.coalesce(F.try_divide(others, F.col("n") - 1), F.lit(0.0)).alias("a_p"),
+        others.alias("n_p"), (F.col("n") - 1 - others).alias("n_n"),
+    )
+
+
+def _classes(
+    members: DataFrame, act: DataFrame, loo: DataFrame, fp: str, k0: int | None, s0: float, pos_min: int, neg_min: int, rounds: int, seed: int
+) -> DataFrame:
+    """Classes, gates and tests on leave-one-out scores. Scores that differ by the order of their sums only are ties."""
     # kept, since curve and permutations read it
-    loo = cut_lineage(leave_one_out(members, pairs, act, k0))
+    loo = cut_lineage(loo.withColumn("a_p", F.round("a_p", 9)))
     roc = auc_and_threshold(loo, CELL, "a_p", "a_t", bounded=True)
     chance = permutation_p_value(loo, CELL, "a_p", "a_t", rounds, seed)
     near = weighted_activity(members, act, k0).where(enough_neighbours(pos_min, neg_min) & F.col("share").isNotNull())
     t0 = F.when(F.col("p_val") > 0.2, 0.5).otherwise(F.col("t0"))
     return (
-        near.join(roc, CELL).join(chance, CELL)
+        near.withColumn("share", F.round("share", 9)).join(roc, CELL).join(chance, CELL)
         .withColumn("a_p", (F.col("share") >= t0).cast("int"))
         .withColumn("pred", call_class(F.col("a_t"), F.col("a_p")))
         .where(enough_for_call(pos_min, neg_min))
         .select(
-            "target", F.col("endpoint").alias("out"), F.lit(fp).alias("fp"), F.lit(k0).alias("k0"), F.lit(s0).alias("s0"),
+            "target", F.col("endpoint").alias("out"), F.lit(fp).alias("fp"), F.lit(k0).cast("int").alias("k0"), F.lit(s0).alias("s0"),
             "n_pos", "n_neg", "a_t", F.bround("share", 3).alias("a_s"), "a_p", "auc", "p_val", "t0", "pred",
         )
     )

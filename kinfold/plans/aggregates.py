@@ -9,7 +9,7 @@ from kinfold.functions.text import feature_name
 from kinfold.operators import compare, effects, fingerprints, grid, neighbors, predict
 from kinfold.operators.block_search import Part
 from kinfold.plans.registry import big, query, r6, text
-from kinfold.plans.tables import SALES, Tables, cte, knn, members
+from kinfold.plans.tables import SALES, Tables, cte, engine, knn, members, pairs
 
 BITS = [Part("ds")]
 
@@ -284,9 +284,29 @@ GRID = (
 )
 
 
+def basket_near(t: Tables):
+    """Neighbourhoods of customers, searched once for all that reads them."""
+    if "near" not in t.__dict__:
+        t.near = neighbors.nearest(t.basket_sets, t.basket_sets, BITS, 4, holders=t.returners)
+    return t.near
+
+
 def basket_grid(t: Tables):
-    near = neighbors.nearest(t.basket_sets, t.basket_sets, BITS, 4, holders=t.returners)
-    return grid.read_across_grid(near, t.dose_obs)
+    return grid.read_across_grid(basket_near(t), t.dose_obs)
+
+
+#: SQL of ``basket_classes``.
+BASKET_CLASSES = ", ".join([members("baskets", 4, "returners"), pairs("baskets"), engine("members", "dose_obs", "pairs", "4", 0.0, "basket")])
+
+
+def basket_classes(t: Tables):
+    """Classes of customers by the engine with ROC curves and permutation tests."""
+    return rounded(predict.read_across(basket_near(t), t.basket_sets, BITS, t.dose_obs, "basket", 4, 0.0))
+
+
+def rounded(out):
+    """Predictions as they are compared."""
+    return out.withColumns({"a_t": F.col("a_t").cast("double"), "auc": F.round("auc", 6), "t0": F.round("t0", 6)})
 
 
 @query(
@@ -332,15 +352,13 @@ def documents(t: Tables):
 
 @query(
     "E23_prediction_audit",
-    cte("dose_obs")
-    + ", c AS (SELECT endpoint, count(*) FILTER (obs = 1) AS p, count(*) FILTER (obs = 0) AS n FROM dose_obs GROUP BY endpoint), a AS (SELECT endpoint, CASE WHEN p > n * 2.1 THEN 0.0 ELSE p / (p + n) END AS auc FROM c) "
-    "SELECT split_part(endpoint, ':', 1) AS study, round(avg((auc = 0)::INTEGER), 6) AS share_zero_auc, sum(p + n)::BIGINT AS observations, count(*) AS n FROM c JOIN a USING (endpoint) GROUP BY study",
+    cte("baskets", "returners", "dose_obs", BASKET_CLASSES)
+    + ", c AS (SELECT endpoint AS out, count(*) FILTER (obs = 1) AS p, count(*) FILTER (obs = 0) AS n FROM dose_obs GROUP BY endpoint) "
+    "SELECT split_part(out, ':', 1) AS study, round(avg((auc = 0)::INTEGER), 6) AS share_zero_auc, sum(p + n)::BIGINT AS observations, count(*) AS n FROM engine JOIN c USING (out) GROUP BY study",
 )
 def audit(t: Tables):
     counts = t.dose_obs.groupBy("endpoint").agg(F.count_if(F.col("obs") == 1).alias("pos_obs"), F.count_if(F.col("obs") == 0).alias("neg_obs"))
-    auc = F.when(F.col("pos_obs") > F.col("neg_obs") * 2.1, 0.0).otherwise(F.col("pos_obs") / (F.col("pos_obs") + F.col("neg_obs")))
-    predictions = counts.select(F.col("endpoint").alias("out"), auc.alias("auc"))
-    return predict.audit(predictions, counts).select("study", r6("share_zero_auc", "share_zero_auc"), "observations", "n")
+    return predict.audit(basket_classes(t), counts).select("study", r6("share_zero_auc", "share_zero_auc"), "observations", "n")
 
 
 @query(

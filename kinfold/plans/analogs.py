@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from kinfold.operators import fingerprints, grid, neighbors, predict, properties, similarity
 from kinfold.operators.block_search import Part
 from kinfold.operators.fingerprints import REGISTRY, FingerprintSpec, register
-from kinfold.plans.aggregates import GRID, basket_grid, norm_doses
+from kinfold.plans.aggregates import GRID, basket_grid, norm_doses, rounded
 from kinfold.plans.joins import scaled_embeddings
 from kinfold.plans.registry import big, query, r6, text
-from kinfold.plans.tables import Tables, cte, knn, members
+from kinfold.plans.tables import Tables, cte, engine, knn, members, pairs
 
 BITS = [Part("ds")]
 
@@ -132,11 +132,7 @@ def fallback(t: Tables):
     return neighbors.fallback_filter(t.customer.select(F.col("c_custkey").alias("id")), stats, "basket", "returners", 0.3)
 
 
-PAIRS = (
-    "wn AS (SELECT id, count(*) AS n FROM words GROUP BY id), pr AS (SELECT a.target, a.id AS a, b.id AS b FROM members a JOIN members b ON a.target = b.target AND a.id <> b.id), "
-    "po AS (SELECT a, b, count(*) AS o FROM (SELECT DISTINCT a, b FROM pr) JOIN words x ON x.id = a JOIN words y ON y.id = b AND y.bit = x.bit GROUP BY a, b), "
-    "pairs AS (SELECT pr.target, pr.a, pr.b, coalesce(o::DOUBLE / (x.n + y.n - o), 0) AS similarity FROM pr JOIN wn x ON x.id = pr.a JOIN wn y ON y.id = pr.b LEFT JOIN po ON po.a = pr.a AND po.b = pr.b)"
-)
+PAIRS = pairs("words")
 
 
 @query(
@@ -204,6 +200,19 @@ def gates(t: Tables):
     return kept.select("target", "endpoint", "posnb", "negnb", "pred")
 
 
+@query(
+    "H11_gates_with_both_sides",
+    cte("baskets", "returners", "dose_obs", members("baskets", 6, "returners"), SHARE.replace("label_obs", "dose_obs").replace("share >= 0.5", "round(share, 9) >= 0.5"))
+    + ", b AS (SELECT DISTINCT target, endpoint, m.id, d.obs FROM members m JOIN dose_obs d ON d.id = m.id WHERE m.id <> target), "
+    "n AS (SELECT target, endpoint, count(*) FILTER (obs = 1) AS posnb, count(*) FILTER (obs = 0) AS negnb FROM b GROUP BY ALL) "
+    "SELECT target, endpoint, n.posnb, n.negnb, pred FROM called JOIN n USING (target, endpoint) WHERE CASE WHEN pred IN ('Neg', 'TN', 'FN') THEN n.negnb >= 1 ELSE n.posnb >= 1 END",
+)
+def gates_both(t: Tables):
+    share = predict.weighted_activity(near_customers(t, 6), predict.sides(t.dose_obs)).where("share IS NOT NULL")
+    made = share.withColumn("pred", predict.call_class(F.col("a_t"), (F.round("share", 9) >= 0.5).cast("int")))
+    return made.where(predict.enough_neighbours(1, 1)).where(predict.enough_for_call(1, 1)).select("target", "endpoint", "posnb", "negnb", "pred")
+
+
 AUC = (
     "auc AS (SELECT a.target, a.endpoint, count(*) AS pairs_n, avg(CASE WHEN a.a_p > b.a_p THEN 1.0 WHEN a.a_p = b.a_p THEN 0.5 ELSE 0.0 END) AS auc FROM rounded a JOIN rounded b "
     "ON a.target = b.target AND a.endpoint = b.endpoint AND a.a_t = 1 AND b.a_t = 0 GROUP BY ALL)"
@@ -222,9 +231,12 @@ def read_across(t: Tables):
     return out.select("target", "out", "n_pos", "n_neg", "a_s", F.round("auc", 3).alias("auc"))
 
 
-@query("H12_read_across_with_p_values")
+@query(
+    "H12_read_across_with_p_values",
+    cte("words", "labelled", "label_obs", members("words", 10, "labelled", floor=0.05), PAIRS, engine("members", "label_obs", "pairs", "10", 0.05, "word")) + "FROM engine",
+)
 def read_across_full(t: Tables):
-    return predict.read_across(near_documents(t, 10, 0.05), t.word_lists, BITS, t.label_obs, "word", 10, 0.05)
+    return rounded(predict.read_across(near_documents(t, 10, 0.05), t.word_lists, BITS, t.label_obs, "word", 10, 0.05))
 
 
 @query(
@@ -264,13 +276,12 @@ def weightless(t: Tables):
 
 @query(
     "H15_auc_display_rule",
-    "SELECT l_suppkey, l_linenumber, CASE WHEN count(*) FILTER (l_returnflag = 'R') >= 2 AND count(*) FILTER (l_returnflag = 'A') >= 2 THEN 0.7 END AS shown FROM lineitem GROUP BY ALL",
+    cte("words", "labelled", "label_obs", members("words", 8, "labelled"), PAIRS, engine("members", "label_obs", "pairs", "8", 0.0, "word"))
+    + "SELECT target, out, n_pos, n_neg, CASE WHEN n_pos >= 2 AND n_neg >= 2 THEN auc END AS shown FROM engine",
 )
 def display(t: Tables):
-    counts = t.lineitem.groupBy("l_suppkey", "l_linenumber").agg(
-        F.count_if(F.col("l_returnflag") == "R").alias("p"), F.count_if(F.col("l_returnflag") == "A").alias("n")
-    )
-    return counts.select("l_suppkey", "l_linenumber", predict.display_auc(F.lit(0.7), F.col("p"), F.col("n")).alias("shown"))
+    made = rounded(predict.read_across(near_documents(t, 8), t.word_lists, BITS, t.label_obs, "word", 8, 0.0))
+    return made.select("target", "out", "n_pos", "n_neg", predict.display_auc(F.col("auc"), F.col("n_pos"), F.col("n_neg")).alias("shown"))
 
 
 LISTED = "lists AS (SELECT c_custkey // 4 AS list_id, c_custkey % 4 AS pos, c_custkey AS id FROM customer), act AS (SELECT id, endpoint, max(obs) AS obs FROM dose_obs GROUP BY ALL)"
@@ -288,6 +299,19 @@ def given(t: Tables):
     return predict.vote(near, predict.list_observations(near, t.dose_obs))
 
 
+@query(
+    "H16_first_of_given_neighbourhoods",
+    cte("dose_obs", LISTED)
+    + ", m AS (SELECT h.list_id || '|' || h.id AS target, o.list_id || '|' || o.id AS id, o.id AS entity, 1.0::DOUBLE AS similarity FROM lists h JOIN lists o USING (list_id) WHERE h.pos = 0), "
+    "known AS (SELECT DISTINCT m.id, endpoint, obs FROM m JOIN dose_obs d ON d.id = m.entity), sizes AS (SELECT target, count(*)::INTEGER AS k FROM m GROUP BY target), "
+    + engine("m", "known", "", "NULL", 1.0, "given") + " SELECT engine.* REPLACE (k AS k0) FROM engine JOIN sizes USING (target)",
+)
+def given_first(t: Tables):
+    lists = t.customer.selectExpr("c_custkey DIV 4 AS list_id", "c_custkey % 4 AS pos", "c_custkey AS id")
+    near = predict.given_neighbourhoods(lists, first_only=True)
+    return rounded(predict.read_across_lists(near, predict.list_observations(near, t.dose_obs)))
+
+
 BATCH = (
     "act AS (SELECT id, endpoint, max(obs) AS obs FROM dose_obs GROUP BY ALL), every AS (SELECT 'basket' AS fp, * FROM b UNION ALL SELECT 'range', * FROM r), "
     "v AS (SELECT fp, target, endpoint, sum(obs * similarity) / sum(similarity) AS share, count(*) FILTER (obs = 1) AS posnb, count(*) FILTER (obs = 0) AS negnb FROM every e JOIN act ON act.id = e.id WHERE e.id <> target GROUP BY ALL)"
@@ -309,6 +333,25 @@ def batch(t: Tables):
     return out.groupBy("fp", "endpoint").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("pred") == 1).alias("positive"))
 
 
+@query(
+    "H17_batch_read_across",
+    cte("baskets", "ranges", "returners", "dose_obs", members("baskets", 4, "returners", "b"), members("ranges", 4, "returners", "r"), pairs("baskets", "b", "bp"), pairs("ranges", "r", "rp"),
+        engine("b", "dose_obs", "bp", "4", 0.0, "basket", name="be"), engine("r", "dose_obs", "rp", "4", 0.0, "range", name="re"))
+    + "SELECT fp, out, count(*) AS n, sum(a_p)::BIGINT AS positive, sum(n_pos + n_neg)::BIGINT AS observed, round(avg(auc), 6) AS auc, round(avg(p_val), 6) AS p_val FROM (FROM be UNION ALL FROM re) GROUP BY fp, out",
+)
+def batch_engine(t: Tables):
+    made = None
+    for fp in ("basket", "range"):
+        sets = REGISTRY[fp].builder(t)
+        near = neighbors.nearest(sets, sets, BITS, 4, holders=t.returners)
+        one = rounded(predict.read_across(near, sets, BITS, t.dose_obs, fp, 4, 0.0))
+        made = one if made is None else made.unionByName(one)
+    return made.groupBy("fp", "out").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("a_p").alias("positive"), F.sum(F.col("n_pos") + F.col("n_neg")).alias("observed"),
+        F.round(F.avg("auc"), 6).alias("auc"), F.round(F.avg("p_val"), 6).alias("p_val"),
+    )
+
+
 def graph_sql(out_only: bool) -> str:
     entered = "AND dst NOT IN (SELECT dst FROM e1 WHERE e1.target = d.target)" if out_only else ""
     once = "QUALIFY row_number() OVER (PARTITION BY target, dst ORDER BY src, rank) = 1" if out_only else ""

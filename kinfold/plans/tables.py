@@ -98,6 +98,63 @@ def members(bits: str, k0: int, holders: str | None = None, name: str = "members
     )
 
 
+def pairs(bits: str, members: str = "members", name: str = "pairs") -> str:
+    """SQL of the Jaccard similarities between the members of each neighbourhood: (target, a, b, similarity)."""
+    n = "" if name == "pairs" else f"{name}_"
+    return (
+        f"{n}wn AS (SELECT id, count(*) AS n FROM {bits} GROUP BY id), {n}pr AS (SELECT a.target, a.id AS a, b.id AS b FROM {members} a JOIN {members} b ON a.target = b.target AND a.id <> b.id), "
+        f"{n}po AS (SELECT a, b, count(*) AS o FROM (SELECT DISTINCT a, b FROM {n}pr) JOIN {bits} x ON x.id = a JOIN {bits} y ON y.id = b AND y.bit = x.bit GROUP BY a, b), "
+        f"{name} AS (SELECT pr.target, pr.a, pr.b, coalesce(o::DOUBLE / (x.n + y.n - o), 0) AS similarity FROM {n}pr pr JOIN {n}wn x ON x.id = pr.a JOIN {n}wn y ON y.id = pr.b LEFT JOIN {n}po po ON po.a = pr.a AND po.b = pr.b)"
+    )
+
+
+def chance(rows: str, score: str, label: str, rounds: int, name: str = "chance") -> str:
+    """SQL of the permutation test of (target, endpoint, id): (target, endpoint, p_val)."""
+    cell = "target, endpoint"
+    mix = lambda h, by, f: f"(xor({h}, {h} >> {by}) * {f}::UBIGINT) & 4294967295::UBIGINT"
+    return (
+        f"{name}_c AS (SELECT {cell}, sum({label}) AS n_pos, count(*) AS n FROM {rows} GROUP BY ALL), "
+        f"{name}_r AS (SELECT {cell}, id, {label} AS y, rank() OVER (PARTITION BY {cell} ORDER BY {score}) + (count(*) OVER (PARTITION BY {cell}, {score}) - 1) / 2.0::DOUBLE AS place, "
+        f"('0x' || substr(md5('1:' || target || ':' || endpoint || ':' || id), 1, 8))::UBIGINT AS draw FROM {rows}), "
+        f"{name}_0 AS (SELECT {cell}, id, place, n_pos, i, (draw + 2654435761::UBIGINT * i) & 4294967295::UBIGINT AS h FROM {name}_r JOIN {name}_c USING ({cell}) "
+        f"CROSS JOIN (SELECT unnest(range(1, {rounds} + 1))::UBIGINT AS i) WHERE n_pos > 0 AND n_pos < n), "
+        f"{name}_1 AS (SELECT * REPLACE ({mix('h', 16, 2246822507)} AS h) FROM {name}_0), {name}_2 AS (SELECT * REPLACE ({mix('h', 13, 3266489909)} AS h) FROM {name}_1), "
+        f"{name}_3 AS (SELECT {cell}, i, place FROM {name}_2 QUALIFY row_number() OVER (PARTITION BY {cell}, i ORDER BY xor(h, h >> 16), id) <= n_pos), "
+        f"{name}_s AS (SELECT {cell}, i, sum(place) AS drawn FROM {name}_3 GROUP BY ALL), {name}_w AS (SELECT {cell}, sum(y * place) AS seen FROM {name}_r GROUP BY ALL), "
+        f"{name}_p AS (SELECT {cell}, count(*) FILTER (drawn > seen) / {rounds}::DOUBLE AS p_val FROM {name}_s JOIN {name}_w USING ({cell}) GROUP BY ALL), "
+        f"{name} AS (SELECT {cell}, coalesce(p_val, 1.0) AS p_val FROM {name}_c LEFT JOIN {name}_p USING ({cell}))"
+    )
+
+
+def engine(members: str, obs: str, similarity: str, k0: str, s0: float, fp: str, rounds: int = 200, name: str = "engine") -> str:
+    """SQL of ``read_across`` with one neighbour of a class at least. ``similarity`` has (target, a, b, similarity); an empty name means that all are 1."""
+    cell, e = "target, endpoint", name
+    scores = (
+        f"SELECT s.target, s.endpoint, s.id, any_value(s.obs) AS y, round(coalesce(sum(o.obs * p.similarity) / nullif(sum(p.similarity), 0), 0), 9) AS score FROM {e}_seen s "
+        f"LEFT JOIN ({similarity} p JOIN {e}_seen o ON o.target = p.target AND o.id = p.b) ON p.target = s.target AND p.a = s.id AND o.endpoint = s.endpoint GROUP BY ALL"
+        if similarity else
+        f"SELECT s.target, s.endpoint, s.id, any_value(s.obs) AS y, round(coalesce(avg(o.obs), 0), 9) AS score FROM {e}_seen s LEFT JOIN {e}_seen o ON o.target = s.target AND o.endpoint = s.endpoint AND o.id <> s.id GROUP BY ALL"
+    )
+    won = f"SELECT a.target, a.endpoint, avg(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0.0 END) AS auc FROM {e}_loo a JOIN {e}_loo b ON a.target = b.target AND a.endpoint = b.endpoint AND a.y = 1 AND b.y = 0 GROUP BY ALL"
+    balanced = "0.5 * ((1 - cn::DOUBLE / n_neg) + cp::DOUBLE / n_pos)"
+    called = "CASE WHEN a_t = 1 THEN CASE WHEN a_p = 1 THEN 'TP' ELSE 'FN' END WHEN a_t = 0 THEN CASE WHEN a_p = 1 THEN 'FP' ELSE 'TN' END WHEN a_p = 1 THEN 'Pos' ELSE 'Neg' END"
+    return (
+        f"{e}_act AS (SELECT id, endpoint, max(obs) AS obs, max((obs = 1)::INTEGER) AS pos, max((obs = 0)::INTEGER) AS neg FROM {obs} GROUP BY ALL), "
+        f"{e}_seen AS (SELECT target, endpoint, m.id, m.similarity, obs, pos, neg FROM {members} m JOIN {e}_act USING (id)), {e}_loo AS ({scores}), "
+        f"{e}_sizes AS (SELECT {cell}, sum(y)::BIGINT AS n_pos, sum(1 - y)::BIGINT AS n_neg FROM {e}_loo GROUP BY ALL), {e}_auc AS ({won}), "
+        f"{e}_at AS (SELECT {cell}, score, sum(y) AS p, sum(1 - y) AS n FROM {e}_loo GROUP BY ALL), "
+        f"{e}_cum AS (SELECT {cell}, score, sum(p) OVER w AS cp, sum(n) OVER w AS cn FROM {e}_at WINDOW w AS (PARTITION BY {cell} ORDER BY score DESC)), "
+        f"{e}_best AS (SELECT {cell}, score AS t0 FROM {e}_cum JOIN {e}_sizes USING ({cell}) WHERE n_pos > 0 AND n_neg > 0 AND score <= 1 QUALIFY row_number() OVER (PARTITION BY {cell} ORDER BY {balanced} DESC, score DESC) = 1), "
+        + chance(f"{e}_loo", "score", "y", rounds, f"{e}_chance")
+        + f", {e}_share AS (SELECT {cell}, round(sum(CASE WHEN id <> target THEN obs * similarity END) / nullif(sum(CASE WHEN id <> target THEN similarity END), 0), 9) AS share, "
+        f"count(*) FILTER (id <> target AND pos = 1) AS posnb, count(*) FILTER (id <> target AND neg = 1) AS negnb, max(CASE WHEN id = target THEN obs END) AS a_t FROM {e}_seen GROUP BY ALL), "
+        f"{e}_all AS (SELECT *, (share >= CASE WHEN p_val > 0.2 THEN 0.5 ELSE coalesce(t0, 0.5) END)::INTEGER AS a_p FROM {e}_share JOIN {e}_sizes USING ({cell}) JOIN {e}_chance USING ({cell}) "
+        f"LEFT JOIN {e}_auc USING ({cell}) LEFT JOIN {e}_best USING ({cell}) WHERE share IS NOT NULL), {e}_called AS (SELECT *, {called} AS pred FROM {e}_all), "
+        f"{e} AS (SELECT target, endpoint AS out, '{fp}' AS fp, {k0} AS k0, {s0}::DOUBLE AS s0, n_pos, n_neg, a_t::DOUBLE AS a_t, round_even(share, 3) AS a_s, a_p, round(coalesce(auc, 0), 6) AS auc, p_val, round(coalesce(t0, 0.5), 6) AS t0, pred "
+        f"FROM {e}_called WHERE CASE WHEN pred IN ('Neg', 'TN', 'FN') THEN negnb >= 1 ELSE posnb >= 1 END)"
+    )
+
+
 class Tables:
     """The given tables and the roles derived from them, lazily."""
 

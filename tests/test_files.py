@@ -6,9 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kinfold.operators.fingerprints import feature_matrix
+from kinfold.operators.fingerprints import feature_matrix, set_fingerprints
 from kinfold.sources import readers, writers
-from kinfold.streaming.incremental import upkeep, version
+from kinfold.streaming.incremental import current, upkeep
 
 
 def test_scan_pushes_filter_and_columns(spark):
@@ -70,5 +70,27 @@ def test_incremental_upkeep(spark, tmp_path):
     upkeep(read(), str(out), str(tmp_path / "ck")).awaitTermination()
     write([(2, "c"), (3, "d")])
     upkeep(read(), str(out), str(tmp_path / "ck")).awaitTermination()
-    rows = {r["id"]: r["ds"] for r in spark.read.parquet(version(str(out), 1)).collect()}
+    rows = {r["id"]: r["ds"] for r in current(spark, str(out)).collect()}
     assert rows == {1: ["a", "b"], 2: ["a", "c"], 3: ["d"]}
+    assert {r["id"]: r["ds"] for r in current(spark, str(out), 0).collect()} == {1: ["a", "b"], 2: ["a"]}
+
+
+def test_batches_rewrite_only_their_buckets_and_old_versions_expire(spark, tmp_path):
+    source, out = tmp_path / "bits", tmp_path / "fp"
+    schema = "id long, bit string"
+    batches = [[(i, f"b{i % 7}") for i in range(200)], [(5, "x"), (6, "y"), (None, "z")], [(5, "x"), (300, "n")]]
+    files = lambda: {f.relative_to(out): f.stat().st_mtime_ns for f in out.glob("data/*/*/*.parquet")}
+    seen = []
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        upkeep(stream, str(out), str(tmp_path / "ck"), buckets=16).awaitTermination()
+        seen.append(files())
+    want = {r["id"]: r["ds"] for r in set_fingerprints(spark.createDataFrame(sum(batches, []), schema).distinct()).collect()}
+    assert {r["id"]: r["ds"] for r in current(spark, str(out)).collect()} == want
+    wrote = [{f.parts[2] for f in s if f.parts[1] == f"batch={n}"} for n, s in enumerate(seen)]
+    assert len(wrote[0]) == 16 and len(wrote[1]) <= 3 and len(wrote[2]) <= 2
+    # what the second batch did not touch is as it was; what only the first version named is gone
+    assert all(seen[2][f] == at for f, at in seen[0].items() if f.parts[2] not in wrote[1])
+    assert not [f for f in seen[2] if f.parts[1] == "batch=0" and f.parts[2] in wrote[1]]
+    assert sorted(p.name for p in (out / "manifest").iterdir()) == ["version=1", "version=2"]

@@ -1,5 +1,6 @@
 """Properties that hold whatever the data, and the queries without SQL against brute force."""
 
+import hashlib
 import math
 import random
 
@@ -117,6 +118,60 @@ def test_permutation_p_value_is_repeatable_and_counts_greater_aucs(spark):
     assert got == {r["e"]: r["p_val"] for r in roc.permutation_p_value(df, ["e"], "s", "y", 200).collect()}
 
 
+def test_permutation_p_value_against_every_shuffle_drawn_anew(spark):
+    rnd = random.Random(4)
+    rows = [(e, i, rnd.randint(0, 6) / 6, rnd.randint(0, 1)) for e in "uvwxyz" for i in range(rnd.choice((1, 2, 7, 40)))]
+    low = 2**32 - 1
+
+    def draw(e, i, number):
+        h = (int(hashlib.md5(f"3:{e}:{i}".encode()).hexdigest()[:8], 16) + 2654435761 * number) & low
+        h = ((h ^ h >> 16) * 0x85EBCA6B) & low
+        h = ((h ^ h >> 13) * 0xC2B2AE35) & low
+        return h ^ h >> 16, i
+
+    def area(pos, neg):
+        return sum((p > n) + 0.5 * (p == n) for p in pos for n in neg)
+
+    df = spark.createDataFrame(rows, "e string, id long, s double, y int").repartition(3)
+    got = {r["e"]: r["p_val"] for r in roc.permutation_p_value(df, ["e"], "s", "y", 50, 3).collect()}
+    assert set(got) == set("uvwxyz")
+    for e in got:
+        cell = {i: (s, y) for f, i, s, y in rows if f == e}
+        n_pos = sum(y for _, y in cell.values())
+        seen = area([s for s, y in cell.values() if y], [s for s, y in cell.values() if not y])
+        greater = 0
+        for number in range(1, 51):
+            order = sorted(cell, key=lambda i: draw(e, i, number))
+            greater += area([cell[i][0] for i in order[:n_pos]], [cell[i][0] for i in order[n_pos:]]) > seen
+        assert got[e] == (greater / 50 if 0 < n_pos < len(cell) else 1.0)
+
+
+def test_lists_of_mutual_neighbours_need_no_pairs(spark):
+    rnd = random.Random(5)
+    lists = spark.createDataFrame([(i // 9, i % 9, i) for i in range(45)], "list_id long, pos long, id long")
+    obs = spark.createDataFrame([(i, e, rnd.randint(0, 1)) for i in range(45) for e in "ab" if rnd.random() < 0.8], "id long, endpoint string, obs int")
+    near = predict.given_neighbourhoods(lists)
+    known = predict.list_observations(near, obs)
+    act = predict.sides(known)
+    a, b = near.select("target", F.col("id").alias("a")), near.select("target", F.col("id").alias("b"))
+    pairs = a.join(b, "target").where("a <> b").withColumn("similarity", F.lit(1.0))
+    rounded = lambda df: {tuple(r) for r in df.withColumn("a_p", F.round("a_p", 9)).collect()}
+    assert rounded(predict.leave_one_out_of_lists(near, act)) == rounded(predict.leave_one_out(near, pairs, act, 9))
+    first = predict.read_across_lists(predict.given_neighbourhoods(lists, first_only=True), known).collect()
+    every = {tuple(r) for r in predict.read_across_lists(near, known).collect()}
+    heads = {f"{i}|{9 * i}" for i in range(5)}
+    assert {tuple(r) for r in first} == {r for r in every if r[0] in heads} and {r["k0"] for r in first} == {9}
+
+
+def test_an_analog_in_both_sets_counts_in_both(spark):
+    members = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.4)], "target long, id long, similarity double")
+    obs = spark.createDataFrame([(2, "e", 1), (2, "e", 0), (3, "e", 0)], "id long, endpoint string, obs int")
+    row = predict.weighted_activity(members, predict.sides(obs)).first()
+    assert (row["posnb"], row["negnb"]) == (1, 2)
+    row = predict.weighted_activity(members, predict.activity(obs)).first()
+    assert (row["posnb"], row["negnb"]) == (1, 1)
+
+
 def test_read_across_of_a_subset_of_endpoints_is_the_same(spark, sets):
     ds = sets.select("id", F.col("a").alias("ds"))
     rnd = random.Random(8)
