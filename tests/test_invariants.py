@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -163,6 +164,26 @@ def test_lists_of_mutual_neighbours_need_no_pairs(spark):
     assert {tuple(r) for r in first} == {r for r in every if r[0] in heads} and {r["k0"] for r in first} == {9}
 
 
+def test_pairs_of_a_neighbourhood_by_matrix_products(spark, monkeypatch):
+    rnd = random.Random(9)
+    ds = {i: rnd.sample([f"w{j}" for j in range(60)], rnd.randint(0, 30)) for i in range(40)} | {40: None}
+    rows = [(t, i) for t in range(6) for i in rnd.sample(range(43), 15)] + [(6, 1), (6, 1), (6, 2)]
+    members = spark.createDataFrame(rows, "target long, id long")
+    features = spark.createDataFrame(list(ds.items()), "id long, ds array<string>")
+    got = {(r["target"], r["a"], r["b"]): r["similarity"] for r in similarity.neighbourhood_pairs(members, features, [Part("ds")]).collect()}
+    want = {}
+    for t, a in rows:
+        for u, b in rows:
+            if t == u and a != b and a in ds and b in ds:
+                x, y = set(ds[a] or ()), set(ds[b] or ())
+                want[t, a, b] = len(x & y) / len(x | y) if x | y else 0
+    assert got == want
+    monkeypatch.setattr(similarity, "DENSE", 50)
+    codes = [sorted(rnd.sample(range(90), n)) for n in (0, 5, 40, 90)]
+    shared = similarity._overlaps(np.array([len(c) for c in codes]), np.array(sum(codes, [])))
+    assert shared.tolist() == [[len(set(x) & set(y)) for y in codes] for x in codes]
+
+
 def test_an_analog_in_both_sets_counts_in_both(spark):
     members = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.5), (1, 3, 0.4)], "target long, id long, similarity double")
     obs = spark.createDataFrame([(2, "e", 1), (2, "e", 0), (3, "e", 0)], "id long, endpoint string, obs int")
