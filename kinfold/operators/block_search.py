@@ -251,6 +251,14 @@ class SizeBlocks:
             .drop("bucket", "first", "chunks")
         )
 
+    def hold(self, candidates: DataFrame) -> None:
+        """Note which blocks have candidates and of which sizes; targets need no bound to other targets."""
+        found = candidates.groupBy("block").agg(F.min(self.size()).alias("lo"), F.max(self.size()).alias("hi")).toPandas()
+        at = found["block"].to_numpy(dtype=int)
+        self.held = np.zeros(self.count, dtype=bool)
+        self.held[at] = True
+        self.lo[at], self.hi[at] = found["lo"], found["hi"]
+
     def best_possible(self, features: pd.Series) -> np.ndarray:
         n = np.array([0 if f is None else len(f) for f in features], dtype=float)[:, None]
         lo, hi = self.lo[None, :], self.hi[None, :]
@@ -315,6 +323,11 @@ class TreeBlocks:
     def assign(self, df: DataFrame) -> DataFrame:
         return df.withColumn("block", self._place(self.first, self.chunks))
 
+    def hold(self, candidates: DataFrame) -> None:
+        """Note which leaves have candidates."""
+        self.held = np.zeros(self.count, dtype=bool)
+        self.held[[r[0] for r in candidates.select("block").distinct().collect()]] = True
+
     def best_possible(self, features: pd.Series) -> np.ndarray:
         out = np.ones((len(features), self.count))
         known = features.notna().to_numpy()
@@ -393,6 +406,7 @@ def top_matches(
     )
     if blocks.count > 1:
         own = cut_lineage(own)
+        blocks.hold(c_block)
         bound = own.groupBy("target").agg(F.count(F.lit(1)).alias("_n"), F.min("similarity").alias("_least"))
         bound = bound.where(F.col("_n") > k).select("target", F.col("_least").alias("bound"))
         share = main.weight / sum(p.weight for p in parts)
@@ -402,6 +416,7 @@ def top_matches(
             for features, home, least in batches:
                 possible = share * blocks.best_possible(features) + (1 - share)
                 wanted = (possible >= np.maximum(least.to_numpy(), floor)[:, None] - SLACK) & (possible > 0)
+                wanted[:, ~blocks.held] = False
                 wanted[np.arange(len(home)), home.to_numpy()] = False
                 yield pd.Series([np.flatnonzero(w) for w in wanted])
 

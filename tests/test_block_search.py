@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators.block_search import Part, set_overlap, top_matches
+from kinfold.operators.block_search import Part, SizeBlocks, set_overlap, top_matches
 
 
 def brute(targets, candidates, similarity, k):
@@ -105,3 +105,19 @@ def test_blend_does_not_depend_on_blocks(spark):
     for block_rows in (1, 16):
         assert run(block_rows, 0.0) == whole
         assert run(block_rows, floor) == run(1000, floor)
+
+
+def test_blocks_without_candidates_are_not_visited(spark):
+    rnd = random.Random(12)
+    rows = [(i, sorted(rnd.sample(range(300), 1 + i % 120))) for i in range(600)]
+    targets = spark.createDataFrame(rows, "id long, ds array<int>")
+    candidates = targets.where("size(ds) BETWEEN 40 AND 44")
+    named = lambda df: df.withColumn("sig", F.col("id").cast("string"))
+    blocks = SizeBlocks([named(targets), named(candidates)], "ds", 20)
+    held = blocks.assign(named(candidates))
+    blocks.hold(held)
+    own = {r["block"] for r in held.collect()}
+    assert set(np.flatnonzero(blocks.held)) == own and len(own) < blocks.count / 3
+    assert all(blocks.lo[b] >= 40 and blocks.hi[b] <= 44 for b in own)
+    pool = [(i, ds) for i, ds in rows if 40 <= len(ds) <= 44]
+    assert result(top_matches(targets, candidates, [Part("ds")], 4, block_rows=20)) == brute(rows, pool, jaccard, 4)
