@@ -99,10 +99,10 @@ def leaf_plan(
         F.when(some, F.expr("target div available")).otherwise(0).alias("epochs"),
         F.when(some, F.col("target") % F.col("available")).otherwise(0).alias("rest"),
     ))
-    inside = rows.join(targets.drop("rest"), levels).withColumn("place", place_of(seed, F.col("epochs"), F.col("doc_id")))
+    inside = rows.join(sized(targets.drop("rest")), levels).withColumn("place", place_of(seed, F.col("epochs"), F.col("doc_id")))
     cut = targets.select(*levels, F.col("rest"), F.lit("").alias("prefix"))
     for digits in DIGITS:
-        sums = inside.join(cut, levels).where(F.col("place").startswith(F.col("prefix"))).groupBy(
+        sums = inside.join(sized(cut), levels).where(F.col("place").startswith(F.col("prefix"))).groupBy(
             *levels, "rest", F.substring("place", 1, digits).alias("range")
         ).agg(F.sum("tokens").alias("tokens"))
         upto = Window.partitionBy(*levels).orderBy("range")
@@ -111,7 +111,7 @@ def leaf_plan(
             F.min(F.struct("range", (F.col("rest") - F.col("sum") + F.col("tokens")).alias("rest"))).alias("at")
         )
         cut = cut_lineage(first.select(*levels, F.col("at.rest").alias("rest"), F.col("at.range").alias("prefix")))
-    last = inside.join(cut, levels).where(F.col("place").startswith(F.col("prefix")))
+    last = inside.join(sized(cut), levels).where(F.col("place").startswith(F.col("prefix")))
     upto = Window.partitionBy(*levels).orderBy("place").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     fits = last.withColumn("sum", F.sum("tokens").over(upto)).where(F.col("sum") <= F.col("rest"))
     fits = fits.groupBy(*levels).agg(F.max("place").alias("reach"))
@@ -120,6 +120,11 @@ def leaf_plan(
     return cut_lineage(targets.drop("rest").join(cut.select(*levels, "prefix"), levels, "left").join(fits, levels, "left").select(*levels, "epochs", end.alias("end")))
 
 
+def sized(leaves: DataFrame) -> DataFrame:
+    """One row for each leaf, broadcast if there are few, so that the rows of a hot leaf stay where they are."""
+    return F.broadcast(leaves) if leaves.count() <= BROADCAST_LEAVES else leaves
+
+
 def place_of(seed: str, epoch: Column, key: Column) -> Column:
     """Place of a row in the order of an epoch: hexadecimal text."""
     return F.md5(F.concat_ws(":", F.lit(seed), epoch.cast("string"), F.coalesce(key.cast("string"), F.lit(""))))
@@ -154,7 +159,7 @@ def mix(
     levels = list(levels)
     rows = rows_of(docs, levels)
     plan = leaf_plan(rows, levels, weights or default_weights(), fraction, max_epochs, seed)
-    return rows.join(plan, levels).select("doc_id", *levels, "tokens", copies_of(seed, F.col("doc_id")).alias("copies"))
+    return rows.join(sized(plan), levels).select("doc_id", *levels, "tokens", copies_of(seed, F.col("doc_id")).alias("copies"))
 
 
 def mix_documents(docs: DataFrame, fraction: float = 0.5) -> DataFrame:
@@ -170,9 +175,7 @@ def mixed_documents(docs: DataFrame, fraction: float = 0.5) -> DataFrame:
     """The rows of a table of documents that ``mix_documents`` takes, with their ``copies`` (in place of a column of that name). Texts are not shuffled unless there are very many leaves."""
     levels = list(LEVELS)
     plan = leaf_plan(rows_of(levelled(docs), levels), levels, default_weights(), fraction, MAX_EPOCHS, SEED)
-    plan = plan.select(*[F.col(x).alias(f"leaf_{x}") for x in levels], F.col("epochs"), F.col("end"))
-    if plan.count() <= BROADCAST_LEAVES:
-        plan = F.broadcast(plan)
+    plan = sized(plan.select(*[F.col(x).alias(f"leaf_{x}") for x in levels], F.col("epochs"), F.col("end")))
     own = docs.select(F.struct(*docs.columns).alias("doc"))
     of = {"domain": domain_of(F.col("doc.source")), "lang": F.col("doc.lang"), "source": F.col("doc.source")}
     leaf = [F.coalesce(of[x], F.lit("")) == F.col(f"leaf_{x}") for x in levels]
