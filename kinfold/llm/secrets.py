@@ -58,11 +58,12 @@ DICTIONARY, LETTERS, LEAST_TEXTS = 100_000, (3, 24), 2
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def ranks_of(docs: DataFrame) -> dict[str, int]:
-    """Ranks of the corpus's words by the number of texts that have them, and of COMMON; the lesser where a word has both.
+def dictionary(docs: DataFrame) -> DataFrame:
+    """(word, n): the words of a corpus by the number of texts that have them, to be stored and given to ``scan`` and ``redact``.
 
     All texts are counted. Values of credential contexts are not, so that a secret is no word because copies repeat it.
-    Words as frequent as each other, within a 16th of a doubling, are in the dictionary together or not at all.
+    Words as frequent as each other, within a 16th of a doubling, are in the dictionary together or not at all; it has
+    at most DICTIONARY words. An empty table gives an empty dictionary; copies of a text and repeated ids count each.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -83,11 +84,26 @@ def ranks_of(docs: DataFrame) -> dict[str, int]:
         if total > DICTIONARY:
             break
         least = r.step
-    kept = words.where(F.col("step") >= least).select("word", "n").collect() if least is not None else []
+    return words.where(F.col("step") >= least if least is not None else F.lit(False)).select("word", "n")
+
+
+def ranked(words: DataFrame) -> dict[str, int]:
+    """Ranks of a dictionary's words, most frequent first, and of COMMON; the lesser where a word has both.
+
+    Null words and counts are left out; of a word with several rows the most frequent counts. More than DICTIONARY words are refused.
+    """
+    kept = words.where("word IS NOT NULL AND n IS NOT NULL").groupBy("word").agg(F.max("n").alias("n")).limit(DICTIONARY + 1).collect()
+    if len(kept) > DICTIONARY:
+        raise ValueError(f"a dictionary has at most {DICTIONARY} words")
     ranks = {r.word: k + 1 for k, r in enumerate(sorted(kept, key=lambda r: (-r.n, r.word)))}
     return ranks | {w: min(k, ranks.get(w, k)) for w, k in RANKS.items()}
 
 
+def ranks_of(docs: DataFrame) -> dict[str, int]:
+    """Ranks of the words of a corpus."""
+    return ranked(dictionary(docs))
+
+
 def _segments(value: str, ranks: dict[str, int] = RANKS) -> dict[int, list[tuple[int, float]]]:
     """Starts and costs of the segments that end at each position, brute force apart."""
     low, out = value.lower(), {}
@@ -159,14 +175,17 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in spans)
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: DataFrame | None = None) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, n_cost, base_sha256, spans, guess_costs) of every row.
 
     ``guess_costs`` has start:end:cost of each value of a credential context, also of those in a fixed span. Whole texts are read; null counts as empty. A text without a secret has an empty
-    list of spans. Copies are scanned each. The dictionary of words is one more pass over the texts. An empty table gives no rows; only two columns are read.
+    list of spans. Copies are scanned each. An empty table gives no rows; only two columns are read.
+
+    ``words`` is a stored ``dictionary``; with the same one a text has the same spans in every table. Without it the
+    dictionary is learned from ``docs`` in one more pass, so guess costs and cost spans depend on the other texts there.
     """
     texts = narrow(docs, id_col, text_col)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(texts))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(texts) if words is None else ranked(words))
 
     def of_chunk(ids: list, texts: list[str]) -> dict:
         values = [context_values(t, sent.value) for t in texts]
@@ -188,8 +207,12 @@ def redacted(text: str, ranks: dict[str, int] = RANKS) -> str:
     return "".join([*out, text[at:]]) if spans else text
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every secret of ``text`` replaced by its kind, and ``n_chars`` of the changed texts counted anew. Nulls stay."""
+def redact(docs: DataFrame, words: DataFrame | None = None) -> DataFrame:
+    """``docs`` with every secret of ``text`` replaced by its kind, and ``n_chars`` of the changed texts counted anew.
+
+    Null and empty texts stay as they are, repeated rows are redacted each, an empty table gives no rows, other columns are
+    kept whatever their names. ``words`` as in ``scan``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in parts(batch)):
@@ -203,5 +226,5 @@ def redact(docs: DataFrame) -> DataFrame:
             yield b
 
     ship(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(docs))
+    sent = docs.sparkSession.sparkContext.broadcast(ranks_of(docs) if words is None else ranked(words))
     return docs.mapInArrow(run, docs.schema)

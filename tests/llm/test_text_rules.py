@@ -120,6 +120,19 @@ def test_dictionary_is_bounded_and_ranked(make, monkeypatch, empty):
     assert log10(secrets.DICTIONARY + 1) + 0.9 + secrets.JOIN + log10(33) < secrets.THRESHOLD
 
 
+def test_a_stored_dictionary_gives_a_text_the_same_spans_everywhere(spark, make, empty):
+    value = "our secret is paragliding now"
+    alone, among = make([value]), make([value, "paragliding here", "paragliding there", "then paragliding"])
+    spans = lambda docs, words=None: {r.doc_id: (r.spans, r.guess_costs) for r in secrets.scan(docs, words=words).collect()}[0]
+    assert spans(alone) != spans(among)
+    words = secrets.dictionary(among)
+    assert words.columns == ["word", "n"]
+    stored = spark.createDataFrame([*words.collect(), (None, 3), ("paragliding", 1)], words.schema)
+    assert spans(alone, stored) == spans(among, stored) == spans(among)
+    assert secrets.redact(alone, stored).first().text == value and secrets.redact(alone).first().text != value
+    assert secrets.ranked(secrets.dictionary(empty)) == secrets.RANKS
+
+
 def test_license_sample_is_the_least_by_hash(make, monkeypatch):
     texts = make([(i, "\n".join(f"line {i} {j}" for j in range(40))) for i in range(60)]).select("doc_id", "text")
     lines = texts.selectExpr("doc_id", "posexplode(split(text, '\n'))").selectExpr("xxhash64(doc_id, pos) AS h", "col").collect()
@@ -250,6 +263,13 @@ def test_mixture_meets_targets(spark):
     assert got.copies.max() <= 4
 
 
+def test_rows_of_a_hot_leaf_stay_where_they_are(spark, make):
+    """No exchange between the stored rows and the copies: the plan of the leaves is broadcast."""
+    docs = make([(i, "a b c " * (i % 7)) for i in range(300)])
+    plan = mixing.mix_documents(docs)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
 def test_mixture_of_awkward_rows(awkward, empty):
     got = mixing.mix_documents(awkward, 1.0).collect()
     assert len(got) == awkward.count() and all(r.copies >= 0 for r in got)
