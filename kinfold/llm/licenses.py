@@ -149,12 +149,12 @@ WINDOW, STEP = 48, 24
 #: Lines of the corpus that the classifier sees as unknown text, at most.
 SAMPLE_LINES = 3000
 MIN_SIMILARITY = 0.6
-#: Comment marks before and after the words of a line.
-MARKS = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+|#+|;+|%+|--+|<!--+|!+|>+|\|+|(?:dnl|rem|REM)(?=[ \t]|$))?[ \t]*|[ \t]*(?:\*+/|--+>)?[ \t\r]*$")
+#: Comment marks that are words, before the words of a line; others are punctuation.
+MARKS = re.compile(r"^[ \t]*(?:dnl|rem|REM)(?=[ \t]|$)", re.MULTILINE)
 TABLE_BITS = 18
 #: Punctuation that separates words, also where it ends one; marks inside names and versions stay.
-BLANKED = bytes(32 if chr(c) in "\"'()[]{}<>,;:*`!?#|=\\_-/" else c for c in range(256))
-QUOTES = str.maketrans(dict.fromkeys("\u201c\u201d\u2018\u2019\u00ab\u00bb", " "))
+BLANKED = bytes(32 if chr(c) in "\"'()[]{}<>,;:*`!?#|=\\_-/%" else c for c in range(256))
+QUOTES = tuple(q.encode() for q in "\u201c\u201d\u2018\u2019\u00ab\u00bb")
 #: Words that turn a statement into its contrary where its template has none. Fixed values.
 NEGATIONS = ("not", "never", "neither", "nor", "isn", "wasn", "aren", "weren", "unlike", "longer")
 #: Words that may stand between a negation and a statement, and before one behind it. Fixed values.
@@ -168,7 +168,10 @@ LATER = re.compile(r"\+|\bor +(?:at your option +)?(?:any +)?later", re.IGNORECA
 
 def plain(text: str) -> str:
     """The text with punctuation around words blanked; lines stay lines."""
-    data = (text if text.isascii() else text.translate(QUOTES)).encode().translate(BLANKED)
+    data = text.encode()
+    for quote in () if text.isascii() else QUOTES:
+        data = data.replace(quote, b" ")
+    data = data.translate(BLANKED)
     for end in (b" ", b"\n", b"\r"):
         data = data.replace(b"." + end, b" " + end)
     return data.rstrip(b".").decode()
@@ -203,6 +206,7 @@ class Classifier(NamedTuple):
     families: np.ndarray  # of the templates
     members: np.ndarray  # features x templates
     sizes: np.ndarray
+    stated: np.ndarray  # features that a template has
     negations: np.ndarray
     articles: np.ndarray
     auxiliaries: np.ndarray
@@ -241,7 +245,7 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return z / z.sum(-1, keepdims=True)
 
 
-def fitted(x: np.ndarray, y: np.ndarray, steps: int = 120) -> tuple[np.ndarray, np.ndarray]:
+def fitted(x: np.ndarray, y: np.ndarray, steps: int = 100) -> tuple[np.ndarray, np.ndarray]:
     """Weights and bias of a softmax regression in which each family counts the same."""
     weights, bias = np.zeros((x.shape[1], len(FAMILIES)), np.float32), np.zeros(len(FAMILIES), np.float32)
     target = np.eye(len(FAMILIES), dtype=np.float32)[y]
@@ -278,7 +282,7 @@ def train(lines: list[str], seed: int = 11) -> Classifier:
     nth = [int((families[:c] == k).sum()) for c, k in enumerate(families)]
     unknown = [(0, w) for w in word_hashes_of([plain(t) for t in unknown_statements()])]
     for (k, t), n in zip(known + unknown, nth + list(range(len(unknown))), strict=True):
-        for turn in range(9 if k else 3):
+        for turn in range(6 if k else 3):
             keep = t if turn < 3 else t[rng.random(len(t)) > rng.choice([0.05, 0.1, 0.15])]
             left, right = (clean[rng.integers(len(clean))][: rng.integers(0, 20)] if clean and turn % 3 else t[:0] for _ in range(2))
             rows.append(vec(np.concatenate([left, keep, right])))
@@ -304,7 +308,7 @@ def train(lines: list[str], seed: int = 11) -> Classifier:
     weights, bias = fitted(x, y)
     confident = said != 0
     reliability = (float(p.max(1)[confident].mean()), float((said == truth)[confident].mean())) if confident.any() else (0.0, 0.0)
-    return Classifier(features, table, weights, bias, temperature, least, families, members, sizes, *(word_hashes(" ".join(w)) for w in (NEGATIONS, ARTICLES, AUXILIARIES)), reliability)
+    return Classifier(features, table, weights, bias, temperature, least, families, members, sizes, members.any(1), *(word_hashes(" ".join(w)) for w in (NEGATIONS, ARTICLES, AUXILIARIES)), reliability)
 
 
 class Text(NamedTuple):
@@ -322,6 +326,10 @@ class Text(NamedTuple):
         order = np.argsort(at, kind="stable")
         return cls(words, at[order], length[order], feature[order])
 
+    def strong(self, model: Classifier) -> np.ndarray:
+        """Which n-grams are of two words or more and of a template; a statement has one."""
+        return (self.length >= 2) & model.stated[self.feature]
+
 
 def negated(text: Text, inside: np.ndarray, template: int, model: Classifier) -> bool:
     """Whether a negation that the template lacks stands in the longest run of its words, or right before it."""
@@ -364,17 +372,19 @@ def windows(first: int, size: int) -> np.ndarray:
     return np.arange(first, first + max(1, size - (WINDOW - STEP)), STEP)
 
 
-def wrapped(text: str, model: Classifier, seen: dict[tuple[int, int], tuple]) -> list[tuple[int, str, str | None, float, float, str]]:
+def wrapped(text: str, read: Text, model: Classifier, seen: dict[tuple[int, int], tuple]) -> list[tuple[int, str, str | None, float, float, str]]:
     """Statements that run over line ends: (line with the first words, family, version, probability, similarity, words of the window).
 
     Paragraphs end at lines without words; their lines are joined, less comment marks, and read in the same windows.
     The best window of each paragraph and family counts. One with words on a line of ``seen``, by (line, family), takes
     that statement's place if its template is longer, and is left out if not.
     """
-    lines = [MARKS.sub("", x) for x in text.split("\n")]
+    unmarked = MARKS.sub("", text)
+    if unmarked != text:
+        read = Text.of(unmarked, model)
+    lines = unmarked.split("\n")
     sizes = np.array([len(x.encode().split()) for x in lines])
-    read = Text.of("\n".join(lines), model)
-    strong = np.append(0, np.cumsum(read.length >= 2))
+    strong = np.append(0, np.cumsum(read.strong(model)))
     ends = np.cumsum(sizes)
     blank = np.flatnonzero(sizes == 0)
     out = []
@@ -408,7 +418,7 @@ def found_in(text: str, model: Classifier) -> list[tuple[int, str, str | None, f
     out: dict[tuple[int, int], tuple] = {}
     text = plain(text)
     read = Text.of(text, model)
-    strong = np.unique(read.at[read.length >= 2])
+    strong = np.unique(read.at[read.strong(model)])
     if len(strong) == 0:
         return []
     lines = text.split("\n")
@@ -427,7 +437,7 @@ def found_in(text: str, model: Classifier) -> list[tuple[int, str, str | None, f
                     own = own or lines[line].encode().split()
                     shown = b" ".join(own[i - first : j - first]).decode()
                     out[int(line), k] = (int(line), FAMILIES[k], version_of(shown), p, s, shown, model.sizes[hit[3]])
-    longer = wrapped(text, model, out)
+    longer = wrapped(text, read, model, out)
     return sorted([*(x[:-1] for x in out.values()), *longer], key=lambda x: (x[0], x[1], -x[4]))
 
 
