@@ -8,7 +8,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators.block_search import Part, SizeBlocks, set_overlap, top_matches
+from kinfold.operators import block_search
+from kinfold.operators.block_search import Part, SizeBlocks, compact, set_overlap, set_scores, top_matches
 
 
 def brute(targets, candidates, similarity, k):
@@ -121,3 +122,31 @@ def test_blocks_without_candidates_are_not_visited(spark):
     assert all(blocks.lo[b] >= 40 and blocks.hi[b] <= 44 for b in own)
     pool = [(i, ds) for i, ds in rows if 40 <= len(ds) <= 44]
     assert result(top_matches(targets, candidates, [Part("ds")], 4, block_rows=20)) == brute(rows, pool, jaccard, 4)
+
+
+def test_tiles_of_a_block_give_what_the_whole_block_gives(monkeypatch):
+    rnd = np.random.default_rng(4)
+    sets = [rnd.choice(50, size=rnd.integers(0, 12), replace=False).tolist() for _ in range(90)] + [None]
+    rows = pa.table({"ds": pa.array(sets, pa.list_(pa.int64()))})
+    monkeypatch.setattr(block_search, "SET_TILE", 16)
+    for face, frequent in ((7, 1024), (40, 2), (91, 0)):
+        monkeypatch.setattr(block_search, "SET_FACE", face)
+        monkeypatch.setattr(block_search, "FREQUENT", frequent)
+        for floor in (0.0, 0.25):
+            got = [(r, c, s) for tile in set_scores([Part("ds")], rows, rows, 4, np.full(91, floor)) for r, c, s in zip(*(x.tolist() for x in tile))]
+            want = []
+            for i, a in enumerate(sets):
+                scored = sorted((-round(jaccard(a or [], b or []), 12), j) for j, b in enumerate(sets))
+                want += [(i, j, -s) for s, j in scored[:4] if s < 0 and -s >= floor]
+            assert got == want
+
+
+def test_sets_travel_as_numbers_in_few_blocks_of_bounded_size(spark):
+    rows = [(i, [f"a long feature name {i * j % 97}" for j in range(1, 9)]) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, ds array<string>")
+    assert compact(df, "ds").schema["ds"].dataType.elementType.typeName() == "long"
+    assert math.ceil(600_000 / block_search.block_size(600_000, 12, block_search.MAX_SETS)) <= 10
+    named = df.selectExpr("CAST(id AS STRING) AS sig", "id", "ds")
+    blocks = SizeBlocks([named, named], "ds", 1000, block_features=400)
+    held = blocks.assign(named).groupBy("block").agg(F.sum(F.size("ds")).alias("n")).collect()
+    assert blocks.count >= 6 and max(r["n"] for r in held) < 800
