@@ -49,10 +49,8 @@ def join_chain(start: DataFrame, steps: list[tuple[DataFrame, list[str]]], colum
 
 def assay_catalogue(assays: DataFrame, components: DataFrame, endpoints: DataFrame, genes: DataFrame) -> DataFrame:
     """Assays with components and endpoints: rows with a gene, and rows of endpoints that have none."""
-    base = assays.join(components, "aid").join(endpoints, "acid")
-    with_gene = base.join(genes, "aeid")
-    without = base.join(genes, "aeid", "left_anti")
-    return with_gene.unionByName(without, allowMissingColumns=True)
+    # the rows without a gene are those a left join adds; genes meet the few components first, so the assays are joined once
+    return assays.join(components.join(genes, "aeid", "left"), "aid").join(endpoints, "acid")
 
 
 def assay_results(fits: DataFrame, samples: DataFrame, entities: DataFrame, hits: DataFrame, drop_constant: bool = False) -> DataFrame:

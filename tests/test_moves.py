@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from kinfold.operators import fingerprints
+from kinfold.operators import effects, fingerprints
 
 
 def plan(df, text):
@@ -24,3 +24,17 @@ def test_an_inverted_index_moves_its_facts_once(spark, monkeypatch):
     assert {r["part"] for r in lists if r["bit"] != "every"} == {0}
     # one for the facts, one for the sizes of long lists, which has a row for each feature and task
     assert plan(fingerprints.inverted_index(bits), "Exchange hashpartitioning") == 2
+
+
+def test_an_assay_catalogue_reads_each_table_once(spark):
+    make = spark.createDataFrame
+    assays = make([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10)], "aid int, acid int")
+    components = make([(1, 5), (2, 6), (3, 7), (3, None)], "aid int, aeid int")
+    endpoints = make([(10, "x"), (11, "y"), (12, "z")], "acid int, name string")
+    genes = make([(5, "g"), (5, "h"), (7, None), (None, "n")], "aeid int, gene string")
+    made = effects.assay_catalogue(assays, components, endpoints, genes)
+    got = Counter(tuple(r[c] for c in ("aid", "acid", "aeid", "name", "gene")) for r in made.collect())
+    assert got == Counter(
+        [(1, 10, 5, "x", "g"), (1, 10, 5, "x", "h"), (1, 11, 5, "y", "g"), (1, 11, 5, "y", "h"), (2, 10, 6, "x", None), (3, 12, 7, "z", None), (3, 12, None, "z", None)]
+    )
+    assert plan(effects.assay_catalogue(assays, components, endpoints, genes), "Scan ExistingRDD") == 4
