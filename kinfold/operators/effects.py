@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kinfold.functions.numbers import normalised_dose
@@ -110,17 +111,20 @@ def points_of_departure(effects: DataFrame, compat: bool = False) -> DataFrame:
     """
     e = effects.withColumn("dose", normalised_dose(F.col("dose"), F.col("unit"))).withColumn("unit", F.lit("mg/kg/day"))
     trt, crit = F.col("effect_trt_related") == 1, F.col("effect_critical") == 1
-    study = e.groupBy(*STUDY).agg(
-        F.min(F.when(trt, F.col("dose"))).alias("lel"), F.min(F.when(trt, F.col("level"))).alias("dl_lel"),
-        F.min(F.when(crit, F.col("dose"))).alias("loael"), F.min(F.when(crit, F.col("level"))).alias("dl_loael"),
+    # one exchange by study for all of it: a join of the rows with their own minima would move and make them several times
+    e = e.dropna(subset=STUDY)
+    study = W.partitionBy(*STUDY)
+    e = e.withColumns(
+        {
+            "lel": F.min(F.when(trt, F.col("dose"))).over(study), "dl_lel": F.min(F.when(trt, F.col("level"))).over(study),
+            "loael": F.min(F.when(crit, F.col("dose"))).over(study), "dl_loael": F.min(F.when(crit, F.col("level"))).over(study),
+        }
     )
-    doses = e.groupBy(*STUDY, "level").agg(F.min("dose").alias("dose"))
-    for name, level in (("nel", "dl_lel"), ("noael", "dl_loael")):
-        below = doses.select(*STUDY, (F.col("level") + 1).alias(level), F.col("dose").alias(name))
-        study = study.join(below.where(F.col(level) > 1), [*STUDY, level], "left")
+    below = lambda level: (F.col("level") == F.col(level) - 1) & (F.col(level) > 1)
+    e = e.withColumns({n: F.min(F.when(below(f"dl_{of}"), F.col("dose"))).over(study) for n, of in (("nel", "lel"), ("noael", "loael"))})
     related, dosed = F.col("effect_trt_related"), F.col("level") > 0
     flag = lambda name, rule: F.coalesce((F.col("dose") == F.col(name)) & rule & dosed, F.lit(False))
-    return e.join(study, STUDY).withColumns(
+    return e.withColumns(
         {
             "is_nel": flag("nel", related == 0),
             "is_lel": flag("lel", related == (0 if compat else 1)),

@@ -1,5 +1,6 @@
 """How often rows are read and moved, and that results stay whole."""
 
+import random
 from collections import Counter
 
 from kinfold.operators import effects, fingerprints
@@ -26,6 +27,33 @@ def test_an_inverted_index_moves_its_facts_once(spark, monkeypatch):
     assert plan(fingerprints.inverted_index(bits), "Exchange hashpartitioning") == 2
 
 
+def test_points_of_departure_move_their_rows_once(spark):
+    rnd = random.Random(3)
+    pick = lambda values: rnd.choice(values)
+    rows = [
+        (pick([1, 2, None]), pick([1, 2]), "s", "rat", pick([0, 1, 2, 3, None]), pick([None, 1.0, 2.0, 5.0, 9.0]), "mg/kg/day", pick([0, 1, None]), pick([0, 1]))
+        for _ in range(150)
+    ]
+    columns = ["chem_id", "study_id", "study_type", "species", "level", "dose", "unit", "effect_trt_related", "effect_critical"]
+    table = spark.createDataFrame(rows, "chem_id int, study_id int, study_type string, species string, level int, dose double, unit string, effect_trt_related int, effect_critical int")
+    made = effects.points_of_departure(table)
+    least = lambda values: min((v for v in values if v is not None), default=None)
+    want = Counter()
+    for r in rows:
+        if r[0] is None:
+            continue
+        study = [x for x in rows if x[:4] == r[:4]]
+        out = []
+        for mark in (7, 8):
+            low, level = (least([x[c] for x in study if x[mark] == 1]) for c in (5, 4))
+            below = least([x[5] for x in study if level is not None and level > 1 and x[4] == level - 1])
+            out += [low, below]
+        want[(*r, *out)] += 1
+    got = Counter(tuple(r[c] for c in [*columns, "lel", "nel", "loael", "noael"]) for r in made.collect())
+    assert got == want
+    assert plan(effects.points_of_departure(table), "Exchange hashpartitioning") == 1
+
+
 def test_an_assay_catalogue_reads_each_table_once(spark):
     make = spark.createDataFrame
     assays = make([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10)], "aid int, acid int")
