@@ -1,15 +1,16 @@
 """How often rows are read and moved, and that results stay whole."""
 
 import random
+import re
 from collections import Counter
 
-from kinfold.operators import effects, fingerprints
+from kinfold.operators import effects, fingerprints, grid
 
 
 def plan(df, text):
     df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        return df._jdf.queryExecution().executedPlan().toString().count(text)
+        return len(re.findall(text, df._jdf.queryExecution().executedPlan().toString()))
     finally:
         df.sparkSession.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
@@ -66,3 +67,12 @@ def test_an_assay_catalogue_reads_each_table_once(spark):
         [(1, 10, 5, "x", "g"), (1, 10, 5, "x", "h"), (1, 11, 5, "y", "g"), (1, 11, 5, "y", "h"), (2, 10, 6, "x", None), (3, 12, 7, "z", None), (3, 12, None, "z", None)]
     )
     assert plan(effects.assay_catalogue(assays, components, endpoints, genes), "Scan ExistingRDD") == 4
+
+
+def test_targets_without_data_need_no_second_set_of_cells(spark):
+    observations = spark.createDataFrame([(1, "a", 1), (1, "a", 0), (2, "b", 1), (2, "c", None)], "id int, endpoint string, obs int")
+    targets = spark.createDataFrame([(1,), (3,), (3,)], "id int")
+    got = Counter(tuple(r) for r in grid.negative_first_cells(observations, targets).collect())
+    assert got == Counter([(1, "a", 0), (2, "b", 1), (2, "c", None), (3, None, None)])
+    # partial and final
+    assert plan(grid.negative_first_cells(observations, targets), r"HashAggregate\(keys=\[id#\d+, endpoint#\d+") == 2
