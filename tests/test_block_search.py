@@ -150,3 +150,7 @@ def test_sets_travel_as_numbers_in_few_blocks_of_bounded_size(spark):
     blocks = SizeBlocks([named, named], "ds", 1000, block_features=400)
     held = blocks.assign(named).groupBy("block").agg(F.sum(F.size("ds")).alias("n")).collect()
     assert blocks.count >= 6 and max(r["n"] for r in held) < 800
+
+
+def test_a_tile_of_vectors_stays_small():
+    assert 5 * 8 * block_search.TILE * block_search.MAX_BLOCK <= 100 * 2**20
