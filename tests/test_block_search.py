@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from kinfold.operators import block_search
 from kinfold.operators.block_search import Part, SizeBlocks, compact, set_overlap, set_scores, top_matches
+from kinfold.operators.packed_sets import pack_sets, unpack_sets
 
 
 def brute(targets, candidates, similarity, k):
@@ -154,3 +155,46 @@ def test_sets_travel_as_numbers_in_few_blocks_of_bounded_size(spark):
 
 def test_a_tile_of_vectors_stays_small():
     assert 5 * 8 * block_search.TILE * block_search.MAX_BLOCK <= 100 * 2**20
+
+
+def test_packed_sets_come_back_whole():
+    rnd = random.Random(9)
+    words = np.array(rnd.sample(range(-5000, 5000), 2000), dtype=np.int64)
+    sets = [None, [], [rnd.randrange(-(2**63), 2**63)], words.tolist()]
+    sets += [[*rnd.sample(words.tolist(), rnd.randint(0, 40)), *(rnd.randrange(2**40) for _ in range(i % 3))] for i in range(200)]
+    rows = pa.array(sets, pa.list_(pa.int64()))
+    for known in (words, words[:3], words[:0]):
+        packed = pack_sets(rows, known)
+        assert [sorted(x) for x in unpack_sets(packed, known).to_pylist()] == [sorted(set(x or [])) for x in sets]
+        assert [x is None for x in packed.to_pylist()] == [x is None for x in sets]
+        shuffled = pa.array([x and rnd.sample(x, len(x)) for x in sets], pa.list_(pa.int64()))
+        assert pack_sets(shuffled, known).equals(packed)
+    assert sum(len(x) for x in pack_sets(pa.array([list(range(0, 150, 4))] * 9), np.arange(150)).to_pylist()) == 9 * (8 + 38)
+
+
+def shuffled(spark):
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_a_search_moves_little_whatever_its_blocks(spark):
+    rnd = random.Random(10)
+    rows = [(i, [f"feature {x}" for x in rnd.sample(range(150), 30 + i % 9)]) for i in range(3000)]
+    df = spark.createDataFrame(rows, "id long, ds array<string>").repartition(4).persist()
+    df.count()
+    before = shuffled(spark)
+    made = top_matches(df, df, [Part("ds")], 20, block_rows=250)
+    assert made.groupBy("id").count().where("count = 20").count() == 3000
+    # some 40 bytes a set and visit, and no list of neighbours
+    assert shuffled(spark) - before < 5_000_000
+
+
+def test_hopeless_tiles_are_left_out_and_results_are_whole(monkeypatch, spark):
+    rnd = random.Random(11)
+    rows = [(i, rnd.sample(range(400), 1 + i % 90)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, ds array<int>")
+    monkeypatch.setattr(block_search, "STREAM_FEATURES", 300)
+    got = top_matches(df, df.where("id % 2 = 0"), [Part("ds")], 4, floor=0.1, block_rows=60)
+    want = [r for r in brute(rows, [r for r in rows if r[0] % 2 == 0], jaccard, 4) if r[3] >= 0.1]
+    assert result(got) == want
