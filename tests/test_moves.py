@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from kinfold.operators import effects, fingerprints, grid
+from kinfold.operators import effects, fingerprints, grid, predict
 
 
 def plan(df, text):
@@ -76,3 +76,21 @@ def test_targets_without_data_need_no_second_set_of_cells(spark):
     assert got == Counter([(1, "a", 0), (2, "b", 1), (2, "c", None), (3, None, None)])
     # partial and final
     assert plan(grid.negative_first_cells(observations, targets), r"HashAggregate\(keys=\[id#\d+, endpoint#\d+") == 2
+
+
+def random_lists(spark):
+    rnd = random.Random(5)
+    lists = [(i // 4, i % 4, i) for i in range(40)] + [(1, 4, 20), (2, 4, 9), (2, 5, 9), (None, 0, 3), (77, 0, 78)]
+    seen = [(rnd.randrange(45), f"e{rnd.randrange(3)}", rnd.choice([0, 1, None])) for _ in range(160)]
+    return spark.createDataFrame(lists, "list_id int, pos int, id int"), spark.createDataFrame(seen, "id int, endpoint string, obs int")
+
+
+def test_a_vote_in_lists_moves_no_pairs(spark):
+    lists, observations = random_lists(spark)
+    near = predict.given_neighbourhoods(lists)
+    rows = lambda df: Counter(tuple(r) for r in df.collect())
+    for least in (1, 2):
+        want = rows(predict.vote(near, predict.list_observations(near, observations), least, least))
+        assert want and rows(predict.vote_in_lists(lists, observations, least, least)) == want
+    # observations by entity and by list; lists by both
+    assert plan(predict.vote_in_lists(lists, observations), "Exchange hashpartitioning") <= 6
