@@ -94,3 +94,18 @@ def test_a_vote_in_lists_moves_no_pairs(spark):
         assert want and rows(predict.vote_in_lists(lists, observations, least, least)) == want
     # observations by entity and by list; lists by both
     assert plan(predict.vote_in_lists(lists, observations), "Exchange hashpartitioning") <= 6
+
+
+def test_leave_one_out_of_lists_makes_its_rows_once(spark):
+    lists, observations = random_lists(spark)
+    near = predict.given_neighbourhoods(lists.where("id <> 9"))
+    act = predict.sides(predict.list_observations(near, observations)).where("obs IS NOT NULL")
+    near, act = (spark.createDataFrame(df.collect(), df.schema) for df in (near, act))
+    made = predict.leave_one_out_of_lists(near, act)
+    seen = [tuple(r) for r in near.join(act, "id").select("target", "endpoint", "id", "obs").collect()]
+    want = Counter()
+    for t, e, i, o in seen:
+        votes = [x[3] for x in seen if x[:2] == (t, e) and x[2] != i]
+        want[(t, e, i, o, sum(votes) / len(votes) if votes else 0.0, sum(votes), len(votes) - sum(votes))] += 1
+    assert Counter(tuple(r) for r in made.collect()) == want
+    assert plan(predict.leave_one_out_of_lists(near, act), r"Join \[") == 1
