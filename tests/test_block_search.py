@@ -142,6 +142,29 @@ def test_tiles_of_a_block_give_what_the_whole_block_gives(monkeypatch):
             assert got == want
 
 
+def test_only_what_may_reach_the_floor_is_compared_exactly(monkeypatch):
+    rnd = np.random.default_rng(5)
+    sets = [rnd.choice(50, size=rnd.integers(0, 40), replace=False).tolist() for _ in range(120)] + [None]
+    other = [rnd.choice(300, size=rnd.integers(0, 20), replace=False).tolist() for _ in range(121)]
+    arrow = lambda x: pa.array(x, pa.list_(pa.int64()))
+    rows = pa.table({"ds": arrow(sets), "os": arrow(other)})
+    seen = []
+    monkeypatch.setattr(block_search, "jaccard", lambda o, a, b, f=block_search.jaccard: seen.append(np.size(o)) or f(o, a, b))
+    monkeypatch.setattr(block_search, "SET_TILE", 16)
+    monkeypatch.setattr(block_search, "FIRST_FACE", 5, raising=False)
+    monkeypatch.setattr(block_search, "SET_PIECE", 24, raising=False)
+    for parts in ([Part("ds")], [Part("ds", weight=2.0), Part("os")]):
+        for frequent in (0, 20, 1024):
+            monkeypatch.setattr(block_search, "FREQUENT", frequent)
+            score = lambda i, j: round(sum(p.weight / sum(q.weight for q in parts) * jaccard(x[i] or [], x[j] or []) for p, x in zip(parts, (sets, other))), 12)
+            # sizes differ widely, so a bound by the least size of a tile would let most pairs through
+            seen.clear()
+            got = [(r, c, s) for tile in set_scores(parts, rows, rows, 121, np.full(121, 0.5)) for r, c, s in zip(*(x.tolist() for x in tile))]
+            want = [(i, j, -s) for i in range(121) for s, j in sorted((-score(i, j), j) for j in range(121)) if -s >= 0.5]
+            assert got == want
+            assert sum(seen) <= len(parts) * len(want)
+
+
 def test_sets_travel_as_numbers_in_few_blocks_of_bounded_size(spark):
     rows = [(i, [f"a long feature name {i * j % 97}" for j in range(1, 9)]) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, ds array<string>")
