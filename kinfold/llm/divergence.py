@@ -100,6 +100,15 @@ def _in_runs(batch: pa.RecordBatch, keys: list[str]) -> Iterator[tuple[tuple, li
             held, size = [], 0
 
 
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """Values of a binary column without nulls, cut out of its data; a scalar for each would cost ten times as much."""
+    _, ends, data = column.buffers()
+    kind = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    ends = np.frombuffer(ends, kind)[column.offset : column.offset + len(column) + 1].tolist() if len(column) else []
+    data = data.to_pybytes() if data is not None else b""
+    return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+
 def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(distinct terms, term of each word, text of each word) of some texts."""
     raw = [t.encode() for t in texts]
@@ -113,7 +122,7 @@ def coded(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     offsets = np.append(0, np.cumsum(ends - starts))
     column = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[word])]).dictionary_encode()
     first = np.searchsorted(starts, 1 + np.cumsum([0, *(len(r) + 1 for r in raw)]))
-    return column.dictionary.to_pylist(), column.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(first))
+    return bytes_of(column.dictionary), column.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), np.diff(first))
 
 
 def in_texts(code: np.ndarray, text: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +150,7 @@ def level(docs: DataFrame, size: int, alive: Alive | None) -> DataFrame:
 
         def flush() -> Iterator[pa.RecordBatch]:
             for (lang, complete), c in counters.items():
-                columns = [pa.array([lang] * len(c), pa.string()), pa.array([complete] * len(c), pa.bool_()), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())]
+                columns = [pa.repeat(pa.scalar(lang, pa.string()), len(c)), pa.repeat(pa.scalar(complete, pa.bool_()), len(c)), pa.array(list(c), pa.binary()), pa.array(list(c.values()), pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "complete", "term", "docs"])
             counters.clear()
 
@@ -157,7 +166,7 @@ def level(docs: DataFrame, size: int, alive: Alive | None) -> DataFrame:
                 code, text = in_texts(code, text, len(terms))
                 long = np.array([len(t) > size for t in terms])[code]
                 prefixes = pa.array([t[:size] for t in terms], pa.binary()).dictionary_encode()
-                heads, names = prefixes.indices.to_numpy().astype(np.int64), prefixes.dictionary.to_pylist()
+                heads, names = prefixes.indices.to_numpy().astype(np.int64), bytes_of(prefixes.dictionary)
                 head, _ = in_texts(heads[code[long]], text[long], len(names))
                 for complete, found, of in ((True, code[~long], terms), (False, head, names)):
                     numbers = np.bincount(found)
@@ -193,7 +202,7 @@ def occurrences(docs: DataFrame, kept: Alive, rest: Alive) -> DataFrame:
                 at = np.flatnonzero(alive)
                 of_rest = (alive & long)[code]
                 in_docs = np.bincount(in_texts(code[of_rest], text[of_rest], len(terms))[0], minlength=len(terms))
-                columns = [pa.array([x] * len(at), pa.string()) for x in (lang, source)]
+                columns = [pa.repeat(pa.scalar(x, pa.string()), len(at)) for x in (lang, source)]
                 columns += [pa.array([terms[k] for k in at.tolist()], pa.binary()), pa.array(in_docs[at]), pa.array(np.bincount(code, minlength=len(terms))[at])]
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "source", "term", "docs", "n"])
 

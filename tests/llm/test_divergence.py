@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from kinfold.llm import divergence as dv
@@ -100,3 +101,14 @@ def test_very_long_term(spark):
     rows = [("y" * 3_000_000 + " z", "en", f"s{k % 2}") for k in range(3)]
     got = {r[3] for r in dv.divergence(table(spark, rows), least=3).collect() if r[2] == "term"}
     assert got <= {"y" * 3_000_000, "z"}
+
+
+def test_terms_are_cut_out_of_their_column():
+    values = [b"", "é".encode(), b"abc", b"\x00", b"z" * 300]
+    for kind in (pa.binary(), pa.large_binary()):
+        column = pa.array(values, kind)
+        assert dv.bytes_of(column) == values
+        assert dv.bytes_of(column[1:4]) == values[1:4]
+        assert dv.bytes_of(column[:0]) == dv.bytes_of(pa.array([], kind)) == []
+    terms, code, text = dv.coded(["b A b", "", "a"])
+    assert ([terms[k] for k in code], text.tolist()) == ([b"b", b"a", b"b", b"a"], [0, 0, 0, 2])
