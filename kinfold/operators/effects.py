@@ -42,10 +42,14 @@ def hits_with_catalogue(results: DataFrame, assays: DataFrame) -> DataFrame:
 
 
 def join_chain(start: DataFrame, steps: list[tuple[DataFrame, list[str]]], columns: list[str]) -> DataFrame:
-    """Inner equi-join of a chain of tables on their shared keys, distinct rows of some columns."""
+    """Inner equi-join of a chain of tables on their shared keys, distinct rows of some columns.
+
+    Rows are dealt out before equal ones meet: a task of the join would hold nearly as many distinct rows as it
+    makes, while a task of one share holds no more than its share of all distinct ones, however long the input is.
+    """
     for table, keys in steps:
         start = start.join(table, keys)
-    return start.select(*columns).distinct()
+    return start.select(*columns).repartition(*columns).distinct()
 
 
 def assay_catalogue(assays: DataFrame, components: DataFrame, endpoints: DataFrame, genes: DataFrame) -> DataFrame:

@@ -55,6 +55,17 @@ def test_points_of_departure_move_their_rows_once(spark):
     assert plan(effects.points_of_departure(table), "Exchange hashpartitioning") == 1
 
 
+def test_distinct_rows_of_a_chain_are_held_by_shares(spark):
+    facts = spark.createDataFrame([(i, i % 7, i % 3) for i in range(400)] + [(None, 1, 1)], "k int, a int, b int")
+    names = spark.createDataFrame([(i, None if i == 5 else f"n{i % 2}") for i in range(300)], "k int, name string")
+    made = effects.join_chain(facts, [(names, ["k"])], ["a", "b", "name"])
+    assert Counter(map(tuple, made.collect())) == Counter({(i % 7, i % 3, None if i == 5 else f"n{i % 2}") for i in range(300)})
+    # nothing is put together before the rows are dealt out, and they are dealt out once
+    text = effects.join_chain(facts, [(names, ["k"])], ["a", "b", "name"])._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in text.split("REPARTITION_BY_COL")[0] and "HashAggregate" not in text.split("REPARTITION_BY_COL")[-1]
+    assert text.count("REPARTITION_BY_COL") == 1
+
+
 def test_an_assay_catalogue_reads_each_table_once(spark):
     make = spark.createDataFrame
     assays = make([(1, 10), (1, 11), (2, 10), (3, 12), (4, 10)], "aid int, acid int")
