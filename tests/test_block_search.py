@@ -213,6 +213,20 @@ def test_a_search_moves_little_whatever_its_blocks(spark):
     assert shuffled(spark) - before < 5_000_000
 
 
+def test_candidates_are_not_moved_to_each_block(spark):
+    rnd = random.Random(13)
+    rows = [(i, rnd.sample(range(150), 30 + i % 9)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "id long, ds array<int>").repartition(4).persist()
+    df.count()
+    moved, made = [], []
+    for block_rows in (1500, 40):
+        before = shuffled(spark)
+        made.append(result(top_matches(df, df, [Part("ds")], 3, block_rows=block_rows)))
+        moved.append(shuffled(spark) - before)
+    # a few bytes a set and block were over a megabyte
+    assert moved[1] < 1.3 * moved[0] and made[0] == made[1] == brute(rows, rows, jaccard, 3)
+
+
 def test_hopeless_tiles_are_left_out_and_results_are_whole(monkeypatch, spark):
     rnd = random.Random(11)
     rows = [(i, rnd.sample(range(400), 1 + i % 90)) for i in range(500)]
