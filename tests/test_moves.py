@@ -89,6 +89,22 @@ def test_targets_without_data_need_no_second_set_of_cells(spark):
     assert plan(grid.negative_first_cells(observations, targets), r"HashAggregate\(keys=\[id#\d+, endpoint#\d+") == 2
 
 
+def test_a_grid_moves_its_cells_once(spark):
+    members = spark.createDataFrame([(1, 1), (1, 2), (1, 3), (2, 2), (2, 1), (3, 3), (4, 9), (4, None), (None, 1), (5, 1), (5, 1)], "target int, id int")
+    seen = [(1, "a", 1, 2.0, "mg"), (1, "a", 1, 1.0, "kg"), (1, "a", 0, None, None), (2, "b", 0, None, None), (2, None, 1, 3.0, "mg"), (9, "c", None, None, None), (7, "d", 1, None, None)]
+    observations = spark.createDataFrame(seen, "id int, endpoint string, obs int, dose double, unit string")
+    made = grid.read_across_grid(members, observations)
+    got = Counter(tuple(r[c] for c in ("target", "endpoint", "id", "text", "value")) for r in made.collect())
+    hit, none, low = ("1.0 kg", "pos_effect"), ("no_data", "no_data"), ("no_effect", "no_effect")
+    want = [(1, "a", 1, *hit), (1, "a", 2, *none), (1, "a", 3, *none), (1, "b", 1, *none), (1, "b", 2, *low), (1, "b", 3, *none)]
+    want += [(1, None, i, *none) for i in (1, 2, 3)] + [(2, None, i, *none) for i in (1, 2)]
+    want += [(2, "a", 1, *hit), (2, "a", 2, *none), (2, "b", 1, *none), (2, "b", 2, *low), (3, "NO_DATA", 3, *none)]
+    want += [(4, "c", 9, *none), (4, "c", None, *none), (None, "NO_DATA", None, *none)] + [(5, "a", 1, *hit)] * 4
+    assert got == Counter(want)
+    # observations and members by id; what is seen and members by target
+    assert plan(grid.observation_counts(grid.read_across_grid(members, observations), ["target", "endpoint"]), "Exchange hashpartitioning") == 4
+
+
 def random_lists(spark):
     rnd = random.Random(5)
     lists = [(i // 4, i % 4, i) for i in range(40)] + [(1, 4, 20), (2, 4, 9), (2, 5, 9), (None, 0, 3), (77, 0, 78)]
