@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.operators import block_search
+from kinfold.operators import block_search, neighbors
 from kinfold.operators.block_search import Part, SizeBlocks, compact, set_overlap, set_scores, top_matches
 from kinfold.operators.packed_sets import pack_sets, unpack_sets
 
@@ -235,3 +235,32 @@ def test_hopeless_tiles_are_left_out_and_results_are_whole(monkeypatch, spark):
     got = top_matches(df, df.where("id % 2 = 0"), [Part("ds")], 4, floor=0.1, block_rows=60)
     want = [r for r in brute(rows, [r for r in rows if r[0] % 2 == 0], jaccard, 4) if r[3] >= 0.1]
     assert result(got) == want
+
+
+@pytest.mark.parametrize("way", ["fields", "lists", "bits"])
+@pytest.mark.parametrize("kinds, most", [(40, 30), (300, 290), (5000, 4800)])
+def test_overlaps_by_fields_of_products_by_lists_and_by_bits(monkeypatch, way, kinds, most):
+    rnd = np.random.default_rng(kinds)
+    # sizes for three, two and one field of a product
+    sets = [sorted(rnd.choice(kinds, size=n, replace=False).tolist()) for n in [0, 1, 2, most, most, *rnd.integers(1, most, 60)]]
+    arrow = lambda x: pa.array(x, pa.list_(pa.int64()))
+    monkeypatch.setattr(block_search, "SET_PIECE", 24)
+    monkeypatch.setattr(block_search, "SET_CHUNK", 7)
+    monkeypatch.setattr(block_search, "BIT_CHUNK", 9)
+    monkeypatch.setattr(block_search, "SHORT_LIST", 5)
+    monkeypatch.setattr(block_search, "PLANE_WORDS", 20)
+    monkeypatch.setattr(block_search, "FREQUENT", 0 if way == "lists" else 10_000)
+    monkeypatch.setattr(block_search.Overlap, "_dense", lambda *_: way == "bits")
+    both = block_search.Overlap(arrow(sets[:30]), arrow(sets))
+    both.face(0, len(sets), by_size=True)
+    floor = np.linspace(0, 1, 30)
+    row, col, shared = both.reaching(0, 30, floor)
+    got = sorted(zip(row.tolist(), col.tolist(), shared.tolist()))
+    assert got == [(i, j, len(set(a) & set(b))) for i, a in enumerate(sets[:30]) for j, b in enumerate(sets) if set(a) & set(b) and jaccard(a, b) >= floor[i] - 1e-12]
+
+
+def test_sets_are_packed_once_for_a_search(spark):
+    df = spark.createDataFrame([(i, [i, i + 1, 7]) for i in range(40)], "id long, ds array<long>")
+    known, words = neighbors._packed(df, [Part("ds")])
+    assert known.storageLevel.useMemory and words is not None
+    known.unpersist()
