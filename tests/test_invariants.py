@@ -240,3 +240,18 @@ def test_thresholds_and_registry():
         fingerprints.register(fingerprints.FingerprintSpec("twice", lambda t: t))
         fingerprints.register(fingerprints.FingerprintSpec("twice", lambda t: t))
     fingerprints.REGISTRY.pop("twice")
+
+
+def test_neighbourhoods_are_compared_many_at_a_time(spark, monkeypatch):
+    # no group of its own for each neighbourhood
+    monkeypatch.setattr("pyspark.sql.GroupedData.applyInArrow", lambda *_: pytest.fail("one call for each neighbourhood"))
+    sets = [(i, [f"w{j}" for j in range(i % 7)] + (["x"] if i % 2 else [])) for i in range(60)] + [(60, None)]
+    features = spark.createDataFrame(sets, "id long, ds array<string>")
+    # neighbourhoods of 1 to 20, a repeated member and one without features
+    near = [(t, (t * 7 + i) % 61) for t in range(40) for i in range(1 + t % 20)] + [(3, 21), (3, 21), (5, 999)]
+    got = similarity.neighbourhood_pairs(spark.createDataFrame(near, "target long, id long"), features, [Part("ds")]).collect()
+    known, of = {i: set(ds or []) for i, ds in sets}, {}
+    for t, i in near:
+        of.setdefault(t, set()).add(i)
+    want = [(t, a, b, len(known[a] & known[b]) / max(1, len(known[a] | known[b]))) for t, ids in of.items() for a in ids for b in ids if a != b and {a, b} <= set(known)]
+    assert sorted(map(tuple, got)) == sorted(want)
