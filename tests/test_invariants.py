@@ -255,3 +255,27 @@ def test_neighbourhoods_are_compared_many_at_a_time(spark, monkeypatch):
         of.setdefault(t, set()).add(i)
     want = [(t, a, b, len(known[a] & known[b]) / max(1, len(known[a] | known[b]))) for t, ids in of.items() for a in ids for b in ids if a != b and {a, b} <= set(known)]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+@pytest.mark.parametrize("k0", [3, 100])
+def test_votes_are_counted_where_a_target_is(spark, k0):
+    rnd = random.Random(k0)
+    near = [(t, i) for t in range(8) for i in rnd.sample(range(12), 6)] + [(2, 50), (2, 50), (2, 51), (None, 3)]
+    act = [(i, e, rnd.choice([0, 1, None])) for i in [*range(12), 50, 51] for e in ("x", "y", None) if rnd.random() < 0.7]
+    score = {(t, a, b): rnd.choice([0.0, 0.25, 0.5]) for t in range(8) for a in {i for u, i in near if u == t} for b in {i for u, i in near if u == t} if a != b}
+    got = predict.leave_one_out(
+        spark.createDataFrame(near, "target long, id long"), spark.createDataFrame([(*key, s) for key, s in score.items()], "target long, a long, b long, similarity double"),
+        spark.createDataFrame(act, "id long, endpoint string, obs int"), k0,
+    )
+    # neither a window nor a join moves rows of (target, endpoint, a, b)
+    assert "Window" not in got._jdf.queryExecution().toString()
+    seen, want = [(t, e, i, o) for t, i in near for j, e, o in act if i == j], []
+    for t, e, a, obs in seen:
+        voters = [(-score[t, a, b], b, o) for u, f, b, o in seen if (u, f) == (t, e) and e is not None and (t, a, b) in score]
+        copies = sum((t, e, a, obs) == s for s in seen)
+        voters = [v for v in sorted(voters, key=lambda v: v[:2]) for _ in range(copies)][:k0]
+        weight = -sum(s for s, _, _ in voters)
+        a_p = sum(-s * (o or 0) for s, _, o in voters) / weight if weight else 0.0
+        want.append((t, e, a, obs, round(a_p, 9), sum(o == 1 for *_, o in voters), sum(o == 0 for *_, o in voters)))
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(((*r[:4], round(r[4], 9), *r[5:]) for r in map(tuple, got.collect())), key=key) == sorted(want, key=key)
